@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing, quality, simhash
+from . import bpe, line_dedup, mixing, neighbours, quality, simhash, url_rules
 from .common import table
 
 
+def op2_url_rules(spark, sf_dir):
+    return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "_url.*")
+
+
 def op3_simhash(spark, sf_dir):
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", simhash.hex16(F.col("f0")).alias("fingerprint"), "component_id")
@@ -23,6 +27,11 @@ def op6_line_dedup(spark, sf_dir):
     return rows.select("doc_id", "_lines.n_lines", "_lines.n_dropped", F.sha2("_lines.kept_text", 256).alias("kept_sha256"))
 
 
+def op7_neighbours(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(rows, rows.where("vec_id % 20 = 0"))
+
+
 def op8_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     trusted = table(spark, sf_dir, "labels").where("quality = 1 and coalesce(toxic, 0) = 0")
@@ -34,7 +43,7 @@ def op9_bpe(spark, sf_dir):
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op5_mix_sources, op6_line_dedup, op8_quality_rules, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op2_url_rules, op3_simhash, op5_mix_sources, op6_line_dedup, op7_neighbours, op8_quality_rules, op9_bpe)}
 
 _W = r"'[^\x20\x09-\x0D]+'"
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
