@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing, neighbours, quality, repeats, simhash, url_rules
+from . import bpe, line_dedup, mixing, neighbours, quality, repeats, simhash, toxicity, url_rules
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op3_simhash(spark, sf_dir):
     return rows.select("doc_id", simhash.hex16(F.col("f0")).alias("fingerprint"), "component_id")
 
 
+def op4_toxicity(spark, sf_dir):
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_mix_sources(spark, sf_dir):
     return mixing.shares(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -49,7 +53,7 @@ def op10_repeats(spark, sf_dir):
     return rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("_spans").cast("long").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_rules, op3_simhash, op5_mix_sources, op6_line_dedup, op7_neighbours, op8_quality_rules, op9_bpe, op10_repeats)}
+QUERIES = {f.__name__: f for f in (op2_url_rules, op3_simhash, op4_toxicity, op5_mix_sources, op6_line_dedup, op7_neighbours, op8_quality_rules, op9_bpe, op10_repeats)}
 
 _W = r"'[^\x20\x09-\x0D]+'"
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
