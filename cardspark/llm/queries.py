@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing, neighbours, quality, repeats, simhash, toxicity, url_rules
+from . import bpe, katz, line_dedup, mixing, neighbours, quality, repeats, simhash, toxicity, url_rules
 from .common import table
 
 
+def op1_katz(spark, sf_dir):
+    return katz.score(table(spark, sf_dir, "documents"), rereadable=True)
+
+
 def op2_url_rules(spark, sf_dir):
     return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "_url.*")
 
@@ -53,7 +57,7 @@ def op10_repeats(spark, sf_dir):
     return rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("_spans").cast("long").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_rules, op3_simhash, op4_toxicity, op5_mix_sources, op6_line_dedup, op7_neighbours, op8_quality_rules, op9_bpe, op10_repeats)}
+QUERIES = {f.__name__: f for f in (op1_katz, op2_url_rules, op3_simhash, op4_toxicity, op5_mix_sources, op6_line_dedup, op7_neighbours, op8_quality_rules, op9_bpe, op10_repeats)}
 
 _W = r"'[^\x20\x09-\x0D]+'"
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
