@@ -1,0 +1,51 @@
+"""The operators' input tables, made from the given ones by SQL that Spark and the oracle engine share."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+TYPES = ("result_impact", "data_metric", "difficulty_solution", "decision_tradeoff", "tech_principle", "process_method", "domain_fact")
+_TYPE = "case doc_id % 7 " + " ".join(f"when {i} then '{t}'" for i, t in enumerate(TYPES)) + " end"
+_MATERIAL = "case doc_id % 7 when 0 then 'text' when 1 then 'file' when 2 then 'github' when 3 then 'company_url' when 4 then 'obsidian' when 5 then 'zip' else 'meeting' end"
+
+#: {array}, {ms}: spelled differently by the two engines.
+SQL = {
+    "cards": f"""select d.doc_id as card_id, source as project_id, {_TYPE} as type, split_part(text, chr(10), 1) as title, substring(text, 1, 200) as summary,
+      substring(text, 1, 2000) as details, {{array}}(lang, source) as tags, lang as language, cast(d.doc_id % 101 as double) / 100 as confidence,
+      coalesce(l.quality, 0) = 1 and d.doc_id % 3 = 0 as is_important, coalesce(l.toxic, 0) = 1 as user_verified, d.doc_id as source_material_id, d.doc_id * 7919 % 100003 as created_at,
+      case when d.doc_id % 4 = 0 then null else d.doc_id * 31 % 1009 end as due_at
+      from documents d left join labels l on d.doc_id = l.doc_id""".replace("doc_id %", "d.doc_id %").replace("d.d.", "d."),
+    "materials": f"""select doc_id as id, source as project_id, {_MATERIAL} as type, case when doc_id % 3 = 0 then 'company' else 'project' end as category,
+      case when doc_id % 3 = 0 then 'Company ' || lang || ' (x) (https://' || source || ')' else source || '/dir' || cast(doc_id % 4 as varchar(9)) || '/note' || cast(doc_id as varchar(20)) || '.md' end as source_ref,
+      text as raw_content, case when doc_id % 5 = 0 then null else doc_id % 977 end as source_mtime, doc_id * 104729 % 1000003 as uploaded_at from documents""",
+    "projects": """select source as id, source in ('src0', 'src7') as is_profile, 'Project ' || source as name, 'Role of ' || source || chr(10) || 'more' as target_role,
+      'jd ' || source as jd_text, max(doc_id) as updated_at, case when source = 'src3' then 'src0' end as parent_project_id from documents group by source""",
+    "segments": "select conv_id as session_id, turn as seq, case role when 'user' then 'speaker' when 'assistant' then 'self' else role end as role, text from conversations where role <> 'system'",
+    "queries": "select item_id as query_id, 'src' || cast(item_id % 20 as varchar(9)) as project_id, text from benchmark",
+    "hits": "select event_id as id, user_id as k, {ms}(ts) as ms, event_type, value from events",
+}
+
+
+def spark_sql(name: str) -> str:
+    return SQL[name].format(array="array", ms="unix_millis")
+
+
+def duck_sql(name: str) -> str:
+    return SQL[name].format(array="list_value", ms="epoch_ms")
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """IO1: a given table, or one of the tables above."""
+    if name not in SQL:
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return df.withColumn("ts", df["ts"].cast("timestamp")) if name == "events" else df
+    sources = [t for t in ("documents", "labels", "conversations", "benchmark", "events") if f"from {t}" in SQL[name] or f"join {t}" in SQL[name]]
+    sql = spark_sql(name)
+    for t in sources:
+        sql = sql.replace(f"from {t}", f"from {{{t}}}").replace(f"join {t}", f"join {{{t}}}")
+    return spark.sql(sql, **{t: read(spark, sf_dir, t) for t in sources})
+
+
+def using(*names: str) -> str:
+    """A WITH clause of these tables for the oracle engine."""
+    return "with " + ", ".join(f"{n} as ({duck_sql(n)})" for n in names) + " "
