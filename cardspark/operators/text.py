@@ -212,3 +212,8 @@ def display_name(ref: Column, default: str = "") -> Column:
 def text_material_ref(c: Column) -> Column:
     """The first 50 characters of a pasted text, newlines as spaces; null under ten characters."""
     return F.when(F.length(js_trim(c)) >= 10, F.regexp_replace(F.substring(c, 1, 50), "\n", " "))
+
+
+def fetch_route(static: Column, rendered: Column, enough: int = 500, least: int = 50) -> Column:
+    """V3: a page's static text if it is long enough, else its rendered text, else too short."""
+    return F.when(F.length(F.coalesce(static, F.lit(""))) >= enough, "static").when(rendered.isNull(), "render").when(F.length(rendered) < least, "too_short").otherwise("rendered")

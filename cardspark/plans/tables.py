@@ -22,6 +22,15 @@ SQL = {
       'jd ' || source as jd_text, max(doc_id) as updated_at, case when source = 'src3' then 'src0' end as parent_project_id from documents group by source""",
     "segments": "select conv_id as session_id, turn as seq, case role when 'user' then 'speaker' when 'assistant' then 'self' else role end as role, text from conversations where role <> 'system'",
     "queries": "select item_id as query_id, 'src' || cast(item_id % 20 as varchar(9)) as project_id, text from benchmark",
+    "notes": """select id, project_id, source_ref, case when source_ref like '%/%' then split_part(source_ref, '/', 2) else '' end as folder, {array}(type, category, type) as tags,
+      case id % 3 when 0 then 'new' when 1 then 'changed' else 'unchanged' end as status, (coalesce(source_mtime, 5) + id % 3 - 1) * 1000 + 500 as mtime_ms from materials""",
+    "licences": """select o_orderkey as id, o_custkey as user_id, case o_orderstatus when 'O' then 'active' when 'F' then 'expired' else 'pending' end as status,
+      case when o_orderkey % 3 = 0 then null else o_orderdate end as activated_at, o_orderdate as created_at, o_orderdate + interval 365 day as expires_at from orders""",
+    "devices": "select o_custkey as user_id, o_orderkey % 5 as device_id, max({ms}(cast(o_orderdate as timestamp))) as last_seen_ms from orders group by o_custkey, o_orderkey % 5",
+    "surveys": """select event_id as id, case when event_id % 6 = 0 then null else user_id % 40 end as user_id, 'p' || cast(user_id % 3 as varchar(9)) as project_id, cast(cast(ts as date) as varchar(10)) as meeting_date,
+      event_id as submitted_at, case event_id % 4 when 0 then 'good' when 1 then 'bad' else 'open' end as outcome, case event_id % 3 when 0 then 'yes' else 'no' end as card_helpful, case event_id % 5 when 0 then 'no' else 'yes' end as will_use_next from events""",
+    "calls": """select event_id as id, user_id, case user_id % 3 when 0 then 'anthropic' when 1 then 'openai' else 'deepseek' end as vendor, event_type as model, cast(ts as date) as day, event_id % 5 <> 0 as ok,
+      cast(floor(value) as bigint) as tokens, {ms}(ts) as ms from events""",
     "hits": "select event_id as id, user_id as k, {ms}(ts) as ms, event_type, value from events",
 }
 
@@ -39,7 +48,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in SQL:
         df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         return df.withColumn("ts", df["ts"].cast("timestamp")) if name == "events" else df
-    sources = [t for t in ("documents", "labels", "conversations", "benchmark", "events") if f"from {t}" in SQL[name] or f"join {t}" in SQL[name]]
+    sources = [t for t in ("documents", "labels", "conversations", "benchmark", "events", "materials", "orders") if f"from {t}" in SQL[name] or f"join {t}" in SQL[name]]
     sql = spark_sql(name)
     for t in sources:
         sql = sql.replace(f"from {t}", f"from {{{t}}}").replace(f"join {t}", f"join {{{t}}}")
@@ -48,4 +57,5 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def using(*names: str) -> str:
     """A WITH clause of these tables for the oracle engine."""
+    names = ("materials", *[n for n in names if n != "materials"]) if "notes" in names else names
     return "with " + ", ".join(f"{n} as ({duck_sql(n)})" for n in names) + " "
