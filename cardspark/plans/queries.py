@@ -1,6 +1,6 @@
 """All registered queries of the library's own operators, with their oracles."""
 
-from . import card_queries, text_queries, usage_queries
+from . import card_queries, stream_queries, text_queries, usage_queries
 
-QUERIES = text_queries.QUERIES | card_queries.QUERIES | usage_queries.QUERIES
-ORACLES = text_queries.ORACLES | card_queries.ORACLES | usage_queries.ORACLES
+QUERIES = text_queries.QUERIES | card_queries.QUERIES | usage_queries.QUERIES | stream_queries.QUERIES
+ORACLES = text_queries.ORACLES | card_queries.ORACLES | usage_queries.ORACLES | stream_queries.ORACLES
