@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import rolling
 from .common import stash
 
-CHUNK = 10_000_000  # bytes of text that are counted at once
+CHUNK = 5_000_000  # bytes of text that are counted at once
 DISCOUNTED = 5  # counts up to this are discounted by Good-Turing
 LEAST = 0.01  # what larger counts give up, so that every context can back off
 START, END = np.uint64(0x5354415254000001), np.uint64(0x454E440000000001)
