@@ -149,12 +149,12 @@ def t19_client_ip(spark, d):
     return read(spark, d, "pages").select("page_id", T.client_ip(F.expr("case when page_id % 5 = 0 then ' t ' end"), F.expr(_FWD)).alias("ip"))
 
 
-_KEY = "case when doc_id % 3 = 0 then 'QM' || substring(upper(md5(cast(doc_id as varchar(20)))), 1, 30) when doc_id % 3 = 1 then 'QM' || substring(translate(upper(md5(cast(doc_id as varchar(20)))), '01', 'XY'), 1, 30) else lang end"
+_KEY = "case when doc_id % 3 = 0 then 'CS' || substring(upper(md5(cast(doc_id as varchar(20)))), 1, 30) when doc_id % 3 = 1 then 'CS' || substring(translate(upper(md5(cast(doc_id as varchar(20)))), '01', 'XY'), 1, 30) else lang end"
 
 
-@query(f"with a as (select doc_id, {_KEY} as k from documents) select doc_id, case when length(k) = 32 then substring(k, 1, 8) || '****' || right(k, 4) else k end as masked, length(k) = 32 and regexp_matches(k, '^QM[{T.KEY_LETTERS}]+$') as valid from a")
+@query(f"with a as (select doc_id, {_KEY} as k from documents) select doc_id, case when length(k) = 32 then substring(k, 1, 8) || '****' || right(k, 4) else k end as masked, length(k) = 32 and regexp_matches(k, '^CS[{T.KEY_LETTERS}]+$') as valid from a")
 def t20_licence_keys(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.expr(_KEY).alias("k")).select("doc_id", T.mask_key(F.col("k")).alias("masked"), T.valid_key(F.col("k"), "QM").alias("valid"))
+    return read(spark, d, "documents").select("doc_id", F.expr(_KEY).alias("k")).select("doc_id", T.mask_key(F.col("k")).alias("masked"), T.valid_key(F.col("k"), "CS").alias("valid"))
 
 
 @query("select o_orderkey, case when o_orderdate <= timestamp '1996-01-01' then 'expired' when o_orderstatus = 'O' then 'active' when o_orderstatus = 'F' then 'expired' else 'none' end as claim from orders")
