@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, ascii_lower
+from .common import WS, ascii_lower, stash
 
 
 def drop_common_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -26,7 +26,8 @@ def drop_common_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -
         .where(F.length("key") >= min_chars)
         .select("_id", "_h", "pos", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), "key").alias("k2"))
     )
-    common = lines.groupBy("k1", "k2").agg(F.count_distinct("_id").alias("n"), F.max("_id").alias("keep")).where(F.col("n") >= min_docs).select("k1", "k2", "keep")
+    # written first: the join then reads two plain shuffles, and Spark can split a hot key's
+    common = stash(lines.groupBy("k1", "k2").agg(F.count_distinct("_id").alias("n"), F.max("_id").alias("keep")).where(F.col("n") >= min_docs).select("k1", "k2", "keep"))
     drops = lines.join(common, ["k1", "k2"]).where("_id <> keep").groupBy("_id", "_h").agg(F.collect_set("pos").alias("drop"))
     split = F.split(F.coalesce("text", F.lit("")), "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), F.col("drop"))
