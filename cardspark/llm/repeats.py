@@ -245,7 +245,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", gr
 
     long_ = base.where(F.octet_length("text") >= length).select("_k1", "_k2", F.col("text").cast("binary").alias("text"))
     marks = stash(long_.mapInArrow(find, "k1 bigint, k2 bigint, pos int, lo int, hi int, h bigint").distinct())
-    common = marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    # written first: the join then reads two plain shuffles, and Spark can split a hot anchor's
+    common = stash(marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
     lists = marks.join(common, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "lo", "hi", "h", "n")).alias("marks"))
     lists = lists.join(classes.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), "who"), ["k1", "k2"])
     texts = base.select("_k1", "_k2", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_id"), F.col("text").alias("_t"))
