@@ -43,6 +43,17 @@ class Tokens:
         bounds = np.cumsum([len(r) for r in raw])
         self.cuts = np.concatenate([[0], np.searchsorted(start, bounds)]).astype(np.int64)
 
+    @classmethod
+    def joined(cls, texts: list[str | None], size: int = 100) -> Tokens:
+        """As Tokens(texts), made from a few texts at a time, so that byte arrays stay small."""
+        parts = [cls(texts[i : i + size]) for i in range(0, len(texts), size)]
+        out = cls.__new__(cls)
+        out.word, out.char, out.length = (np.concatenate([getattr(p, n) for p in parts]) for n in ("word", "char", "length"))
+        out.first = np.cumsum(out.length) - out.length
+        ends = np.cumsum([p.cuts[-1] for p in parts])
+        out.cuts = np.concatenate([[0], *[p.cuts[1:] + e - p.cuts[-1] for p, e in zip(parts, ends)]]).astype(np.int64)
+        return out
+
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, word numbers, mask) of all overlapping windows; a document without words has an empty one."""
         n = np.diff(self.cuts)
@@ -180,7 +191,7 @@ def train(texts: list[str], toxic: list[int], rounds: int = 2, epochs: int = 2,
     if not len(y) or y.min() == y.max():
         return None
     rng = np.random.default_rng(seed)
-    t = Tokens(texts)
+    t = Tokens.joined(texts)
     doc, at, mask = t.windows()
     owner = np.repeat(np.arange(len(y)), np.diff(t.cuts))
     df = np.zeros((2, 1 << CHAR_BITS))

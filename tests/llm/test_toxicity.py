@@ -57,6 +57,13 @@ def test_windows_overlap_and_cover():
     assert (doc == 7).sum() == -(-(500 - 32) // 16) + 1
 
 
+def test_joined_tokens_are_the_same():
+    texts = ["one two", None, "", "Drei vier fünf", "a b c " * 50]
+    a, b = toxicity.Tokens(texts), toxicity.Tokens.joined(texts, 2)
+    for n in ("word", "char", "length", "first", "cuts"):
+        assert getattr(a, n).tolist() == getattr(b, n).tolist()
+
+
 def test_held_out_accuracy(spark):
     rows = corpus(500)
     docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows], "doc_id long, text string, score string")
