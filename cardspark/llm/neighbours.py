@@ -106,7 +106,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
     best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: _block(a, b, k), "q bigint, c bigint, score double")
     pairs = best.groupBy("q", "c").agg(F.max("score").alias("score"))
     top = Window.partitionBy("q").orderBy(F.desc("score"), "c")
-    top_classes = pairs.withColumn("n", F.row_number().over(top)).where(F.col("n") <= k + 1)
+    top_classes = stash(pairs.withColumn("n", F.row_number().over(top)).where(F.col("n") <= k + 1).select("q", "c", "score"))
     return _ranked(top_classes, classes, asked, k)
 
 
