@@ -45,12 +45,21 @@ def _majorities(h: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, width: int = 1) -> DataFrame:
+def shingle_set(text: Column, n: int) -> Column:
+    """The distinct shingle hashes, in order."""
+    return F.array_sort(F.array_distinct(shingle_hashes(text, n)))
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, width: int = 1, sets: bool = False) -> DataFrame:
     """docs(doc_id, text) -> doc_id, f0..f(width-1): 64-bit fingerprints; after the first, of remixed shingle hashes.
 
+    With `sets` a repeated shingle counts once, and `s` is the hash of the text's set of shingles.
     Null, empty and blank texts have fingerprint zero. Whole texts count; a batch of rows is cut where its hashes are many.
     """
-    rows = docs.select("doc_id", shingle_hashes(F.col("text"), shingle).alias("h"))
+    rows = docs.select("doc_id", (shingle_set if sets else shingle_hashes)(F.col("text"), shingle).alias("h"))
+    if sets:
+        rows = rows.select("doc_id", "h", F.xxhash64("h").alias("s"))
+    names = ["doc_id", *[f"f{k}" for k in range(width)], *["s"] * sets]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,10 +77,10 @@ def fingerprints(docs: DataFrame, shingle: int = 3, width: int = 1) -> DataFrame
                     for a, b in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
                         x = (x ^ (x >> np.uint64(a))) * np.uint64(b)
                     out.append(_majorities(x ^ (x >> np.uint64(31)), cuts))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *[pa.array(x.view(np.int64)) for x in out]], names=["doc_id", *[f"f{k}" for k in range(width)]])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *[pa.array(x.view(np.int64)) for x in out], *[x.slice(i, j - i) for x in batch.columns[2:]]], names=names)
                 i = j
 
-    return rows.mapInArrow(run, f"doc_id bigint, {', '.join(f'f{k} bigint' for k in range(width))}")
+    return rows.mapInArrow(run, ", ".join(f"{x} bigint" for x in names))
 
 
 def exact_masks(bits: list[int], differences: int) -> list[int]:
@@ -85,13 +94,19 @@ def sampled_masks(count: int, width: int, seed: int = 5) -> list[int]:
     return [sum(1 << int(b) for b in rng.choice(64, width, replace=False)) for _ in range(count)]
 
 
-def masks_for(similarity: float, rows: int, recall: float = 0.9) -> list[int]:
-    """Sampled masks so long that strangers meet rarely among that many rows, and so many that pairs of the given shingle
-    similarity (Jaccard) agree under one with probability `recall`."""
-    cos = 2 * similarity / (1 + similarity)
-    same = 1 - math.acos(cos) / math.pi
-    width = min(40, max(10, math.ceil(math.log2(rows + 2)) - 2))
-    return sampled_masks(math.ceil(math.log(1 - recall) / math.log(1 - same**width)), width)
+def masks_for(similarity: float, width: int = 1, recall: float = 0.998, bits: int = 12) -> list[int]:
+    """Sampled masks, mask k for word k % width, as many as it takes that a pair of the given shingle similarity (Jaccard)
+    agrees under one of them with probability `recall`.
+
+    Bits differ independently, each with the angle's probability; the number of rows plays no part.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    chance = [math.comb(64, d) * p**d * (1 - p) ** (64 - d) for d in range(65)]
+    agree = [math.comb(64 - d, bits) / math.comb(64, bits) for d in range(65)]
+    each = 1
+    while sum(c * (1 - a) ** each for c, a in zip(chance, agree, strict=True)) ** width > 1 - recall:
+        each += 1
+    return sampled_masks(each * width, bits)
 
 
 def _gray_rank(x: np.ndarray) -> np.ndarray:
@@ -211,6 +226,125 @@ def links(prints: DataFrame, width: int, near: int, far: int, masks: list[int],
     return packed.select("members").mapInArrow(run, "a bigint, b bigint")
 
 
+def meet(prints: DataFrame, width: int, near: int, far: int, masks: list[int], node: int = 4 * NODE) -> DataFrame:
+    """prints(f0.., id) -> edges (a, b) that connect whatever differs in `far` bits at most, in `near` bits of the word that a
+    mask is of, and agrees under that mask; mask k is of word k % width. A node's pairs stay in its task: it returns at most
+    one edge a fingerprint."""
+    words_ = [f"f{k}" for k in range(width)]
+    keys = [F.struct(F.lit(k).alias("m"), F.col(words_[k % width]).bitwiseAND(F.lit(_signed(m))).alias("p")) for k, m in enumerate(masks)]
+    rows = prints.select("id", *words_, F.explode(F.array(*keys)).alias("k")).select("k.m", "k.p", "id", *words_)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = batch.column(1)
+            cuts = col.offsets.to_numpy()
+            ids = col.values.field("id").to_numpy()
+            f = np.stack([col.values.field(w).to_numpy().view(np.uint64) for w in words_])
+            a, b = [ids[:0]], [ids[:0]]
+            for m, i, j in zip(batch.column(0).to_numpy(), cuts[:-1], cuts[1:], strict=True):
+                if j - i < 2:
+                    continue
+                order = np.argsort(_gray_rank(f[m % width, i:j]), kind="stable") + i
+                g, who = f[:, order], ids[order]
+                q, c = search(g[m % width], near)
+                ok = sum(np.bitwise_count(g[k][q] ^ g[k][c]).astype(np.int32) for k in range(width)) <= far
+                label = spanning(j - i, q[ok], c[ok])
+                child = np.flatnonzero(label != np.arange(j - i))
+                a.append(who[label[child]])
+                b.append(who[child])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    def pack(df: DataFrame, by: list[str]) -> DataFrame:
+        packed = df.groupBy(*by).agg(F.collect_list(F.struct("id", *words_)).alias("members")).where(F.size("members") > 1)
+        return packed.select("m", "members").mapInArrow(run, "a bigint, b bigint")
+
+    return pack(rows, ["m", "p"])
+
+
+def dealt(rows: DataFrame, keys: list[str], cap: int, pack) -> DataFrame:
+    """rows(keys.., id, weight, ...) -> edges (a, b) that connect in each group whatever pack(rows, keys) links in it.
+
+    A group over the cap is dealt out in blocks. First each block is linked by itself; then the rows that are not connected to
+    the group's largest part meet all blocks, so that every pair of two parts is in one block with its like. Such a group costs a
+    copy of its rows for each block of what stays unconnected, so one of copies of one text costs two.
+    """
+    sizes = rows.groupBy(*keys).agg(F.sum("weight").alias("_n"))
+    hot = stash(sizes.where(F.col("_n") > cap).select(*keys, F.ceil(F.col("_n") * 2 / cap).cast("int").alias("_k")))
+    if hot.isEmpty():
+        return pack(rows, keys)
+    of = rows.join(F.broadcast(hot), keys, "left")
+    first = stash(pack(of.withColumn("_b", F.pmod(F.xxhash64("id"), F.coalesce("_k", F.lit(1)))), [*keys, "_b"]))
+    part = stash(of.where("_k is not null").join(components(first).withColumnRenamed("root", "_r"), "id", "left").withColumn("_r", F.coalesce("_r", "id")))
+    parts = part.groupBy(*keys, "_r").agg(F.sum("weight").alias("_w"))
+    main = parts.groupBy(*keys).agg(F.max_by("_r", F.struct("_w", "_r")).alias("_main"))
+    rest = part.join(F.broadcast(main), keys).withColumn("_open", F.col("_r") != F.col("_main"))
+    j = F.ceil(F.sum(F.when(F.col("_open"), F.col("weight"))) * 2 / cap).cast("int")
+    rest = rest.join(F.broadcast(stash(rest.groupBy(*keys).agg(j.alias("_j")).where("_j > 0"))), keys)
+    cell = lambda x, y: F.struct(x.cast("bigint").alias("x"), y.cast("bigint").alias("y"))
+    mine, other = F.pmod(F.xxhash64("id", F.lit(1)), F.col("_j")), F.pmod(F.xxhash64("id"), F.col("_k"))
+    down = F.transform(F.sequence(F.lit(0), F.col("_j") - 1), lambda x: cell(x, other))
+    across = F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda y: cell(mine, y))
+    cells = rest.withColumn("_c", F.explode(F.when(F.col("_open"), F.array_union(down, across)).otherwise(down)))
+    return first.unionByName(pack(cells.withColumns({"_x": F.col("_c.x"), "_y": F.col("_c.y")}), [*keys, "_x", "_y"]))
+
+
+def alike(cuts: np.ndarray, values: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) that connect the sets values[cuts[i]:cuts[i+1]], none empty, whose Jaccard similarity is reached.
+
+    A walk: each set reached is compared with all that are not, so the members of a group of copies are compared once.
+    """
+    n = np.diff(cuts)
+    code = np.unique(values, return_inverse=True)[1]
+    mark = np.zeros(len(values), bool)
+    left, flat, a, b, todo = np.arange(len(n)), code, [], [], []
+
+    def drop(gone: np.ndarray) -> None:
+        nonlocal left, flat
+        flat, left = flat[np.repeat(~gone, n[left])], left[~gone]
+
+    while len(left):
+        if not todo:
+            todo.append(left[0])
+            drop(np.arange(len(left)) == 0)
+            continue
+        x = todo.pop()
+        mine = code[cuts[x] : cuts[x + 1]]
+        mark[mine] = True
+        common = np.add.reduceat(mark[flat], np.cumsum(n[left]) - n[left], dtype=np.int64)
+        mark[mine] = False
+        hit = common + 1e-9 >= similarity * (n[x] + n[left] - common)
+        if hit.any():
+            todo.extend(left[hit])
+            a.append(np.full(hit.sum(), x))
+            b.append(left[hit])
+            drop(hit)
+    return np.concatenate([np.zeros(0, int), *a]), np.concatenate([np.zeros(0, int), *b])
+
+
+def verified(sets: DataFrame, similarity: float, cap: int = 1_000_000) -> DataFrame:
+    """sets(root, id, h: distinct shingles) -> edges (a, b) that connect, among equal roots, whatever reaches the similarity."""
+    rows = sets.where(F.size("h") > 0).withColumn("weight", F.size("h") + 50)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = batch.column(0)
+            cuts = col.offsets.to_numpy()
+            ids, h = col.values.field("id").to_numpy(), col.values.field("h")
+            at, values = h.offsets.to_numpy(), h.values.to_numpy()
+            a, b = [ids[:0]], [ids[:0]]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                x, y = alike(at[i : j + 1] - at[i], values[at[i] : at[j]], similarity)
+                a.append(ids[i + x])
+                b.append(ids[i + y])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    def pack(df: DataFrame, by: list[str]) -> DataFrame:
+        packed = df.groupBy(*by).agg(F.collect_list(F.struct("id", "h")).alias("members")).where(F.size("members") > 1)
+        return packed.select("members").mapInArrow(run, "a bigint, b bigint")
+
+    return dealt(rows, ["root"], cap, pack)
+
+
 def _signed(m: int) -> int:
     return m - (1 << 64) if m >= 1 << 63 else m
 
@@ -255,20 +389,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, near: int = 2, width: int
     """docs(doc_id, text, ...) -> doc_id, f0.., component_id; a row per row.
 
     Fingerprints link at `near` or fewer differing bits of f0 (and `far` or fewer of all words); component_id is the smallest
-    doc_id reachable. Without `similarity` the search is exact; with it, masks are sampled for pairs of that similarity.
-    Equal fingerprints are one class before any search, so exact copies cost one row. Null and empty texts have fingerprint
-    zero and are linked like any other. Rows with a null doc_id get their class's component (null if no other id is in it).
-    Repeated rows get equal results; no rows give no rows; other columns are not read.
+    doc_id reachable. Without `similarity` the search is exact. With it, the sets of shingles decide: masks are sampled to find
+    pairs of that similarity, and whatever they connect is compared shingle by shingle, so no link is under the similarity.
+    Equal fingerprints (with `similarity`: equal sets) are one class before any search, so exact copies cost one row. Null and
+    empty texts have fingerprint zero and are one class. Rows with a null doc_id get their class's component (null if no other
+    id is in it). Repeated rows get equal results; no rows give no rows; other columns are not read.
     """
     words_ = [f"f{k}" for k in range(width)]
-    prints = stash(fingerprints(docs, shingle, width))
-    classes = stash(prints.groupBy(*words_).agg(F.min("doc_id").alias("id")))
-    n = classes.count()
-    masks = exact_masks(list(range(64)), near) if similarity is None else masks_for(similarity, n)
-    edges = links(classes.where("id is not null"), width, near, 64 * width if far is None else far, masks, similarity is None)
-    roots = components(edges)
-    of = classes.join(roots, "id", "left").select(*words_, F.coalesce("root", "id").alias("component_id"))
-    return prints.join(of, words_)
+    exact = similarity is None
+    of_class = words_ if exact else [*words_, "s"]
+    prints = stash(fingerprints(docs, shingle, width, not exact))
+    classes = stash(prints.groupBy(*of_class).agg(F.min("doc_id").alias("id")))
+    known, far = classes.where("id is not null"), 64 * width if far is None else far
+    if exact:
+        roots = components(links(known, width, near, far, exact_masks(list(range(64)), near), True))
+    else:
+        found = known.select("id", "s").join(components(meet(known, width, near, far, masks_for(similarity, width))), "id")
+        texts = docs.select(F.col("doc_id").alias("id"), "text").join(found, "id")
+        sets = texts.select("root", "id", "s", shingle_set(F.col("text"), shingle).alias("h")).where(F.xxhash64("h") == F.col("s"))
+        roots = components(verified(stash(sets.dropDuplicates(["id", "s"]).drop("s")), similarity))
+    of = classes.join(roots, "id", "left").select(*of_class, F.coalesce("root", "id").alias("component_id"))
+    return prints.join(of, of_class).drop("s")
 
 
 def hex16(c: Column) -> Column:

@@ -29,11 +29,11 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest doc_id, of each group whose fingerprints of five-word shingles say a similarity of 0.8.
+    """One document, of the smallest doc_id, of each group that links of a similarity (Jaccard, five-word shingles) of 0.8 connect.
 
     Rows that repeat a doc_id are one document: the row with the smallest hash stays. Rows without doc_id all stay.
     """
-    groups = simhash.near_duplicates(docs, shingle=5, near=14, width=4, far=41, similarity=0.8)
+    groups = simhash.near_duplicates(docs, shingle=5, near=26, width=4, far=64, similarity=0.8)
     keep = groups.where("doc_id = component_id").select("doc_id").distinct()
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
     kept = docs.join(keep, "doc_id").withColumn("_n", F.row_number().over(one)).where("_n = 1").select(docs.columns)

@@ -137,6 +137,20 @@ def test_near_duplicate_stage(stages):
     assert len({r[0] for r in stages[3]} & set(range(200, 240))) <= 8  # copies go, but short ones whose edit is a large part
 
 
+def test_near_duplicate_stage_links_what_shares_its_shingles(stages):
+    def shingles(text):
+        w = WORD.findall(text.lower())
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} - {()}
+
+    sets = {r[0]: shingles(r[1]) for r in stages[2]}
+    comp = {i: i for i in sets}
+    close = [(i, j) for i in sets for j in sets if i < j and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))]
+    for _ in sets:
+        for i, j in close:
+            comp[i] = comp[j] = min(comp[i], comp[j])
+    assert sorted(stages[3]) == sorted(r for r in stages[2] if r[0] in set(comp.values()))
+
+
 def test_mix_stage(stages, spark):
     rows = stages[3]
     taken = {r.doc_id: (r.taken, r.size) for r in mixing.shares(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}

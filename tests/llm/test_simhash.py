@@ -86,3 +86,43 @@ def test_sampled_masks_find_similar_pairs(spark):
     comp = {r.doc_id: r.component_id for r in got.collect()}
     assert sum(comp[2 * i] == comp[2 * i + 1] for i in range(40)) >= 36
     assert len(set(comp.values())) >= 40
+
+
+def close_pairs(pairs, rng):
+    """Pairs of random texts with some words changed, and the Jaccard similarity of their five-word shingles."""
+    shingles = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    for i in range(pairs):
+        w = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        v = list(w)
+        for k in rng.choice(300, rng.integers(6, 10), replace=False):
+            v[k] = "edit"
+        a, b = shingles(w), shingles(v)
+        yield (2 * i, " ".join(w)), (2 * i + 1, " ".join(v)), len(a & b) / len(a | b)
+
+
+def test_pairs_just_over_the_similarity_are_found_and_none_under_it(spark):
+    made = [x for x in close_pairs(900, np.random.default_rng(4)) if 0.75 <= x[2] < 0.83]
+    df = spark.createDataFrame([r for x in made for r in x[:2]], "doc_id long, text string")
+    comp = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, 5, 26, 4, 64, 0.8).collect()}
+    over = [comp[a[0]] == comp[b[0]] for a, b, j in made if j >= 0.8]
+    under = [comp[a[0]] == comp[b[0]] for a, b, j in made if j < 0.8]
+    assert len(over) > 100 and len(under) > 100
+    assert sum(over) >= 0.98 * len(over) and not any(under)
+
+
+def test_a_group_over_the_cap_is_compared_in_blocks(spark):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**62, (4, 40))
+    sets = [sorted({int(x) for x in np.where(rng.random(40) < 0.08, rng.integers(0, 2**62, 40), base[i % 4])}) for i in range(120)]
+    df = spark.createDataFrame([(0, i, s) for i, s in enumerate(sets)], "root long, id long, h array<long>")
+    want = list(range(120))
+    for _ in range(120):
+        for i in range(120):
+            for j in range(i):
+                if len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j])):
+                    want[i] = want[j] = min(want[i], want[j])
+        if all(want[want[i]] == want[i] for i in range(120)):
+            break
+    for cap in (700, 10**6):
+        got = {r.id: r.root for r in simhash.components(simhash.verified(df, 0.8, cap)).collect()}
+        assert [got.get(i, i) for i in range(120)] == want
