@@ -229,10 +229,10 @@ def links(prints: DataFrame, width: int, near: int, far: int, masks: list[int],
 def meet(prints: DataFrame, width: int, near: int, far: int, masks: list[int], node: int = 4 * NODE) -> DataFrame:
     """prints(f0.., id) -> edges (a, b) that connect whatever differs in `far` bits at most, in `near` bits of the word that a
     mask is of, and agrees under that mask; mask k is of word k % width. A node's pairs stay in its task: it returns at most
-    one edge a fingerprint."""
+    one edge a fingerprint. A node over `node` fingerprints is dealt out in blocks that lose no pair."""
     words_ = [f"f{k}" for k in range(width)]
     keys = [F.struct(F.lit(k).alias("m"), F.col(words_[k % width]).bitwiseAND(F.lit(_signed(m))).alias("p")) for k, m in enumerate(masks)]
-    rows = prints.select("id", *words_, F.explode(F.array(*keys)).alias("k")).select("k.m", "k.p", "id", *words_)
+    rows = prints.select("id", *words_, F.explode(F.array(*keys)).alias("k")).select("k.m", "k.p", "id", *words_, F.lit(1).alias("weight"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,7 +258,7 @@ def meet(prints: DataFrame, width: int, near: int, far: int, masks: list[int], n
         packed = df.groupBy(*by).agg(F.collect_list(F.struct("id", *words_)).alias("members")).where(F.size("members") > 1)
         return packed.select("m", "members").mapInArrow(run, "a bigint, b bigint")
 
-    return pack(rows, ["m", "p"])
+    return dealt(rows, ["m", "p"], node, pack)
 
 
 def dealt(rows: DataFrame, keys: list[str], cap: int, pack) -> DataFrame:

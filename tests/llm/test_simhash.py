@@ -126,3 +126,27 @@ def test_a_group_over_the_cap_is_compared_in_blocks(spark):
     for cap in (700, 10**6):
         got = {r.id: r.root for r in simhash.components(simhash.verified(df, 0.8, cap)).collect()}
         assert [got.get(i, i) for i in range(120)] == want
+
+
+@pytest.mark.parametrize("node", [40, 8192])
+def test_hot_nodes_of_sampled_masks_lose_no_pair(spark, node):
+    rng = np.random.default_rng(8)
+    centre = rng.integers(0, 2**63, (5, 2), dtype=np.uint64)
+    f = {tuple(map(int, c)) for c in centre}
+    for c in centre:
+        for _ in range(60):
+            x = [int(v) for v in c]
+            for k in (0, 1):
+                for b in rng.choice(64, rng.integers(1, 9), replace=False):
+                    x[k] ^= 1 << int(b)
+            f.add(tuple(x))
+    f = sorted(f)
+    masks, far = simhash.sampled_masks(4, 2), 18
+    df = spark.createDataFrame([(*map(simhash._signed, x), i) for i, x in enumerate(f)], "f0 long, f1 long, id long")
+    got = {r.id: r.root for r in simhash.components(simhash.meet(df, 2, 64, far, masks, node)).collect()}
+    close = [(i, j) for i in range(len(f)) for j in range(i) if sum((a ^ b).bit_count() for a, b in zip(f[i], f[j])) <= far and any((f[i][k % 2] ^ f[j][k % 2]) & m == 0 for k, m in enumerate(masks))]
+    want = list(range(len(f)))
+    for _ in f:
+        for i, j in close:
+            want[i] = want[j] = min(want[i], want[j])
+    assert [got.get(i, i) for i in range(len(f))] == want and len(set(want)) >= 5
