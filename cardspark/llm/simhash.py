@@ -366,7 +366,7 @@ def _child_masks(m: int, differences: int) -> list[int]:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges(a, b) -> (id, root): of every id in an edge the smallest id that links reach.
 
-    Rounds of large-star and small-star steps, each written to the shared folder, until nothing changes.
+    Rounds of large-star and small-star steps, each written to the shared folder, until nothing changes; an error if they don't end.
     """
     edges = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
@@ -382,6 +382,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if new == state:
             break
         state = new
+    else:
+        raise RuntimeError(f"components are not settled after {rounds} rounds")
     return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()).groupBy("id").agg(F.min("root").alias("root"))
 
 

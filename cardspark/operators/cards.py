@@ -6,6 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,28 +146,57 @@ def overlapping_pairs(cards: DataFrame, order: str = "card_id", limit: float = 0
     return near.select("project_id", F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late")).distinct()
 
 
-def dedup_cards(cards: DataFrame, order: str = "card_id", limit: float = 0.65, rounds: int = 50) -> DataFrame:
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (project_id, late, early, f: fate of early, null where nothing is before it), in order -> (project_id, o, fate).
+
+    What this run of rows settles counts for its later rows, so only cards whose earlier neighbours are open elsewhere stay open.
+    """
+    here, key, best = {}, None, None
+    rank = {"goes": 0, "open": 1, "stays": 2}  # of the earlier neighbours the highest decides
+    for batch in batches:
+        out = []
+        for project, late, early, f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != (project, late):
+                if key:
+                    here[key[1]] = fate = ("stays", "open", "goes")[best]
+                    out.append((*key, fate))
+                    if key[0] != project:
+                        here = {}
+                key, best = (project, late), 0
+            best = max(best, rank[here.get(early, f) if f == "open" else f or "stays"])
+        kinds = (batch.schema.field(0).type, batch.schema.field(1).type, pa.string())
+        yield _batch(out, kinds)
+    if key:
+        yield _batch([(*key, ("stays", "open", "goes")[best])], kinds)
+
+
+def _batch(rows: list[tuple], kinds: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["project_id", "o", "fate"])
+
+
+def dedup_cards(cards: DataFrame, order: str = "card_id", limit: float = 0.65) -> DataFrame:
     """In order, a card goes if it overlaps a card that stays.
 
     Rounds over the graph of overlaps: a card all of whose earlier neighbours are gone stays, one with an earlier neighbour
-    that stays goes. Each round is checkpointed where the session has a folder for that.
+    that stays goes. The overlaps are dealt out by ranges of their later card, and each range settles in order what it can, so
+    a long chain takes as many rounds as it crosses ranges. Rounds end when no card is open. Each is checkpointed, in the
+    session's folder where it has one.
     """
     edges = overlapping_pairs(cards, order, limit)
     context = cards.sparkSession.sparkContext
-    cut = (lambda df: df.checkpoint()) if context.getCheckpointDir() else (lambda df: df.persist())
+    cut = (lambda df: df.checkpoint()) if context.getCheckpointDir() else (lambda df: df.localCheckpoint())
     edges = cut(edges)
     state = cut(edges.select("project_id", F.col("late").alias("o")).distinct().withColumn("fate", F.lit("open")))
-    for _ in range(rounds):
+    kinds = dict(edges.dtypes)
+    left = None
+    while n := state.where("fate = 'open'").count():
+        if left is not None and n >= left:
+            raise RuntimeError(f"{n} cards stay open")
+        left = n
         early = state.withColumnsRenamed({"o": "early", "fate": "f"})
-        seen = edges.join(early, ["project_id", "early"], "left").groupBy("project_id", F.col("late").alias("o")).agg(
-            F.max((F.coalesce("f", F.lit("stays")) == "stays").cast("int")).alias("kept"), F.max((F.col("f") == "open").cast("int")).alias("open")
-        )
-        new = state.join(seen, ["project_id", "o"], "left").select(
-            "project_id", "o", F.when(F.col("fate") != "open", F.col("fate")).when(F.col("kept") == 1, "goes").when(F.coalesce("open", F.lit(0)) == 0, "stays").otherwise("open").alias("fate")
-        )
-        state = cut(new)
-        if state.where("fate = 'open'").isEmpty():
-            break
+        seen = edges.join(early, ["project_id", "early"], "left").select("project_id", "late", "early", "f")
+        ranges = seen.repartitionByRange("project_id", "late").sortWithinPartitions("project_id", "late")
+        state = cut(ranges.mapInArrow(_settle, f"project_id {kinds['project_id']}, o {kinds['late']}, fate string"))
     gone = state.where("fate <> 'stays'").select("project_id", F.col("o").alias(order))
     return cards.join(gone, ["project_id", order], "left_anti")
 

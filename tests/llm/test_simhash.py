@@ -150,3 +150,10 @@ def test_hot_nodes_of_sampled_masks_lose_no_pair(spark, node):
         for i, j in close:
             want[i] = want[j] = min(want[i], want[j])
     assert [got.get(i, i) for i in range(len(f))] == want and len(set(want)) >= 5
+
+
+def test_components_raise_where_they_are_not_settled(spark):
+    df = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    assert {r.root for r in simhash.components(df).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        simhash.components(df, 1)

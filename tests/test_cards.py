@@ -61,6 +61,24 @@ def test_dedup_cards_is_the_greedy_fold(spark, seed):
     assert {r.card_id for r in C.dedup_cards(same).collect()} == {1, 3}
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_dedup_cards_follows_a_long_chain(spark, parts):
+    rows = [(i, "p", " ".join(f"w{k}" for k in range(i, i + 5)), f"w{i + 5}") for i in range(300)]  # over 0.65 with the one before only
+    df = spark.createDataFrame([*rows, (300, "q", "w1 w2 w3 w4 w5", "w6")], "card_id long, project_id string, title string, summary string")
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = {r.card_id for r in C.dedup_cards(df).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", before[0])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    kept = []
+    for i, _, t, u in rows:
+        k = keywords(t + u)
+        if not any(len(k & o) / min(len(k), len(o)) > 0.65 for _, o in kept):
+            kept.append((i, k))
+    assert got == {i for i, _ in kept} | {300}
+
+
 def test_unique_filenames(spark):
     titles = ["卡片", "卡片 2", "卡片", "A", "a", "A", "a 2"]
     df = spark.createDataFrame([(i, "p", i, t) for i, t in enumerate(titles)], "card_id int, project_id string, place int, name string")
