@@ -3,7 +3,6 @@
 import hashlib
 import math
 import random
-import re
 from collections import Counter
 
 import numpy as np
@@ -13,7 +12,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from cardspark.llm import mixing, quality, simhash
+from cardspark.llm import mixing, quality
 
 from .test_native_rules import WORD, measures
 
@@ -61,11 +60,10 @@ def stages(spark, tmp_path_factory):
 
 def buckets(text):
     h = lambda s, seed=42: xxhash.xxh64_intdigest(s.encode(), seed)
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
     n = quality.BUCKETS
-    w, shapes = WORD.findall(text.lower()), WORD.findall(re.sub("[0-9]+", "0", re.sub("[A-Z]+", "A", re.sub("[a-z]+", "a", text))))
-    pair = lambda a, b: signed(h(b, h(a))) % n
-    return [signed(h(x)) % n for x in w] + [n + pair(a, b) for a, b in zip(w, w[1:])] + [2 * n + pair(a, b) for a, b in zip(shapes, shapes[1:])]
+    w = WORD.findall(text.lower())
+    pair = lambda a, b: h(b, h(a)) % n
+    return [h(x) % n for x in w] + [n + pair(a, b) for a, b in zip(w, w[1:])] + [2 * n + pair(a[-1], b[0]) for a, b in zip(w, w[1:])]
 
 
 def test_quality_stage(stages):
@@ -105,38 +103,6 @@ def test_line_stage(stages):
     assert sorted(stages[2]) == sorted(want) and sum(COMMON in r[1] for r in stages[2]) == 1
 
 
-def wide_print(text):
-    w = WORD.findall(text.lower())
-    s = [" ".join(w[i : i + 5]) for i in range(len(w) - 4)] or ([" ".join(w)] if w else [])
-    h = np.array([xxhash.xxh64_intdigest(x.encode(), 42) for x in s], np.uint64)
-    out = []
-    for k in range(4):
-        x = h
-        if k:
-            x = h ^ np.uint64(simhash.MIX[(k - 1) % 3] + k)
-            for a, b in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-                x = (x ^ (x >> np.uint64(a))) * np.uint64(b)
-            x ^= x >> np.uint64(31)
-        out.append(sum(1 << b for b in range(64) if 2 * int(((x >> np.uint64(b)) & np.uint64(1)).sum()) > len(x)))
-    return tuple(out)
-
-
-def test_near_duplicate_stage(stages):
-    prints = {}
-    for r in stages[2]:
-        prints.setdefault(wide_print(r[1]), []).append(r[0])
-    fs = sorted(prints)
-    masks = simhash.masks_for(0.8, len(fs))
-    comp = {f: min(prints[f]) for f in fs}
-    near = [(f, g) for i, f in enumerate(fs) for g in fs[i + 1 :] if (f[0] ^ g[0]).bit_count() <= 14 and sum((a ^ b).bit_count() for a, b in zip(f, g)) <= 41 and any((f[0] ^ g[0]) & m == 0 for m in masks)]
-    for _ in fs:
-        for f, g in near:
-            comp[f] = comp[g] = min(comp[f], comp[g])
-    kept = set(comp.values())
-    assert sorted(stages[3]) == sorted(r for r in stages[2] if r[0] in kept)
-    assert len({r[0] for r in stages[3]} & set(range(200, 240))) <= 8  # copies go, but short ones whose edit is a large part
-
-
 def test_near_duplicate_stage_links_what_shares_its_shingles(stages):
     def shingles(text):
         w = WORD.findall(text.lower())
