@@ -48,7 +48,7 @@ def op8_quality_rules(spark, sf_dir):
 
 def op9_bpe(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
+    return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), path))
 
 
 def op10_repeats(spark, sf_dir):
