@@ -50,7 +50,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and digests of ids and of the text that they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    rows = bpe.decode(bpe.encode(docs, path), path)
+    rows = bpe.round_trip(docs, path)
     return rows.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
