@@ -52,9 +52,13 @@ def op9_bpe(spark, sf_dir):
 
 
 def op10_repeats(spark, sf_dir):
-    rows = repeats.remove_spans(repeats.repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    removed = F.aggregate("_spans", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
-    return rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("_spans").cast("long").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+    """Beside the contract's columns n_short, the bytes in strings of repeats.SHORT bytes that start elsewhere too (passages of some 50 words, which may be too short to be removed), and repeats: 1 if there are any."""
+    rows = repeats.remove_spans(repeats.repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), short=repeats.SHORT))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
+    return rows.select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), total("_spans").alias("n_removed"), F.size("_spans").cast("long").alias("n_spans"),
+        F.sha2("_kept", 256).alias("kept_sha256"), total("_short").alias("n_short"), (F.size("_short") > 0).cast("int").alias("repeats"),
+    )
 
 
 QUERIES = {f.__name__: f for f in (op1_katz, op2_url_rules, op3_simhash, op4_toxicity, op5_mix_sources, op6_line_dedup, op7_neighbours, op8_quality_rules, op9_bpe, op10_repeats)}

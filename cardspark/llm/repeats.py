@@ -1,10 +1,11 @@
 """Suffix-array dedup: longest-previous-factor arrays over anchored suffixes.
 
-Spark deals the suffixes out by anchors: of every window of `length` bytes the position of its smallest k-gram hash. Equal
+Spark deals the suffixes out by anchors: of every window of `short` bytes the position of its smallest k-gram hash. Equal
 windows have equal k-grams there, so a repeat always shows among the suffixes of one anchor. In a task, the suffixes that
 start at an anchor are sorted; those that start s bytes before it follow by sorting one byte further at a time, as suffix
-arrays are induced. Each step gives the order of those suffixes and the common prefixes of neighbours, and from the previous
-and next smaller positions in that order the longest previous factor of each suffix (and, mirrored, the longest next one).
+arrays are induced. Each step gives the order of those suffixes and the common prefixes of neighbours; from the previous and
+next smaller positions in that order come the longest previous factor of each suffix and, mirrored, the longest next one. A
+string that starts at a suffix is a repeat if one of the two is as long as it.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from . import rolling
 from .common import stash
 
 LENGTH = 400
+SHORT = 280  # bytes of shorter repeats that are reported, not removed: some 50 words
 GRAM = 32
-GROUP = 8192  # suffixes of one anchor that meet in one task; larger groups are dealt out by window
+GROUP = 20_000  # different contexts of one anchor whose suffixes meet in one task
 BUNDLE = 12_000  # suffixes sorted at once
 PART = 2_000_000  # bytes looked at at once
 
@@ -92,14 +94,14 @@ def previous_factors(position: np.ndarray, common: np.ndarray) -> np.ndarray:
     return best
 
 
-def covered(group, right, right_n, left, left_n, least, position, length: int, keep_first: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Of each anchored suffix the fewest and most bytes before the anchor at which a repeated window starts; -1: none.
+def covered(group, right, right_n, left, left_n, least, position, lengths: tuple[int, ...], keep_first: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length, of each anchored suffix the fewest and most bytes before the anchor at which a repeat of that length starts; -1: none.
 
     right, left: matrices of the bytes from the anchor on, and before it (nearest first), with the numbers that count.
     Windows start least..left_n bytes before the anchor. keep_first: only windows that occur at a smaller position too.
     """
-    n = len(group)
-    low, high = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+    n, short = len(group), min(lengths)
+    out = [(np.full(n, -1, np.int64), np.full(n, -1, np.int64)) for _ in lengths]
     keys = np.concatenate([np.asarray(group, ">u4").view(np.uint8).reshape(n, 4), right], axis=1)
     idx = np.argsort(np.ascontiguousarray(keys).view(f"S{keys.shape[1]}").ravel(), kind="stable")
     other = right[idx[1:]] != right[idx[:-1]]
@@ -107,8 +109,8 @@ def covered(group, right, right_n, left, left_n, least, position, length: int, k
     lcp = np.minimum(np.minimum(lcp, right_n[idx[1:]]), right_n[idx[:-1]])
     lcp = np.concatenate([[-1], np.where(group[idx[1:]] == group[idx[:-1]], lcp, -1)]).astype(np.int64)
     for s in range(left.shape[1] + 1):
-        best = np.maximum(lcp, np.concatenate([lcp[1:], [-1]]))
-        stay = (left_n[idx] >= s) & (best + left_n[idx] >= length)
+        near = np.maximum(lcp, np.concatenate([lcp[1:], [-1]]))
+        stay = (left_n[idx] >= s) & (near + left_n[idx] >= short)
         if not stay.all():
             k = np.flatnonzero(stay)
             if len(k) < 2:
@@ -125,14 +127,16 @@ def covered(group, right, right_n, left, left_n, least, position, length: int, k
                 a, b = order[:-1][same] + 1, order[1:][same]
                 new[1:][same] = _range_min(lcp, a, b)
                 idx, lcp = idx[order], new
-        best = np.maximum(lcp, np.concatenate([lcp[1:], [-1]]))  # the larger of longest previous and next factor
-        hit = (best + s >= length) & (least[idx] <= s)
-        if keep_first and hit.any():
-            hit &= previous_factors(position[idx], lcp) + s >= length
-        who = idx[hit]
-        low[who] = np.where(low[who] < 0, s, low[who])
-        high[who] = s
-    return low, high
+        if lcp.max() + s < short:
+            continue
+        factor = previous_factors(position[idx], lcp)
+        if not keep_first:
+            factor = np.maximum(factor, previous_factors(-position[idx], lcp))
+        for (low, high), length in zip(out, lengths):
+            who = idx[(factor + s >= length) & (least[idx] <= s)]
+            low[who] = np.where(low[who] < 0, s, low[who])
+            high[who] = s
+    return out
 
 
 def _contexts(length: int):
@@ -157,8 +161,9 @@ def _contexts(length: int):
     return run
 
 
-def _group_spans(length: int, keep_first: bool):
-    """Rows sorted by anchor -> (k1, k2, start, end) of removed runs."""
+def _group_spans(lengths: tuple[int, ...], keep_first: bool):
+    """Rows sorted by anchor -> (k1, k2, size, start, end): runs of repeats of `size` bytes or more."""
+    short, length = min(lengths), max(lengths)
 
     def solve(t: pa.Table) -> pa.RecordBatch | None:
         t = t.combine_chunks()
@@ -169,18 +174,21 @@ def _group_spans(length: int, keep_first: bool):
         k1, k2, who, pos, lo, hi, h = (x[one] for x in (k1, k2, who, pos, lo, hi, h))
         bytes_ = t.column("bytes").take(pa.array(one)).to_pylist()
         before = pos - lo
-        right, left = np.zeros((len(one), length), np.uint8), np.zeros((len(one), length - GRAM), np.uint8)
+        right, left = np.zeros((len(one), length), np.uint8), np.zeros((len(one), short - GRAM), np.uint8)
         for i, (x, b) in enumerate(zip(bytes_, before.tolist())):
             a = np.frombuffer(x, np.uint8)
             right[i, : len(a) - b] = a[b:]
             left[i, :b] = a[:b][::-1]
         position = np.empty(len(one), np.int64)
         position[np.lexsort((pos, k2, k1, who))] = np.arange(len(one))
-        low, high = covered(np.unique(h, return_inverse=True)[1], right, (hi + length - pos).astype(np.int64), left, before.astype(np.int64), (pos - hi).astype(np.int64), position, length, keep_first)
-        hit = np.flatnonzero(high >= 0)
-        if not len(hit):
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(k1[hit]), pa.array(k2[hit]), pa.array((pos[hit] - high[hit]).astype(np.int64)), pa.array((pos[hit] - low[hit] + length).astype(np.int64))], names=["k1", "k2", "a", "b"])
+        after = np.array([len(x) for x in bytes_], np.int64) - before
+        found = covered(np.unique(h, return_inverse=True)[1], right, after, left, before.astype(np.int64), (pos - hi).astype(np.int64), position, lengths, keep_first)
+        parts = []
+        for size, (low, high) in zip(lengths, found):
+            hit = np.flatnonzero(high >= 0)
+            parts.append((k1[hit], k2[hit], np.full(len(hit), size), pos[hit] - high[hit], pos[hit] - low[hit] + size))
+        columns = [np.concatenate(x).astype(np.int64) for x in zip(*parts)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["k1", "k2", "size", "a", "b"]) if len(columns[0]) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -201,34 +209,72 @@ def _group_spans(length: int, keep_first: bool):
     return run
 
 
-def _windows(length: int):
-    """Contexts of very common anchors -> one row per window: its offset to the anchor and its hash."""
+def _windows(lengths: tuple[int, ...]):
+    """Contexts -> one row per window: its size, its offset to the anchor and two hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                k1, k2, who, pos, lo, hi, h, _, x = (c[i].as_py() for c in batch.columns)
-                sums = rolling.prefix_sums(np.frombuffer(x, np.uint8))
-                at = np.arange(hi - lo + 1)
-                n = len(at)
-                rep = lambda v: pa.array(np.full(n, v, np.int64))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([rep(h), pa.array((at + lo - pos).astype(np.int64)), pa.array(rolling.slice_hashes(sums, at, at + length).view(np.int64)), rep(k1), rep(k2), pa.array((at + lo).astype(np.int64)), rep(-1 if who is None else who)], names=["h", "off", "win", "k1", "k2", "s", "who"])
+                k1, k2, who, pos, lo, hi, h, x = (c[i].as_py() for c in batch.columns)
+                data = np.frombuffer(x, np.uint8)
+                sums, turned = rolling.prefix_sums(data), rolling.prefix_sums(data ^ np.uint8(0x5A))
+                for size in lengths:
+                    at = np.arange(min(hi - lo, len(x) - size) + 1)
+                    n = len(at)
+                    rep = lambda v: pa.array(np.full(n, v, np.int64))  # noqa: B023, E731
+                    hashes = [pa.array(rolling.slice_hashes(y, at, at + size).view(np.int64)) for y in (sums, turned)]
+                    yield pa.RecordBatch.from_arrays([rep(h), rep(size), pa.array((at + lo - pos).astype(np.int64)), *hashes, rep(k1), rep(k2), pa.array((at + lo).astype(np.int64)), rep(who)], names=["h", "size", "off", "w1", "w2", "k1", "k2", "s", "who"])
 
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", group: int = GROUP) -> DataFrame:
-    """All columns of docs(doc_id, text, ...) plus `_spans`: removed runs array<struct<a,b>> of byte offsets, merged, in order.
+_RUNS = "k1 bigint, k2 bigint, size bigint, a bigint, b bigint"
+_CONTEXT = ["k1", "k2", "who", "pos", "lo", "hi", "h", "bytes"]
+
+
+def _runs(around: DataFrame, lengths: tuple[int, ...], first: bool, group: int) -> DataFrame:
+    """Contexts (k1, k2, who, pos, lo, hi, h, n, bytes) of shared anchors -> runs of repeats (k1, k2, size, a, b)."""
+    solve = lambda df: df.select(*_CONTEXT).repartition("h").sortWithinPartitions("h").mapInArrow(_group_spans(lengths, first), _RUNS)
+    # an anchor that many contexts share: equal contexts are one, all of which but perhaps the first is a repeat
+    crowded = around.where(F.col("n") > group)
+    crowded = crowded.select("*", *[F.xxhash64(F.lit(k), F.col("pos") - F.col("lo"), "bytes").alias(f"c{k}") for k in (1, 2)])
+    key = ["h", "c1", "c2"]
+    here = F.struct("who", "k1", "k2", "pos")
+    alike = stash(crowded.groupBy(*key).agg(F.count("*").alias("m"), F.min(here).alias("first")))
+    if alike.isEmpty():
+        return solve(around)
+    sizes = stash(alike.groupBy("h").agg(F.count("*").alias("d")))
+    whole = crowded.join(alike.where("m > 1"), key).where(here != F.col("first") if first else F.lit(True))
+    whole = whole.select("k1", "k2", F.col("lo").cast("long").alias("a"), (F.col("lo") + F.octet_length("bytes")).cast("long").alias("b"), F.explode(F.array(*[F.lit(x).cast("long") for x in lengths])).alias("size"))
+    runs = whole.where("b - a >= size").select("k1", "k2", "size", "a", "b")
+    ones = crowded.join(alike, key).where(here == F.col("first")).join(sizes, "h")
+    few = around.where(F.col("n") <= group).select(*_CONTEXT).unionByName(ones.where(F.col("d") <= group).select(*_CONTEXT))
+    runs = runs.unionByName(solve(few))
+    # an anchor of still more different contexts, as around a passage that very many texts share: windows are told apart by
+    # 128 bits and counted before they move; those of a kind have a factor as long as they are
+    windows = ones.where(F.col("d") > group).select(*_CONTEXT).mapInArrow(_windows(lengths), "h bigint, size bigint, off bigint, w1 bigint, w2 bigint, k1 bigint, k2 bigint, s bigint, who bigint")
+    kind, spot = ["h", "size", "off", "w1", "w2"], F.struct("who", "k1", "k2", "s")
+    counted = stash(windows.groupBy(*kind).agg(F.count("*").alias("m"), F.min(spot).alias("first")).where("m > 1"))
+    again = windows.join(counted, kind).where(spot != F.col("first") if first else F.lit(True))
+    return runs.unionByName(again.select("k1", "k2", "size", F.col("s").alias("a"), (F.col("s") + F.col("size")).alias("b")))
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", group: int = GROUP, short: int | None = None) -> DataFrame:
+    """All columns of docs(doc_id, text, ...) plus `_spans`: removed runs array<struct<a,b>> of byte offsets, merged, in order;
+    and, with `short`, `_short`: the same for repeats of that many bytes, fewer than `length`.
 
     Texts count as UTF-8 bytes. keep "none": each byte of a string of `length` bytes that starts anywhere else too, in the
     same document or another; "first": only later copies, where documents stand in order of doc_id (null first) and rows
     with equal doc_id and text are one. Null, empty and short texts have no runs; equal rows get equal runs; no rows give
-    none; other columns pass through. Documents with equal texts are one class before any search, so a large group of copies
-    costs one text; an anchor that over `group` texts share is dealt out by window, exactly and in as many rows as windows.
+    none; other columns pass through, whatever their names but those two. Documents with equal texts are one class before
+    any search, so a large group of copies costs one text; so are equal contexts of an anchor that over `group` share.
+    A text is looked at with some 100 bytes of working memory a byte.
     """
-    base = docs.withColumn("_k1", F.xxhash64("text")).withColumn("_k2", F.xxhash64(F.lit(1), "text"))
-    slim = base.select("_k1", "_k2", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.octet_length("text").cast("long").alias("n"))
-    classes = slim.groupBy("_k1", "_k2").agg(F.min("id").alias("who"), F.count("*").alias("copies"), F.max("n").alias("n"))
+    short = length if short is None else short
+    lengths = (length,) if short == length else (length, short)
+    base = docs.select(F.struct(*docs.columns).alias("row"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
+    slim = base.select("k1", "k2", "id", F.octet_length("text").cast("long").alias("n"))
+    classes = slim.groupBy("k1", "k2").agg(F.min("id").alias("who"), F.count("*").alias("copies"), F.max("n").alias("n"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,40 +284,28 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", gr
                 done = sizes[i - 1] if i else 0
                 j = max(i + 1, int(np.searchsorted(sizes, done + PART)))
                 text = batch.column(2).slice(i, j - i).to_pylist()
-                doc, pos, lo, hi, h = anchors(text, length)
+                doc, pos, lo, hi, h = anchors(text, short)
                 k1, k2 = (batch.column(c).to_numpy()[i:j][doc] for c in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), *[pa.array(x.astype(np.int32)) for x in (pos, lo, hi)], pa.array(h.view(np.int64))], names=["k1", "k2", "pos", "lo", "hi", "h"])
                 i = j
 
-    long_ = base.where(F.octet_length("text") >= length).select("_k1", "_k2", F.col("text").cast("binary").alias("text"))
+    long_ = base.where(F.octet_length("text") >= short).select("k1", "k2", F.col("text").cast("binary").alias("text"))
     marks = stash(long_.mapInArrow(find, "k1 bigint, k2 bigint, pos int, lo int, hi int, h bigint").distinct())
     # written first: the join then reads two plain shuffles, and Spark can split a hot anchor's
     common = stash(marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
     lists = marks.join(common, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "lo", "hi", "h", "n")).alias("marks"))
-    lists = lists.join(classes.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), "who"), ["k1", "k2"])
-    texts = base.select("_k1", "_k2", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_id"), F.col("text").alias("_t"))
-    chosen = texts.join(lists, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")) & (F.col("_id") == F.col("who")))
-    around = stash(chosen.select("k1", "k2", "who", F.col("_t").cast("binary").alias("text"), "marks").mapInArrow(_contexts(length), "k1 bigint, k2 bigint, who bigint, pos int, lo int, hi int, h bigint, n bigint, bytes binary"))
+    lists = lists.join(classes.select("k1", "k2", "who"), ["k1", "k2"])
+    chosen = base.select("k1", "k2", "id", F.col("text").cast("binary").alias("text")).join(lists, ["k1", "k2"]).where("id = who")
+    around = stash(chosen.select("k1", "k2", "who", "text", "marks").mapInArrow(_contexts(length), "k1 bigint, k2 bigint, who bigint, pos int, lo int, hi int, h bigint, n bigint, bytes binary"))
     first = keep == "first"
-    usual = around.where(F.col("n") <= group).repartition("h").sortWithinPartitions("h")
-    spans = usual.select("k1", "k2", "who", "pos", "lo", "hi", "h", "n", "bytes").mapInArrow(_group_spans(length, first), "k1 bigint, k2 bigint, a bigint, b bigint")
-    windows = around.where(F.col("n") > group).mapInArrow(_windows(length), "h bigint, off bigint, win bigint, k1 bigint, k2 bigint, s bigint, who bigint").distinct()
-    key = ["h", "off", "win"]
-    earliest = F.min(F.struct("who", "k1", "k2", "s")).alias("first")
-    again = windows.join(windows.groupBy(*key).agg(F.count("*").alias("m"), earliest).where("m > 1"), key)
-    if first:
-        again = again.where(F.struct("who", "k1", "k2", "s") != F.col("first"))
-    # windows of one text in a row make one run before they move
-    spans = spans.unionByName(again.select("k1", "k2", F.col("s").alias("a"), (F.col("s") + length).alias("b")))
-    runs = spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("runs")).select(F.col("k1").alias("_r1"), F.col("k2").alias("_r2"), _merged("runs").alias("_runs"))
-    copied = classes.where((F.col("copies") > 1) & (F.col("n") >= length)).select(F.col("_k1").alias("_r1"), F.col("_k2").alias("_r2"), F.col("who").alias("_keeper"), F.col("n").alias("_len"))
-    found = runs.join(copied, ["_r1", "_r2"], "full")
-    rows = base.join(found, (F.col("_k1") == F.col("_r1")) & (F.col("_k2") == F.col("_r2")), "left")
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("_len").alias("b")))
-    own = F.coalesce("_runs", F.array().cast("array<struct<a:bigint,b:bigint>>"))
-    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    is_copy = F.col("_len").isNotNull() & (id_ != F.col("_keeper") if first else F.lit(True))
-    return rows.select(*[base[c] for c in docs.columns], F.when(is_copy, whole).otherwise(own).alias("_spans"))
+    of_size = [F.sort_array(F.collect_set(F.when(F.col("size") == x, F.struct("a", "b")))).alias(f"r{i}") for i, x in enumerate(lengths)]
+    found = _runs(around, lengths, first, group).groupBy("k1", "k2").agg(*of_size).select("k1", "k2", *[_merged(f"r{i}").alias(f"r{i}") for i in range(len(lengths))])
+    copied = classes.where((F.col("copies") > 1) & (F.col("n") >= short)).select("k1", "k2", F.col("who").alias("keeper"), F.col("n").alias("len"))
+    rows = base.drop("text").join(found.join(copied, ["k1", "k2"], "full"), ["k1", "k2"], "left")
+    is_copy = F.col("len").isNotNull() & (F.col("id") != F.col("keeper") if first else F.lit(True))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("len").alias("b")))
+    own = [F.coalesce(f"r{i}", F.array().cast("array<struct<a:bigint,b:bigint>>")) for i in range(len(lengths))]
+    return rows.select("row.*", *[F.when(is_copy & (F.col("len") >= x), whole).otherwise(r).alias(n) for r, n, x in zip(own, ("_spans", "_short"), lengths)])
 
 
 def _merged(col: str):

@@ -9,7 +9,7 @@ import pytest
 
 from cardspark.llm import repeats
 
-SCHEMA = "doc_id long, text string, lang string, n long, h string, _k string"
+SCHEMA = "doc_id long, text string, id string, n long, row string, k1 string"
 
 
 def documents(length, seed=0, n=40):
@@ -50,16 +50,40 @@ def brute(rows, length, keep):
     return data, hit
 
 
-@pytest.mark.parametrize(("length", "group", "keep"), [(60, 8192, "none"), (60, 8192, "first"), (60, 4, "none"), (60, 4, "first"), (400, 8192, "none")])
-def test_against_all_windows(spark, length, group, keep, monkeypatch):
+@pytest.mark.parametrize(("length", "short", "group", "keep"), [(60, 45, 8192, "none"), (60, 60, 8192, "first"), (60, 45, 4, "none"), (60, 45, 4, "first"), (60, 45, 12, "none"), (400, 280, 8192, "none")])
+def test_against_all_windows(spark, length, short, group, keep):
     rows = documents(length)
-    data, hit = brute(rows, length, keep)
-    want = sorted((r[0] is not None, r[0] or 0, len(d), int(h.sum()), int((np.diff(np.concatenate([[0], h.astype(int)])) == 1).sum()), hashlib.sha256(bytes(np.frombuffer(d, np.uint8)[~h])).hexdigest()) for r, d, h in zip(rows, data, hit))
     df = spark.createDataFrame(rows, SCHEMA)
-    out = repeats.remove_spans(repeats.repeated_spans(df, length, keep, group))
-    assert out.columns == [*df.columns, "_spans", "_kept"]
-    got = sorted((r.doc_id is not None, r.doc_id or 0, len((r.text or "").encode()), sum(x.b - x.a for x in r._spans), len(r._spans), hashlib.sha256(bytes(r._kept)).hexdigest()) for r in out.collect())
-    assert got == want
+    out = repeats.remove_spans(repeats.repeated_spans(df, length, keep, group, short))
+    assert out.columns == [*df.columns, "_spans", *["_short"] * (short < length), "_kept"]
+    got = out.collect()
+    data, hit = brute(rows, length, keep)
+    runs = lambda h: int((np.diff(np.concatenate([[0], h.astype(int)])) == 1).sum())
+    want = sorted((r[0] is not None, r[0] or 0, len(d), int(h.sum()), runs(h), hashlib.sha256(bytes(np.frombuffer(d, np.uint8)[~h])).hexdigest()) for r, d, h in zip(rows, data, hit))
+    assert sorted((r.doc_id is not None, r.doc_id or 0, len((r.text or "").encode()), sum(x.b - x.a for x in r._spans), len(r._spans), hashlib.sha256(bytes(r._kept)).hexdigest()) for r in got) == want
+    if short < length:
+        data, hit = brute(rows, short, keep)
+        assert sorted((r.doc_id is not None, r.doc_id or 0, sum(x.b - x.a for x in r._short), len(r._short)) for r in got) == sorted((r[0] is not None, r[0] or 0, int(h.sum()), runs(h)) for r, h in zip(rows, hit))
+
+
+def test_factor_arrays_decide(spark, monkeypatch):
+    """Every group's runs come from the two arrays: with arrays that know no factor, nothing is removed but whole copies."""
+    rows = documents(60)
+    group = repeats._group_spans((60,), False)
+    seen = []
+    real = repeats.previous_factors
+    monkeypatch.setattr(repeats, "previous_factors", lambda p, c: seen.append(len(p)) or real(p, c))
+    text = [(r[1] or "").encode() for r in rows]
+    doc, pos, lo, hi, h = repeats.anchors(text, 60)
+    order = np.argsort(h.view(np.int64), kind="stable")
+    doc, pos, lo, hi, h = (x[order] for x in (doc, pos, lo, hi, h))
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, doc, doc, pos, lo, hi, h.view(np.int64))] + [pa.array([text[d][a : b + 60] for d, a, b in zip(doc, lo, hi)])], names=["k1", "k2", "who", "pos", "lo", "hi", "h", "bytes"])
+    found = list(group(iter([batch])))
+    assert sum(x.num_rows for x in found) > 100 and len(seen) > 20
+    monkeypatch.setattr(repeats, "previous_factors", lambda p, c: np.full(len(p), -1))
+    assert not list(group(iter([batch])))
 
 
 def test_empty(spark):
