@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stash
 
 TABLES = 8
-PROBES = 10
+PROBES = 10  # axes of a table that a query looks at, at least
+WANTED = 320  # vectors that these axes should hold: where buckets are small, a query looks at more of them
 BLOCK = 4096  # vectors, and queries, of one bucket that meet in one task
 SEED = 11
+NEAR = 1e-9  # block scores this near to the k-th may be it
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -55,63 +58,68 @@ def _matrix(col) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
 
 
-def _hash(df: DataFrame, key: str, tables: int, probes: int) -> DataFrame:
-    """df(key, v) -> key, v, t, bucket: a row per table and probed axis."""
+def _hash(df: DataFrame, key: str, tables: int) -> DataFrame:
+    """df(key, v, p) -> key, v, n, t, bucket: a row per table and probed axis, of the p nearest; n: the length of v."""
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                part = batch.slice(i, 2048)
-                x = _matrix(part.column(1))
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                found = np.stack([axes(x, t, probes) for t in range(tables)], axis=1)  # row, table, probe
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found.reshape(len(x), -1).astype(np.int32).tolist(), pa.list_(pa.int32()))], names=[key, "v", "found"])
-
-    rows = df.select(key, "v").mapInArrow(run, f"{key} bigint, v array<float>, found array<int>")
-    n = F.lit(probes)
-    at = rows.select(key, "v", F.posexplode("found").alias("pos", "bucket"), (F.size("found") / tables).cast("int").alias("n"))
-    return at.select(key, "v", F.floor(F.col("pos") / F.col("n")).cast("int").alias("t"), "bucket")
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
+            n, p = pc.list_value_length(batch.column(1)).to_numpy(), batch.column(2).to_numpy()
+            for size, probes in set(zip(n.tolist(), p.tolist())):
+                rows = batch.filter(pa.array((n == size) & (p == probes)))
+                for i in range(0, rows.num_rows, 2048):
+                    part = rows.slice(i, 2048)
+                    x = _matrix(part.column(1))
+                    x = x / np.abs(x).max(axis=1, keepdims=True)
+                    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                    found = np.stack([axes(x, t, probes) for t in range(tables)], axis=1)  # row, table, probe
+                    lists = pa.FixedSizeListArray.from_arrays(pa.array(found.astype(np.int32).ravel()), found[0].size).cast(pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=[key, "v", "found"])
+
+    rows = df.select(key, "v", "p").mapInArrow(run, f"{key} bigint, v array<double>, found array<int>")
+    at = rows.select(key, "v", F.posexplode("found").alias("pos", "bucket"), (F.size("found") / tables).cast("int").alias("p"))
+    return at.select(key, "v", F.size("v").alias("n"), F.floor(F.col("pos") / F.col("p")).cast("int").alias("t"), "bucket")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = TABLES, probes: int = PROBES, wanted: int = WANTED, block: int = BLOCK) -> DataFrame:
     """vectors(vec_id, embedding, ...), queries(vec_id, embedding, ...) -> query_id, rank, vec_id, score.
 
     Each query's k nearest found, by largest inner product of the original vectors in double precision, its own vec_id left
-    out; ties to the smaller vec_id. Vectors null, zero, or with null or non-finite components take no part; nor do vectors
-    whose length is not the commonest. Equal vectors are one class that keeps its k + 1 smallest ids, all that a result can
-    show, so a vector that a third of the rows share costs one candidate. Repeated rows are one. A bucket is cut into blocks,
-    and each block of queries meets each block of vectors, so no task depends on a bucket's size; no candidate is dropped.
-    Every vector is in every table. If a query's buckets hold fewer than k others, all rows are its candidates.
+    out; ties to the smaller vec_id. Vectors null, zero, or with null or non-finite components take no part; vectors of
+    another length are no candidates of a query. Equal vectors are one class that keeps its k + 1 smallest ids, all that a
+    result can show, so a vector that a third of the rows share costs one candidate. Repeated rows are one. A bucket is cut
+    into blocks, and each block of queries meets each block of vectors, so no task depends on a bucket's size; no candidate is
+    dropped. Every vector is in every table; a query probes its nearest axes, `probes` or as many more as it takes that they
+    hold some `wanted` vectors. If a query's buckets hold fewer than k others, all rows are its candidates. Scores by blocks
+    only choose; whatever comes near the k-th is scored again, component by component, so results agree between runs.
     """
-    ok = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v")).where(
+    ok = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(
         F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     )
-    rows = ok(vectors)
-    length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if length is None:
-        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    rows = rows.where(F.size("v") == length["n"]).distinct()
     few = Window.partitionBy("v").orderBy("vec_id")
-    smallest = rows.withColumn("n", F.row_number().over(few)).where(F.col("n") <= k + 1)
+    smallest = ok(vectors).distinct().withColumn("n", F.row_number().over(few)).where(F.col("n") <= k + 1)
     classes = stash(smallest.groupBy("v").agg(F.min("vec_id").alias("c"), F.array_sort(F.collect_list("vec_id")).alias("ids")))
-    asked = stash(ok(queries).where(F.size("v") == length["n"]).distinct().withColumnRenamed("vec_id", "q"))
-    index, probe = _hash(classes, "c", tables, 1), _hash(asked, "q", tables, probes)
-    parts = lambda df, name: df.groupBy("t", "bucket").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-    cuts = stash(parts(index, "ni").join(parts(probe, "np"), ["t", "bucket"]))
-    one = lambda df, key, own, other, mine, theirs: df.join(F.broadcast(cuts) if tables * 2 * length["n"] < 100_000 else cuts, ["t", "bucket"]).select(
-        key, "v", "t", "bucket", F.pmod(F.xxhash64(key), F.col(own)).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(theirs)
+    sides = 2 * F.pow(2, F.ceil(F.log2("n")))
+    of_length = classes.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows")).select("n", F.least(sides, F.greatest(F.lit(probes), F.ceil(sides * wanted / F.col("rows")))).cast("int").alias("p"))
+    asked = stash(ok(queries).distinct().withColumnRenamed("vec_id", "q").join(of_length, F.size("v") == F.col("n")).drop("n"))
+    index, probe = _hash(classes.select("c", "v", F.lit(1).alias("p")), "c", tables), _hash(asked, "q", tables)
+    at = ["n", "t", "bucket"]
+    parts = lambda df, name: df.groupBy(*at).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    cuts = stash(parts(index, "ni").join(parts(probe, "np"), at))
+    one = lambda df, key, own, other, mine, theirs: df.join(cuts, at).select(
+        key, "v", *at, F.pmod(F.xxhash64(key), F.col(own)).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(theirs)
     )
     left, right = one(index, "c", "ni", "np", "bi", "bp"), one(probe, "q", "np", "ni", "bp", "bi")
-    keys = ["t", "bucket", "bi", "bp"]
+    keys = [*at, "bi", "bp"]
     best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: _block(a, b, k), "q bigint, c bigint, score double")
     pairs = best.groupBy("q", "c").agg(F.max("score").alias("score"))
-    top = Window.partitionBy("q").orderBy(F.desc("score"), "c")
-    top_classes = stash(pairs.withColumn("n", F.row_number().over(top)).where(F.col("n") <= k + 1).select("q", "c", "score"))
-    return _ranked(top_classes, classes, asked, k)
+    order = Window.partitionBy("q").orderBy(F.desc("score"))
+    limit = F.nth_value("score", k + 1).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    top = pairs.withColumn("limit", limit).where(F.col("limit").isNull() | (F.col("score") >= F.col("limit") - NEAR * (1 + F.abs("limit"))))
+    return _ranked(stash(top.select("q", "c")), classes, asked, k)
 
 
 def _block(a: pa.Table, b: pa.Table, k: int) -> pa.Table:
-    """The k + 1 best classes of each query of a block; ties to the smaller id."""
+    """The k + 1 best classes of each query of a block, and those that come near."""
     none = pa.table({"q": pa.array([], pa.int64()), "c": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
     if not len(a) or not len(b):
         return none
@@ -125,7 +133,7 @@ def _block(a: pa.Table, b: pa.Table, k: int) -> pa.Table:
         s = y[i : i + 512] @ x.T
         if m < len(ids):
             limit = np.partition(s, len(ids) - m, axis=1)[:, len(ids) - m]
-            r, c = np.nonzero(s >= limit[:, None])
+            r, c = np.nonzero(s >= (limit - NEAR * (1 + np.abs(limit)))[:, None])
         else:
             r, c = np.nonzero(np.ones_like(s, bool))
         out.append((q[i : i + 512][r], ids[c], s[r, c]))
@@ -133,16 +141,16 @@ def _block(a: pa.Table, b: pa.Table, k: int) -> pa.Table:
 
 
 def _ranked(found: DataFrame, classes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """Classes to ids, the query's own left out; queries with too few candidates get all rows."""
-    ids = found.join(classes.select("c", "ids"), "c").select("q", "score", F.explode("ids").alias("vec_id")).where("vec_id <> q")
-    enough = ids.groupBy("q").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("q")
-    rows = ids.join(enough, "q")
+    """Classes to ids with their scores, the query's own left out; queries with too few candidates get all rows."""
+    dot = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    wide = classes.select("c", F.col("v").alias("w"), "ids")
+    rows = found.join(wide, "c").join(asked.select("q", "v"), "q").select("q", dot.alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> q")
+    enough = rows.groupBy("q").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("q")
     short = stash(asked.join(enough, "q", "left_anti"))
     if not short.isEmpty():
-        dot = F.aggregate(F.zip_with("v", "w", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
         parts = 64  # each such query meets all rows in so many blocks
-        dealt = classes.select(F.col("v").alias("w"), "ids", F.pmod(F.xxhash64("c"), F.lit(parts)).alias("part"))
-        rest = short.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>"))).join(dealt, "part")
-        rows = rows.unionByName(rest.select("q", dot.alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> q"))
+        dealt = wide.withColumn("part", F.pmod(F.xxhash64("c"), F.lit(parts)))
+        rest = short.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>"))).join(dealt, ["part"]).where(F.size("v") == F.size("w"))
+        rows = rows.join(enough, "q").unionByName(rest.select("q", dot.alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> q"))
     rank = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     return rows.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), "rank", "vec_id", "score")

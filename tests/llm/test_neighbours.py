@@ -1,6 +1,7 @@
 """Neighbours against brute force."""
 
 import numpy as np
+import pytest
 
 from cardspark.llm import neighbours
 
@@ -59,3 +60,27 @@ def test_rotations_keep_lengths():
     x = np.random.default_rng(0).normal(size=(5, 30))
     y = neighbours.rotate(x, 3)
     assert y.shape == (5, 32) and np.allclose(np.linalg.norm(y, axis=1), np.linalg.norm(x, axis=1))
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_on_the_given_embeddings(spark, sf):
+    df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    rows = {r.vec_id: r.embedding for r in df.collect()}
+    ids, x = list(rows), np.array(list(rows.values()), np.float64)
+    got = {}
+    for r in neighbours.nearest(df, df.where("vec_id % 20 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    asked = [i for i in ids if i % 20 == 0]
+    assert set(got) == set(asked)
+    hits = sum(len(got[q] & set(brute(x, ids, ids.index(q), 20))) for q in asked)
+    print(sf, hits / sum(map(len, got.values())))
+    assert hits >= 0.95 * sum(map(len, got.values())) and all(len(v) == min(20, len(ids) - 1) for v in got.values())
+
+
+def test_doubles_and_lengths(spark):
+    """Doubles keep their digits; vectors of another length are searched among themselves."""
+    tiny = 2.0**-40
+    rows = [(0, [1.0, 1.0]), (1, [1.0, tiny]), (2, [1.0, 0.0]), (3, [1.0, 2 * tiny]), (20, [1.0, 0.0, 0.0]), (21, [5.0, 1.0, 0.0]), (22, [1e300, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.vec_id, r.score) for r in neighbours.nearest(df, df.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 3, 1 + 2 * tiny), (0, 1, 1 + tiny), (0, 2, 1.0), (20, 22, 1e300), (20, 21, 5.0)]
