@@ -25,8 +25,8 @@ LENGTH = 400
 SHORT = 280  # bytes of shorter repeats that are reported, not removed: some 50 words
 GRAM = 32
 GROUP = 20_000  # different contexts of one anchor whose suffixes meet in one task
-BUNDLE = 12_000  # suffixes sorted at once
-PART = 2_000_000  # bytes looked at at once
+BUNDLE = 8_000  # suffixes sorted at once
+PART = 1_000_000  # bytes looked at at once
 
 
 def anchors(text: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
