@@ -102,5 +102,5 @@ def p1_embed_passages(spark, d):
     return rows.select("card_id", F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
 
 
-ORACLES["p1_embed_passages"] = "select doc_id as card_id, 64 as dims, 1.0 as norm from documents"
+ORACLES["p1_embed_passages"] = "select doc_id as card_id, 64 as dims, cast(1.0 as double) as norm from documents"
 

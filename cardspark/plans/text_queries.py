@@ -57,13 +57,15 @@ def t4_strip_html(spark, d):
     return read(spark, d, "pages").select("page_id", T.strip_html(F.col("html")).alias("out"))
 
 
-_TITLE = trim("regexp_extract(html, '(?is)<title[^>]*>([^<]+)</title>', 1)")
-_META = [r"""<meta[^>]+property=["'']og:site_name["''][^>]+content=["'']([^"'']+)["'']""", r"""<meta[^>]+content=["'']([^"'']+)["''][^>]+property=["'']og:site_name["'']""", r"""<meta[^>]+name=["'']application-name["''][^>]+content=["'']([^"'']+)["'']"""]
+def _attr(name):
+    return rf"""regexp_extract(m, '(?i)\s{name}=["'']([^"'']*)["'']', 1)"""
 
 
-@query(rf"""with a as (select page_id, url, {', '.join(f"nullif({trim(f"regexp_extract(html, '(?is){m}', 1)")}, '') as m{i}" for i, m in enumerate(_META))},
-  {trim(rf"string_split_regex({_TITLE}, '\s*[-|–—·]\s*')[1]")} as t, regexp_replace(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1), '^www\.', '') as h from pages)
-  select page_id, coalesce(m0, m1, m2, case when length(t) > 1 then substring(t, 1, 60) end, substring(split_part(h, '.', 1), 1, 40)) as site from a""")
+@query(rf"""with a as (select page_id, url, regexp_extract(html, '(?is)<title[^>]*>([^<]+)</title>', 1) as t0,
+    list_filter(list_transform(regexp_extract_all(html, '(?i)<meta\s[^>]*>'), lambda m: {{'p': lower({_attr('property')}), 'n': lower({_attr('name')}), 'c': {_attr('content')}}}), lambda x: length(x.c) between 1 and {T.SITE_CHARS}) as ms from pages),
+  b as (select *, nullif({trim("list_filter(ms, lambda x: x.p = 'og:site_name')[1].c")}, '') as m0, nullif({trim("list_filter(ms, lambda x: x.n = 'application-name')[1].c")}, '') as m1,
+    nullif({trim(rf"string_split_regex(nullif({trim(f'case when length(t0) <= {T.TITLE_CHARS} then t0 end')}, ''), '\s*[-|–—·]\s*')[1]")}, '') as t, regexp_replace(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1), '^www\.', '') as h from a)
+  select page_id, coalesce(m0, m1, case when length(t) > 1 then substring(t, 1, 60) end, substring(split_part(h, '.', 1), 1, 40)) as site from b""")
 def t5_site_name(spark, d):
     return read(spark, d, "pages").select("page_id", T.site_name(F.col("html"), F.col("url")).alias("site"))
 

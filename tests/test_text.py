@@ -81,3 +81,22 @@ def test_clean_note(spark):
     assert got.text == "# My note\n标签：ai、db\n\nCallout\nbody a shown  \nwiki high\n- done\n\nend"
     assert one(spark, notes.clean_note, "---\ntags: [a, 'b c']\n---\n# Head\ntext").tags == ["a", "b", "c"]
     assert one(spark, notes.clean_note, "plain").title == ""
+
+
+def test_clean_note_awkward(spark):
+    clean = lambda raw: one(spark, notes.clean_note, raw).text
+    assert clean("a %% open\n== x\nc") == "a %% open\n== x\nc"
+    assert clean("[[a]] [[b|]] [[unclosed ![[x]]!") == "a  [[unclosed !"
+    assert clean("> - [ ] one\n>two\n* [/] three\n-[x] no") == "- one\ntwo\n* three\n-[x] no"
+    assert clean("---\nno end\ntext") == "---\nno end\ntext" and clean("") == ""
+    assert clean("---\r\ntitle: 'T'\r\n---\r\n\r\n\r\n\r\nbody\r\n") == "# T\n\nbody"
+    assert clean("---\ntags:\n- x\n  - \"y z\"\nkey: 1\n- w\n---\nb") == "标签：x、y z\n\nb"
+    assert one(spark, notes.clean_note, None) is None
+
+
+def test_site_name_limits(spark):
+    name = lambda html, url="https://www.host.com/x": one(spark, lambda h: T.site_name(h, F.lit(url)), html)
+    assert name("<meta content='A' property='og:site_name'>") == "A" and name("<meta name='application-name' content=' B '><title>C</title>") == "B"
+    assert name("<meta content='B' name='application-name'>") == "B"
+    assert name(f"<meta property='og:site_name' content='{'x' * 81}'><title>Title - rest</title>") == "Title"
+    assert name(f"<title>{'t' * 121}</title>") == "host" and name("<title>t</title>") == "host" and name(f"<title>{'t' * 120}</title>") == "t" * 60
