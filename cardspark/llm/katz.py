@@ -176,18 +176,21 @@ def _answer(t: pa.Table) -> pa.Table:
 def good_turing(n: list[int], k: int = DISCOUNTED) -> np.ndarray:
     """What remains of counts 0..k+1, from n[r - 1], the number of kinds seen r times, r up to k + 1.
 
-    Katz's discounts, under which what is taken from counts up to k is the mass of kinds seen once. Where the counts of
-    counts are too few or uneven for that (a discount outside of (0, 1)), half a count is taken from each instead.
-    Larger counts give up LEAST, so that no context is left without mass for what it has not shown.
+    Katz's discounts, under which what is taken from counts up to k is the mass of kinds seen once. The counts of counts are
+    first smoothed by a line through their logarithms over log r, since single ones are uneven (a fifth one above the fourth
+    gives no discount). The line falls by 1.05 or more, as Good and Turing's estimate needs to be below each count; by 2 where
+    fewer than two counts of counts are above zero. Larger counts give up LEAST, so that no context is left without mass for
+    what it has not shown.
     """
     r = np.arange(k + 2, dtype=float)
-    n = np.array([0, *n[: k + 1]], float)
-    with np.errstate(all="ignore"):
-        top = (k + 1) * n[k + 1] / n[1]
-        d = ((r[1 : k + 1] + 1) * n[2:] / (r[1 : k + 1] * n[1 : k + 1]) - top) / (1 - top)
+    seen = np.array(n[: k + 1], float)
+    some = np.flatnonzero(seen) + 1
+    slope = min(-1.05, np.polyfit(np.log(some), np.log(seen[some - 1]), 1)[0]) if len(some) > 1 else -2.0
+    top = (k + 1.0) ** (1 + slope)
     out = r - LEAST
     out[0] = 0
-    out[1 : k + 1] = r[1 : k + 1] * d if np.isfinite(d).all() and (d > 0).all() and (d < 1).all() else r[1 : k + 1] - 0.5
+    few = r[1 : k + 1]
+    out[1 : k + 1] = few * ((1 + 1 / few) ** (1 + slope) - top) / (1 - top)
     return out
 
 

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from cardspark.llm import katz
@@ -82,11 +83,20 @@ def test_probabilities_sum_to_one():
 
 
 def test_good_turing():
-    n = [1000, 400, 220, 140, 100, 75]
+    n = [1e6 / r**2.5 for r in range(1, 7)]
     d = katz.good_turing(n)
-    taken = sum((r - d[r]) * n[r - 1] for r in range(1, 6))
-    assert abs(taken - n[0]) < 1e-6
-    assert katz.good_turing([0] * 7)[1] == 0.5
+    assert abs(sum((r - d[r]) * n[r - 1] for r in range(1, 6)) - n[0]) < 1e-3  # the mass of kinds seen once
+    for uneven in ([51146, 14744, 5459, 2720, 2557, 1132], [206637, 32233, 5107, 1903, 2578, 674], [3, 0, 1, 0, 0, 0], [0] * 6, [5, 5, 5, 5, 5, 5]):
+        d = katz.good_turing(uneven)
+        kept = [d[r] / r for r in range(1, 6)]
+        assert d[0] == 0 and all(0 < a < b < 1 for a, b in zip(kept, kept[1:])), uneven
+    # by Katz's formula over smoothed counts of counts, not one half off each count
+    n = [51146, 14744, 5459, 2720, 2557, 1132]
+    slope, level = np.polyfit(np.log(range(1, 7)), np.log(n), 1)
+    smooth = {r: math.exp(level) * r**slope for r in range(1, 7)}
+    top = 6 * smooth[6] / smooth[1]
+    want = [r * ((r + 1) * smooth[r + 1] / (r * smooth[r]) - top) / (1 - top) for r in range(1, 6)]
+    assert np.allclose(katz.good_turing(n)[1:6], want) and abs(want[0] - 0.5) > 0.05
 
 
 def test_without_training_rows(spark):
