@@ -17,24 +17,20 @@ def drop_common_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -
     document smaller than all. Equal rows get equal results; other columns pass through; no rows give no rows.
     Keys are held as two 64-bit hashes. Distinct documents are counted by (key, document), so one common key spreads.
     """
-    base = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("_h", F.xxhash64("text"))
+    base = docs.select(F.struct(*docs.columns).alias("row"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("h"))
     key = ascii_lower(F.btrim("line", F.lit(WS)))
     lines = (
-        base.select("_id", "_h", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+        base.select("id", "h", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
         .where(F.octet_length("line") >= min_chars)
-        .select("_id", "_h", "pos", key.alias("key"))
+        .select("id", "h", "pos", key.alias("key"))
         .where(F.length("key") >= min_chars)
-        .select("_id", "_h", "pos", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), "key").alias("k2"))
+        .select("id", "h", "pos", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), "key").alias("k2"))
     )
     # written first: the join then reads two plain shuffles, and Spark can split a hot key's
-    common = stash(lines.groupBy("k1", "k2").agg(F.count_distinct("_id").alias("n"), F.max("_id").alias("keep")).where(F.col("n") >= min_docs).select("k1", "k2", "keep"))
-    drops = lines.join(common, ["k1", "k2"]).where("_id <> keep").groupBy("_id", "_h").agg(F.collect_set("pos").alias("drop"))
-    split = F.split(F.coalesce("text", F.lit("")), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), F.col("drop"))
-    text = F.when(F.col("drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.col("_split")[i]), "\n"))
-    return (
-        base.join(drops, ["_id", "_h"], "left")
-        .withColumn("_split", split)
-        .withColumn("_lines", F.struct(F.size("_split").cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"), text.alias("kept_text")))
-        .select(*[docs[c] for c in docs.columns], "_lines")
-    )
+    common = stash(lines.groupBy("k1", "k2").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keep")).where(F.col("n") >= min_docs).select("k1", "k2", "keep"))
+    drops = lines.join(common, ["k1", "k2"]).where("id <> keep").groupBy("id", "h").agg(F.collect_set("pos").alias("drop"))
+    rows = base.select("row", "id", "h").join(drops, ["id", "h"], "left").select("row", "drop", F.split(F.coalesce("row.text", F.lit("")), "\n").alias("split"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("split") - 1), F.col("drop"))
+    text = F.when(F.col("drop").isNull(), F.coalesce("row.text", F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.col("split")[i]), "\n"))
+    found = F.struct(F.size("split").cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"), text.alias("kept_text"))
+    return rows.select("row.*", found.alias("_lines"))
