@@ -88,10 +88,15 @@ def shares(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """All columns of docs plus `_taken`, the words that shares() takes of the row; only here texts are shuffled, once."""
-    same = Window.partitionBy("doc_id", "_h", "_s")
-    part = shares(docs, **how).withColumn("_n", F.row_number().over(same.orderBy("taken"))).select(F.col("doc_id").alias("_d"), F.col("_h").alias("_dh"), F.col("_s").alias("_ds"), F.col("_n").alias("_dn"), F.col("taken").alias("_taken"))
-    base = docs.withColumn("_s", F.col("source").cast("string")).withColumn("_h", F.xxhash64("text"))
-    base = base.withColumn("_n", F.row_number().over(same.orderBy(F.lit(0))))
-    on = base["doc_id"].eqNullSafe(F.col("_d")) & (base["_h"] == F.col("_dh")) & base["_s"].eqNullSafe(F.col("_ds")) & (base["_n"] == F.col("_dn"))
-    return base.join(part, on).select(*[base[c] for c in docs.columns], "_taken")
+    """All columns of docs plus `_taken`, the words that shares() takes of the row; only here texts are shuffled, once.
+
+    Rows of one doc_id, text and source share what was taken of them in the order of all their columns, so that a task that
+    runs again pairs them alike.
+    """
+    same = Window.partitionBy("d", "h", "s")
+    part = shares(docs, **how).select(F.col("doc_id").alias("d"), F.col("_h").alias("h"), F.col("_s").alias("s"), "taken")
+    part = part.withColumn("n", F.row_number().over(same.orderBy("taken"))).toDF("pd", "ph", "ps", "taken", "pn")
+    base = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), F.col("source").cast("string").alias("s"), F.xxhash64(*docs.columns).alias("o"))
+    base = base.withColumn("n", F.row_number().over(same.orderBy("o")))
+    on = F.col("d").eqNullSafe(F.col("pd")) & (F.col("h") == F.col("ph")) & F.col("s").eqNullSafe(F.col("ps")) & (F.col("n") == F.col("pn"))
+    return base.join(part, on).select("row.*", F.col("taken").alias("_taken"))
