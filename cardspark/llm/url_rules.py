@@ -89,19 +89,20 @@ def judge(pages: DataFrame, rules=RULES, default: str = "allow", **limits) -> Da
     verdict is that of the longest fixed rule, else that of the strongest mined rule (`mined` names its tokens), else
     `default`. Mined rules learn from all pages that a fixed rule labels. Null urls and urls without :// have empty host and
     path. Pages are matched once per distinct token set, so a host with a third of all pages costs few matches. Repeated
-    rows get equal verdicts, no rows give none.
+    rows get equal verdicts, no rows give none. Long urls count in full; other columns pass through, whatever their names but `_url`.
     """
-    host, path = host_of(F.col("url")), path_of(F.col("url"))
-    rows = pages.withColumn("_host", host).withColumn("_path", path)
-    rows = rows.withColumn("_fixed", fixed_rule(F.col("_host"), F.col("_path"), rules)).withColumn("_tokens", url_tokens(F.col("url"), F.col("_host"), F.col("_path")))
-    mined = mine(rows.where("_fixed is not null").select(F.col("_tokens").alias("tokens"), "_fixed.verdict"), **limits)
-    sets = rows.where("_fixed is null").select(F.col("_tokens").alias("tokens")).distinct()
-    best = match(sets, mined).select(F.col("tokens").alias("_set"), "best")
-    rows = rows.join(best, F.when(F.col("_fixed").isNull(), F.col("_tokens")) == F.col("_set"), "left")
+    rows = pages.select(F.struct(*pages.columns).alias("row"), F.col("url"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    rows = rows.withColumn("fixed", fixed_rule(F.col("host"), F.col("path"), rules)).withColumn("tokens", url_tokens(F.col("url"), F.col("host"), F.col("path"))).drop("url")
+    mined = mine(rows.where("fixed is not null").select("tokens", "fixed.verdict"), **limits)
+    sets = rows.where("fixed is null").select("tokens").distinct()
+    # written first: the join then reads two plain shuffles, and Spark can split that of a common token set
+    best = stash(match(sets, mined).select(F.col("tokens").alias("held"), "best"))
+    rows = rows.withColumn("asked", F.when(F.col("fixed").isNull(), F.col("tokens"))).drop("tokens")
+    rows = rows.join(best, F.col("asked") == F.col("held"), "left")
     return rows.select(
-        *[rows[c] for c in pages.columns],
+        "row.*",
         F.struct(
-            F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_fixed.rule").alias("rule"),
-            F.coalesce("_fixed.verdict", "best.verdict", F.lit(default)).alias("verdict"), F.col("best.left").alias("mined"), F.col("best.confidence").alias("confidence"),
+            F.col("host").alias("host"), F.col("path").alias("path"), F.col("fixed.rule").alias("rule"),
+            F.coalesce("fixed.verdict", "best.verdict", F.lit(default)).alias("verdict"), F.col("best.left").alias("mined"), F.col("best.confidence").alias("confidence"),
         ).alias("_url"),
     )
