@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rolling
@@ -16,7 +16,7 @@ SPAN, STEP = 32, 16  # words of a window, and from one window to the next
 HIDDEN, DIM = 8, 8
 WORD_BITS, CHAR_BITS = 14, 13
 SAMPLE = 1500  # labelled documents of each class that are learned from at most
-SAMPLE_CHARS = 20_000  # longer documents are scored, but not learned from
+SAMPLE_BYTES = 8_000_000  # of their texts that are learned from at most, in the order of the draw
 PART = 1_000_000  # bytes scored at once
 CUT = 0.3
 
@@ -234,17 +234,24 @@ def _remainder(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = SAMPLE_BYTES) -> Network | None:
     """The network of docs(doc_id, text) and labels(doc_id, toxic), from rows whose crc32(doc_id) mod 4 is not 2.
 
-    At most `sample` documents a class of up to SAMPLE_CHARS characters are learned from: a seeded draw, of bounded size.
+    A seeded draw of at most `sample` documents a class is learned from, whole texts of any length, until they make up `size`
+    bytes: what the driver holds is bounded.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_y")).where(_remainder(F.col("_id")) != 2)
     known = known.groupBy("_id").agg(F.max("_y").alias("_y"))
     draw = lambda y: known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     ids = F.broadcast(draw(1).unionByName(draw(0)))
-    rows = docs.where(F.length("text").between(1, SAMPLE_CHARS)).select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"))
-    rows = rows.orderBy(F.xxhash64("_id"), F.xxhash64("text")).limit(2 * sample).select("text", "_y").collect()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, F.col("doc_id") == F.col("_id"))
+    # sizes first: of at most 2 * sample rows, which of them fit
+    order = [F.xxhash64("_id"), F.xxhash64("text"), F.col("_id")]
+    sizes = rows.select("_id", *[c.alias(f"o{i}") for i, c in enumerate(order[:2])], F.octet_length("text").alias("n")).orderBy("o0", "o1", "_id").limit(2 * sample)
+    total = F.sum("n").over(Window.orderBy("o0", "o1", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    fits = F.broadcast(sizes.withColumn("total", total).where(F.col("total") <= size).select("_id", "o1").distinct())
+    rows = rows.withColumn("o1", order[1]).join(fits, ["_id", "o1"])
+    rows = rows.orderBy(F.xxhash64("_id"), "o1").limit(2 * sample).select("text", "_y").collect()
     return train([r["text"] for r in rows], [r["_y"] for r in rows])
 
 
