@@ -82,15 +82,8 @@ class Chunk:
 
 def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of each text, A-Z in lower case, and one END each; and the texts' borders."""
-    raw = [(t or "").encode() + b" " for t in texts]
-    b = np.frombuffer(b"".join(raw), np.uint8)
-    b = b + ((b >= 65) & (b <= 90)).astype(np.uint8) * np.uint8(32)
-    space = (b == 32) | ((b >= 9) & (b <= 13))
-    edge = np.diff(np.concatenate([[True], space]).astype(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    h = rolling.slice_hashes(rolling.prefix_sums(b), start, end)
-    n = np.searchsorted(start, np.cumsum([len(r) for r in raw]))
-    return np.insert(h, n, END), np.concatenate([[0], n + np.arange(1, len(raw) + 1)]).astype(np.int64)
+    h, cuts = rolling.word_hashes(texts)
+    return np.insert(h, cuts[1:], END), cuts + np.arange(len(cuts))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, bytes, pa.Array, Chunk]]:

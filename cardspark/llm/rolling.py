@@ -49,3 +49,15 @@ def slice_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     """Hash of bytes start..end of each slice; equal slices have equal hashes wherever they stand."""
     _, inverse = powers(len(sums))
     return mixed((sums[end] - sums[start]) * inverse[start])
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of each text, A-Z in lower case, and where each text's words begin and end."""
+    raw = [(t or "").encode() + b" " for t in texts]
+    b = np.frombuffer(b"".join(raw), np.uint8)
+    b = b + ((b >= 65) & (b <= 90)).astype(np.uint8) * np.uint8(32)
+    space = (b == 32) | ((b >= 9) & (b <= 13))
+    edge = np.diff(np.concatenate([[True], space]).astype(np.int8))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    h = slice_hashes(prefix_sums(b), start, end)
+    return h, np.concatenate([[0], np.searchsorted(start, np.cumsum([len(r) for r in raw]))]).astype(np.int64)

@@ -8,14 +8,17 @@ two more levels, and a search prunes whole runs whose accumulated differences ex
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import rolling
 from .common import ascii_lower, let, stash, words
 
 NODE = 2048  # fingerprints below one topmost node at most
@@ -33,33 +36,31 @@ def shingle_hashes(text: Column, n: int) -> Column:
     return let(words(ascii_lower(F.coalesce(text, F.lit("")))), of)
 
 
+#: Of each byte its bits, the first one first, as eight bytes of one word: sums of up to 255 of them count all eight at once.
+SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
+
+
 def _majorities(h: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """Per run h[cuts[i]:cuts[i+1]] the 64 bits that are 1 in over half of it."""
     n = np.diff(cuts)
     out = np.zeros(len(n), np.uint64)
     full = np.flatnonzero(n)
     if len(full):
-        bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits, cuts[:-1][full], axis=0, dtype=np.int32)
+        pieces = -(-n[full] // 255)
+        first = np.cumsum(pieces) - pieces
+        at = np.repeat(cuts[:-1][full], pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(first, pieces))
+        sums = np.add.reduceat(SPREAD[h.astype(">u8").view(np.uint8).reshape(-1, 8)], at, axis=0)
+        ones = np.add.reduceat(sums.view(np.uint8).reshape(-1, 64), first, axis=0, dtype=np.int32)
         out[full] = np.packbits(2 * ones > n[full][:, None], axis=1).view(">u8").ravel()
     return out
 
 
-def shingle_set(text: Column, n: int) -> Column:
-    """The distinct shingle hashes, in order."""
-    return F.array_sort(F.array_distinct(shingle_hashes(text, n)))
-
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, f0: 64-bit fingerprints of the XXH64 of all shingles, repeats included.
 
-def fingerprints(docs: DataFrame, shingle: int = 3, width: int = 1, sets: bool = False) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, f0..f(width-1): 64-bit fingerprints; after the first, of remixed shingle hashes.
-
-    With `sets` a repeated shingle counts once, and `s` is the hash of the text's set of shingles.
     Null, empty and blank texts have fingerprint zero. Whole texts count; a batch of rows is cut where its hashes are many.
     """
-    rows = docs.select("doc_id", (shingle_set if sets else shingle_hashes)(F.col("text"), shingle).alias("h"))
-    if sets:
-        rows = rows.select("doc_id", "h", F.xxhash64("h").alias("s"))
-    names = ["doc_id", *[f"f{k}" for k in range(width)], *["s"] * sets]
+    rows = docs.select("doc_id", shingle_hashes(F.col("text"), shingle).alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,17 +71,73 @@ def fingerprints(docs: DataFrame, shingle: int = 3, width: int = 1, sets: bool =
             while i < batch.num_rows:
                 j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + 250_000)) - 1)
                 j = min(j, batch.num_rows)
-                h, cuts = values[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                out = [_majorities(h, cuts)]
-                for k in range(1, width):
-                    x = h ^ np.uint64(MIX[(k - 1) % 3] + k)
-                    for a, b in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-                        x = (x ^ (x >> np.uint64(a))) * np.uint64(b)
-                    out.append(_majorities(x ^ (x >> np.uint64(31)), cuts))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *[pa.array(x.view(np.int64)) for x in out], *[x.slice(i, j - i) for x in batch.columns[2:]]], names=names)
+                out = _majorities(values[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(out.view(np.int64))], names=["doc_id", "f0"])
                 i = j
 
-    return rows.mapInArrow(run, ", ".join(f"{x} bigint" for x in names))
+    return rows.mapInArrow(run, "doc_id bigint, f0 bigint")
+
+
+def shingle_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the distinct hashes of its n-word shingles, in order (fewer words: one of them all), end to end; and their borders."""
+    h, cuts = rolling.word_hashes(texts)
+    odd = [np.uint64(pow(MIX[0], k, 1 << 64)) for k in range(n)]
+    m = max(0, len(h) - n + 1)
+    x = rolling.mixed(sum((h[k : k + m] * odd[k] for k in range(n)), np.zeros(m, np.uint64)))
+    sets = []
+    for a, b in itertools.pairwise(cuts.tolist()):
+        if b - a >= n:
+            sets.append(np.unique(x[a : b - n + 1]))
+        else:
+            sets.append(rolling.mixed(sum((h[a + k : a + k + 1] * odd[k] for k in range(b - a)), np.zeros(1, np.uint64))) if b > a else h[:0])
+    return np.concatenate([h[:0], *sets]), np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
+
+
+def _names(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """A hash of each set."""
+    out = np.zeros(len(cuts) - 1, np.uint64)
+    full = np.flatnonzero(np.diff(cuts))
+    if len(full):
+        out[full] = rolling.mixed(np.add.reduceat(rolling.mixed(values ^ np.uint64(MIX[1])), cuts[:-1][full]))
+    return out
+
+
+def _parts(batch: pa.RecordBatch, column: int, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of some bytes of a column of texts; one text is never cut."""
+    at, sizes = 0, np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), dtype=np.int64)
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most)))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def set_fingerprints(docs: DataFrame, shingle: int, width: int) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, f0..f(width-1), s: fingerprints of the set of shingles, each of hashes mixed anew, and the set's hash.
+
+    Null, empty and blank texts have zeros. Whole texts count, some at a time.
+    """
+    names = ["doc_id", *[f"f{k}" for k in range(width)], "s"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(batch, 1):
+                values, cuts = shingle_sets(part.column(1).to_pylist(), shingle)
+                out = []
+                for k in range(width):
+                    words_ = rolling.mixed(values ^ np.uint64(MIX[(k - 1) % 3] + k)) if k else values
+                    out.append(np.concatenate([_majorities(words_[cuts[i] : cuts[j]], cuts[i : j + 1] - cuts[i]) for i, j in _runs_of(cuts)] or [np.zeros(0, np.uint64)]))
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x.view(np.int64)) for x in [*out, _names(values, cuts)]]], names=names)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{x} bigint" for x in names))
+
+
+def _runs_of(cuts: np.ndarray, most: int = 100_000) -> Iterator[tuple[int, int]]:
+    """Sets i..j with some `most` hashes together; one set is never cut."""
+    i = 0
+    while i < len(cuts) - 1:
+        j = max(i + 1, int(np.searchsorted(cuts, cuts[i] + most)) - 1)
+        yield i, min(j, len(cuts) - 1)
+        i = j
 
 
 def exact_masks(bits: list[int], differences: int) -> list[int]:
@@ -226,6 +283,17 @@ def links(prints: DataFrame, width: int, near: int, far: int, masks: list[int],
     return packed.select("members").mapInArrow(run, "a bigint, b bigint")
 
 
+def _small_pairs(cuts: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All pairs within each node of 2 to `most` members, nodes being runs of rows: (row, later row, node), some at a time."""
+    n = np.diff(cuts)
+    for size in np.unique(n[(n > 1) & (n <= most)]):
+        i, j = np.triu_indices(int(size), 1)
+        nodes = np.flatnonzero(n == size)
+        for some in np.array_split(nodes, -(-len(nodes) * len(i) // 1_000_000)):
+            at = cuts[some][:, None]
+            yield (at + i).ravel(), (at + j).ravel(), np.repeat(some, len(i))
+
+
 def meet(prints: DataFrame, width: int, near: int, far: int, masks: list[int], node: int = 4 * NODE) -> DataFrame:
     """prints(f0.., id) -> edges (a, b) that connect whatever differs in `far` bits at most, in `near` bits of the word that a
     mask is of, and agrees under that mask; mask k is of word k % width. A node's pairs stay in its task: it returns at most
@@ -237,17 +305,24 @@ def meet(prints: DataFrame, width: int, near: int, far: int, masks: list[int], n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = batch.column(1)
-            cuts = col.offsets.to_numpy()
+            cuts = col.offsets.to_numpy().astype(np.int64)
             ids = col.values.field("id").to_numpy()
             f = np.stack([col.values.field(w).to_numpy().view(np.uint64) for w in words_])
+            of = batch.column(0).to_numpy() % width
             a, b = [ids[:0]], [ids[:0]]
-            for m, i, j in zip(batch.column(0).to_numpy(), cuts[:-1], cuts[1:], strict=True):
-                if j - i < 2:
-                    continue
-                order = np.argsort(_gray_rank(f[m % width, i:j]), kind="stable") + i
-                g, who = f[:, order], ids[order]
-                q, c = search(g[m % width], near)
-                ok = sum(np.bitwise_count(g[k][q] ^ g[k][c]).astype(np.int32) for k in range(width)) <= far
+            n = np.diff(cuts)
+            for q, c, node in _small_pairs(cuts, LEAF * FAN):  # nodes that are one run of leaves
+                ok = np.bitwise_count(f[of[node], q] ^ f[of[node], c]) <= near
+                q, c = q[ok], c[ok]
+                ok = sum(np.bitwise_count(f[k][q] ^ f[k][c]).astype(np.int32) for k in range(width)) <= far
+                a.append(ids[q[ok]])
+                b.append(ids[c[ok]])
+            for g in np.flatnonzero(n > LEAF * FAN):
+                i, j, w = cuts[g], cuts[g + 1], of[g]
+                order = np.argsort(_gray_rank(f[w, i:j]), kind="stable") + i
+                x, who = f[:, order], ids[order]
+                q, c = search(x[w], near)
+                ok = sum(np.bitwise_count(x[k][q] ^ x[k][c]).astype(np.int32) for k in range(width)) <= far
                 label = spanning(j - i, q[ok], c[ok])
                 child = np.flatnonzero(label != np.arange(j - i))
                 a.append(who[label[child]])
@@ -321,6 +396,20 @@ def alike(cuts: np.ndarray, values: np.ndarray, similarity: float) -> tuple[np.n
     return np.concatenate([np.zeros(0, int), *a]), np.concatenate([np.zeros(0, int), *b])
 
 
+def _sets(n: int):
+    """Rows (root, id, s, text) -> root, id, s, h: distinct shingles; rows whose set is another than s names go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(batch, 3):
+                values, cuts = shingle_sets(part.column(3).to_pylist(), n)
+                same = pa.array(_names(values, cuts).view(np.int64) == part.column(2).to_numpy())
+                h = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], h], names=["root", "id", "s", "h"]).filter(same)
+
+    return run
+
+
 def verified(sets: DataFrame, similarity: float, cap: int = 1_000_000) -> DataFrame:
     """sets(root, id, h: distinct shingles) -> edges (a, b) that connect, among equal roots, whatever reaches the similarity."""
     rows = sets.where(F.size("h") > 0).withColumn("weight", F.size("h") + 50)
@@ -400,15 +489,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, near: int = 2, width: int
     words_ = [f"f{k}" for k in range(width)]
     exact = similarity is None
     of_class = words_ if exact else [*words_, "s"]
-    prints = stash(fingerprints(docs, shingle, width, not exact))
+    prints = stash(fingerprints(docs, shingle) if exact else set_fingerprints(docs, shingle, width))
     classes = stash(prints.groupBy(*of_class).agg(F.min("doc_id").alias("id")))
     known, far = classes.where("id is not null"), 64 * width if far is None else far
     if exact:
         roots = components(links(known, width, near, far, exact_masks(list(range(64)), near), True))
     else:
         found = known.select("id", "s").join(components(meet(known, width, near, far, masks_for(similarity, width))), "id")
-        texts = docs.select(F.col("doc_id").alias("id"), "text").join(found, "id")
-        sets = texts.select("root", "id", "s", shingle_set(F.col("text"), shingle).alias("h")).where(F.xxhash64("h") == F.col("s"))
+        found = stash(found.select("id", "s", "root"))
+        texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(found, "id").select("root", "id", "s", "text")
+        sets = texts.mapInArrow(_sets(shingle), "root bigint, id bigint, s bigint, h array<bigint>")
         roots = components(verified(stash(sets.dropDuplicates(["id", "s"]).drop("s")), similarity))
     of = classes.join(roots, "id", "left").select(*of_class, F.coalesce("root", "id").alias("component_id"))
     return prints.join(of, of_class).drop("s")
