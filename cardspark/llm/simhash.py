@@ -311,12 +311,16 @@ def meet(prints: DataFrame, width: int, near: int, far: int, masks: list[int], n
             of = batch.column(0).to_numpy() % width
             a, b = [ids[:0]], [ids[:0]]
             n = np.diff(cuts)
+            pairs = [(cuts[:0], cuts[:0])]
             for q, c, node in _small_pairs(cuts, LEAF * FAN):  # nodes that are one run of leaves
                 ok = np.bitwise_count(f[of[node], q] ^ f[of[node], c]) <= near
                 q, c = q[ok], c[ok]
                 ok = sum(np.bitwise_count(f[k][q] ^ f[k][c]).astype(np.int32) for k in range(width)) <= far
-                a.append(ids[q[ok]])
-                b.append(ids[c[ok]])
+                pairs.append((q[ok], c[ok]))
+            label = spanning(len(ids), *map(np.concatenate, zip(*pairs)))
+            child = np.flatnonzero(label != np.arange(len(ids)))
+            a.append(ids[label[child]])
+            b.append(ids[child])
             for g in np.flatnonzero(n > LEAF * FAN):
                 i, j, w = cuts[g], cuts[g + 1], of[g]
                 order = np.argsort(_gray_rank(f[w, i:j]), kind="stable") + i
