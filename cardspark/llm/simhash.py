@@ -1,9 +1,11 @@
 """SimHash near-dedup: a hierarchical index of fingerprints in Gray order.
 
-An upper node of the index is a mask and the bit pattern that all fingerprints below it share under that mask. The topmost
-nodes are rows, so that Spark can deal them out; a node that holds too many fingerprints gets child nodes with longer masks;
-below a node of bounded size, fingerprints are sorted by Gray rank, runs of them factor the bits they share into nodes of
-two more levels, and a search prunes whole runs whose accumulated differences exceed the limit.
+A node of the index is a run of the Gray order whose fingerprints share their first bits: a mask and a bit pattern. The upper
+nodes are rows that Spark deals out. A query goes to every upper node whose shared bits differ from its own in no more places
+than are allowed, and carries what it has used up; a node that holds too many fingerprints is cut by further bits, and its
+queries go down to those of its children that the differences so far still allow. Below such a node fingerprints are sorted
+by Gray rank, runs of them factor the bits they share into nodes of two more levels, and a search prunes whole runs whose
+accumulated differences exceed the limit. (`meet` searches the same trees below sampled masks, for a similarity of shingles.)
 """
 
 from __future__ import annotations
@@ -21,7 +23,9 @@ from pyspark.sql import functions as F
 from . import rolling
 from .common import ascii_lower, let, stash, words
 
-NODE = 2048  # fingerprints below one topmost node at most
+NODE = 512  # fingerprints below one upper node, about
+MOST = 8192  # of one that is not cut further
+CUT = 4  # further bits by which a larger one is cut
 LEAF, FAN = 8, 8
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -140,11 +144,6 @@ def _runs_of(cuts: np.ndarray, most: int = 100_000) -> Iterator[tuple[int, int]]
         i = j
 
 
-def exact_masks(bits: list[int], differences: int) -> list[int]:
-    """Masks of which any two fingerprints at that many differences at most agree under one: the bits in differences + 1 parts."""
-    return [sum(1 << b for b in bits[k :: differences + 1]) for k in range(differences + 1)]
-
-
 def sampled_masks(count: int, width: int, seed: int = 5) -> list[int]:
     """Masks of `width` seeded random bits each."""
     rng = np.random.default_rng(seed)
@@ -182,19 +181,21 @@ def _level(pattern: np.ndarray, mask: np.ndarray, size: int) -> tuple[np.ndarray
     return np.bitwise_and.reduceat(pattern, first), both & same, first
 
 
-def search(f: np.ndarray, differences: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j), i < j in Gray order, of 64-bit words at that many differences at most; f is in Gray order."""
+def search(f: np.ndarray, differences: int, asked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j): asked[i] and f[j] at that many differing bits at most; f is in Gray order. Without asked: f[i] and f[j], i < j."""
     levels = [(f, np.full(len(f), ~np.uint64(0)), np.arange(len(f)))]
     for size in (LEAF, FAN):
         p, m, first = _level(levels[-1][0], levels[-1][1], size)
         levels.append((p, m, first))
+    own = asked is None
+    asked = f if own else asked
     out_q, out_c = [], []
-    for q0 in range(0, len(f), 256):
-        q = np.repeat(np.arange(q0, min(q0 + 256, len(f))), len(levels[2][0]))
-        c = np.tile(np.arange(len(levels[2][0])), min(256, len(f) - q0))
+    for q0 in range(0, len(asked), 256):
+        q = np.repeat(np.arange(q0, min(q0 + 256, len(asked))), len(levels[2][0]))
+        c = np.tile(np.arange(len(levels[2][0])), min(256, len(asked) - q0))
         for depth in (2, 1, 0):  # differences add up on the way down: a child's mask holds its parent's
             p, m, _ = levels[depth]
-            near = np.bitwise_count((f[q] ^ p[c]) & m[c]) <= differences
+            near = np.bitwise_count((asked[q] ^ p[c]) & m[c]) <= differences
             q, c = q[near], c[near]
             if depth:
                 fan = FAN if depth == 2 else LEAF
@@ -203,10 +204,12 @@ def search(f: np.ndarray, differences: int) -> tuple[np.ndarray, np.ndarray]:
                 q = np.repeat(q, fan)
                 ok = c < n
                 q, c = q[ok], c[ok]
-        ok = q < c
-        out_q.append(q[ok])
-        out_c.append(c[ok])
-    return np.concatenate(out_q), np.concatenate(out_c)
+        if own:
+            ok = q < c
+            q, c = q[ok], c[ok]
+        out_q.append(q)
+        out_c.append(c)
+    return np.concatenate([np.zeros(0, int), *out_q]), np.concatenate([np.zeros(0, int), *out_c])
 
 
 def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -223,64 +226,66 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def links(prints: DataFrame, width: int, near: int, far: int, masks: list[int], exact: bool, node: int = NODE) -> DataFrame:
-    """prints(f0.., id), one row per fingerprint -> edges (a, b) that connect whatever lies within the limits and meets in a node.
+def _flips(bits: int, most: int) -> list[int]:
+    """All patterns of `bits` bits with up to `most` ones."""
+    return [sum(1 << b for b in some) for k in range(most + 1) for some in itertools.combinations(range(bits), k)]
+
 
-    Fingerprints link at `near` differing bits or fewer in f0 and `far` or fewer in all words. With exact masks no link is
-    lost. Nodes over `node` fingerprints are split: among equal bits under the mask, the other bits take masks in their turn
-    (exact), or more seeded bits (sampled: the same fingerprints meet under the next masks). A node's pairs stay in its task:
-    it returns at most one edge a fingerprint.
+def _down(rows: DataFrame, depth: int, cut: int, near: int) -> DataFrame:
+    """rows(p, used, id, f0), of nodes at a depth -> the same of their children, `cut` bits deeper.
+
+    A row whose own node it is (used = 0, p its own bits) is dealt into its own child, and visits earlier ones; a visitor goes to
+    whatever children its differences so far allow. Of two fingerprints the later one visits, so each pair meets once.
     """
-    spark = prints.sparkSession
-    words_ = [f"f{k}" for k in range(width)]
-    prefix = prints.select("id", *words_, F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("m"))
-    done = None
-    rows = prefix
-    depth = 0
+    bits = F.shiftrightunsigned("f0", 64 - depth - cut).bitwiseAND(F.lit((1 << cut) - 1))
+    flips = F.explode(F.array(*[F.struct(F.lit(x).cast("long").alias("x"), F.lit(x.bit_count()).alias("k")) for x in _flips(cut, near)]))
+    turned = F.col("bits").bitwiseXOR(F.col("flip.x"))
+    rows = rows.select("p", "used", "id", "f0", bits.alias("bits"), flips.alias("flip"))
+    rows = rows.where((F.col("used") + F.col("flip.k") <= near) & ((F.col("used") > 0) | (turned <= F.col("bits"))))
+    return rows.select(F.shiftleft("p", cut).bitwiseOR(turned).alias("p"), (F.col("used") + F.col("flip.k")).alias("used"), "id", "f0")
+
+
+def links(prints: DataFrame, near: int, node: int = NODE, most: int = MOST) -> DataFrame:
+    """prints(f0, id), one row per fingerprint -> edges (a, b) that connect whatever is at `near` differing bits or fewer.
+
+    The upper nodes are as deep as gives some `node` fingerprints each; those of over `most` are cut further, at last to single
+    fingerprints. No link is lost. A node's pairs stay in its task: it returns at most one edge a fingerprint or visitor.
+    """
+    depth = min(60, max(0, math.ceil(math.log2(max(1, prints.count()) / node))))
+    rows = prints.select(F.lit(0).cast("long").alias("p"), F.lit(0).alias("used"), "id", "f0")
+    rows, at, done = _down(rows, 0, depth, near) if depth else rows, depth, None
+    own = (F.col("used") == 0).cast("int")  # the last step of two patterns alike: the node's own fingerprint
     while True:
-        keyed = rows.withColumn("p", F.col("f0").bitwiseAND(F.col("m")))
-        sizes = keyed.groupBy("m", "p").agg(F.count("*").alias("n")).where("n > 1")
-        small = keyed.join(sizes.where(F.col("n") <= node), ["m", "p"])
-        done = small if done is None else done.unionByName(small)
-        big = stash(sizes.where(F.col("n") > node).select("m", "p"))
-        if depth == 5 or big.isEmpty():
+        sizes = rows.groupBy("p").agg(F.sum(own).alias("n"))
+        crowded = stash(sizes.where(F.col("n") > most).select("p"))
+        part = rows.groupBy("p").agg(F.collect_list(F.struct("id", "f0", own.alias("own"))).alias("rows"), F.sum(own).alias("n")).where((F.col("n") > 0) & (F.size("rows") > 1) & (F.col("n") <= most))
+        done = part if done is None else done.unionByName(part)
+        if at >= 64 or crowded.isEmpty():
             break
-        depth += 1
-        children = big.select("m").distinct()
-        rest = keyed.join(big, ["m", "p"]).drop("p")
-        rows = rest.join(_children(spark, children, near if exact else 0), "m").drop("m").withColumnRenamed("c", "m")
-    if not big.isEmpty():
-        done = done.unionByName(keyed.join(big, ["m", "p"]).withColumn("n", F.lit(node + 1).cast("long")))
-    packed = done.groupBy("m", "p").agg(F.collect_list(F.struct("id", *words_)).alias("members"))
+        cut = min(CUT, 64 - at)
+        rows = stash(_down(rows.join(crowded, "p"), at, cut, near))
+        at += cut
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = batch.column(0)
             cuts = col.offsets.to_numpy()
-            ids = col.values.field("id").to_numpy()
-            f = np.stack([col.values.field(w).to_numpy().view(np.uint64) for w in words_])
-            a, b = [], []
-            sizes = np.diff(cuts)
-            for i in cuts[:-1][sizes == 2]:
-                d = np.bitwise_count(f[:, i] ^ f[:, i + 1])
-                if d[0] <= near and d.sum() <= far:
-                    a.append(ids[i : i + 1])
-                    b.append(ids[i + 1 : i + 2])
-            for i, j in zip(cuts[:-1][sizes > 2], cuts[1:][sizes > 2], strict=True):
-                order = np.argsort(_gray_rank(f[0, i:j]), kind="stable") + i
-                g, who = f[:, order], ids[order]
-                q, c = search(g[0], near)
-                if width > 1:
-                    ok = sum(np.bitwise_count(g[k][q] ^ g[k][c]).astype(np.int32) for k in range(width)) <= far
-                    q, c = q[ok], c[ok]
-                label = spanning(j - i, q, c)
-                child = np.flatnonzero(label != np.arange(j - i))
+            ids, f, own = col.values.field("id").to_numpy(), col.values.field("f0").to_numpy().view(np.uint64), col.values.field("own").to_numpy() > 0
+            a, b = [ids[:0]], [ids[:0]]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                here = np.flatnonzero(own[i:j]) + i
+                here = here[np.argsort(_gray_rank(f[here]), kind="stable")]
+                from_ = np.flatnonzero(~own[i:j]) + i
+                q, c = search(f[here], near)
+                v, d = search(f[here], near, f[from_])
+                who = ids[np.concatenate([here, from_])]
+                label = spanning(len(who), np.concatenate([q, v + len(here)]), np.concatenate([c, d]))
+                child = np.flatnonzero(label != np.arange(len(who)))
                 a.append(who[label[child]])
                 b.append(who[child])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    return packed.select("members").mapInArrow(run, "a bigint, b bigint")
+    return done.select("rows").mapInArrow(run, "a bigint, b bigint")
 
 
 def _small_pairs(cuts: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -294,7 +299,7 @@ def _small_pairs(cuts: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.n
             yield (at + i).ravel(), (at + j).ravel(), np.repeat(some, len(i))
 
 
-def meet(prints: DataFrame, width: int, near: int, far: int, masks: list[int], node: int = 4 * NODE) -> DataFrame:
+def meet(prints: DataFrame, width: int, near: int, far: int, masks: list[int], node: int = MOST) -> DataFrame:
     """prints(f0.., id) -> edges (a, b) that connect whatever differs in `far` bits at most, in `near` bits of the word that a
     mask is of, and agrees under that mask; mask k is of word k % width. A node's pairs stay in its task: it returns at most
     one edge a fingerprint. A node over `node` fingerprints is dealt out in blocks that lose no pair."""
@@ -442,20 +447,6 @@ def _signed(m: int) -> int:
     return m - (1 << 64) if m >= 1 << 63 else m
 
 
-def _children(spark, parents: DataFrame, differences: int) -> DataFrame:
-    """(m, c): for each mask m its child masks. There are as many masks as levels and parts allow, never as many as rows."""
-    rows = [(_signed(m), _signed(m | c)) for m in sorted({r["m"] % (1 << 64) for r in parents.collect()}) for c in _child_masks(m, differences)]
-    return F.broadcast(spark.createDataFrame(rows, "m bigint, c bigint"))
-
-
-def _child_masks(m: int, differences: int) -> list[int]:
-    free = [b for b in range(64) if not m >> b & 1]
-    if differences:
-        return exact_masks(free, differences)
-    order = np.random.default_rng(m % (1 << 32)).permutation(free)
-    return [sum(1 << int(b) for b in order[k::3][:6]) for k in range(3)]
-
-
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges(a, b) -> (id, root): of every id in an edge the smallest id that links reach.
 
@@ -483,21 +474,24 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 3, near: int = 2, width: int = 1, far: int | None = None, similarity: float | None = None) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, f0.., component_id; a row per row.
 
-    Fingerprints link at `near` or fewer differing bits of f0 (and `far` or fewer of all words); component_id is the smallest
-    doc_id reachable. Without `similarity` the search is exact. With it, the sets of shingles decide: masks are sampled to find
-    pairs of that similarity, and whatever they connect is compared shingle by shingle, so no link is under the similarity.
+    Fingerprints link at `near` or fewer differing bits of f0; component_id is the smallest doc_id reachable. Without
+    `similarity` the search is exact. With it, the sets of shingles decide: masks are sampled to find pairs of that similarity,
+    `far` or fewer of the bits of all `width` words apart, and whatever they connect is compared shingle by shingle, so no link
+    is under the similarity.
     Equal fingerprints (with `similarity`: equal sets) are one class before any search, so exact copies cost one row. Null and
     empty texts have fingerprint zero and are one class. Rows with a null doc_id get their class's component (null if no other
     id is in it). Repeated rows get equal results; no rows give no rows; other columns are not read.
     """
     words_ = [f"f{k}" for k in range(width)]
     exact = similarity is None
+    if exact and (width != 1 or far is not None):
+        raise ValueError("width and far go with a similarity")
     of_class = words_ if exact else [*words_, "s"]
     prints = stash(fingerprints(docs, shingle) if exact else set_fingerprints(docs, shingle, width))
     classes = stash(prints.groupBy(*of_class).agg(F.min("doc_id").alias("id")))
     known, far = classes.where("id is not null"), 64 * width if far is None else far
     if exact:
-        roots = components(links(known, width, near, far, exact_masks(list(range(64)), near), True))
+        roots = components(links(known, near))
     else:
         found = known.select("id", "s").join(components(meet(known, width, near, far, masks_for(similarity, width))), "id")
         found = stash(found.select("id", "s", "root"))

@@ -58,11 +58,33 @@ def test_links_lose_none_and_hot_nodes_split(spark, node):
             f.add(x)
     f = sorted(f)
     df = spark.createDataFrame([(simhash._signed(x), i) for i, x in enumerate(f)], "f0 long, id long")
-    edges = simhash.links(df, 1, 2, 64, simhash.exact_masks(list(range(64)), 2), True, node)
+    edges = simhash.links(df, 2, max(2, node // 16), node)
     got = {r.id: r.root for r in simhash.components(edges).collect()}
     assert [got.get(i, i) for i in range(len(f))] == brute(f, list(range(len(f))), 2)
 
 
+def test_each_pair_meets_once_on_the_way_down(spark):
+    rng = np.random.default_rng(5)
+    f = [int(x) for x in rng.integers(0, 2**63, 60, dtype=np.uint64) << np.uint64(1)]
+    f = sorted({*f, *[x ^ 3 << 61 for x in f], *[x ^ 1 << 63 ^ 1 << 50 for x in f]})
+    df = spark.createDataFrame([(0, 0, i, simhash._signed(x)) for i, x in enumerate(f)], "p long, used int, id long, f0 long")
+    near = {(i, j) for i in range(len(f)) for j in range(i) if (f[i] ^ f[j]).bit_count() <= 2}
+    for cuts in ((5,), (2, 3, 9), (4, 4, 4, 4, 48)):
+        rows, depth = df, 0
+        for cut in cuts:
+            rows, depth = simhash._down(rows, depth, cut, 2), depth + cut
+        got = rows.collect()
+        homes = {}
+        for r in got:
+            if r.used == 0:
+                assert r.p % (1 << 64) == f[r.id] >> (64 - depth)
+                homes.setdefault(r.p, []).append(r.id)
+        assert sum(map(len, homes.values())) == len(f)
+        met = [(max(r.id, h), min(r.id, h)) for r in got if r.used for h in homes.get(r.p, ())]
+        met += [(i, j) for h in homes.values() for i in h for j in h if j < i]
+        assert len(met) == len(set(met)) and near <= set(met)
+
+
 def test_search_prunes_nothing_near():
     rng = np.random.default_rng(0)
     f = rng.integers(0, 2**63, 300, dtype=np.uint64)
