@@ -30,7 +30,7 @@ def io1_load_tables(spark, d):
 
 
 _EXT = "case doc_id % 6 when 0 then '.md' when 1 then '.PY' when 2 then '.exe' when 3 then '.txt' when 4 then '' else '.json' end"
-_FILES = f"select source as folder, case when doc_id % 7 = 0 then '.' else 'f' end || doc_id || {_EXT} as name, n_chars * 1000 as size, doc_id % 8 as depth, substring(text, 1, 60) as content from documents"
+_FILES = f"select source as folder, case when doc_id % 7 = 0 then '.' else 'f' end || doc_id || {_EXT} as name, n_chars * 1000 as size, doc_id % 8 as depth, text as content from documents"
 
 
 @query(rf"""with f as ({_FILES}), g as (select *, row_number() over (partition by folder order by name) as n from f where lower(regexp_extract(name, '\.([^./]+)$', 1)) in ({", ".join(f"'{x}'" for x in io.TEXT_EXTENSIONS)}) and name not like '.%' and depth <= 5 and size < 52428800)
@@ -108,13 +108,14 @@ def _env(x):
     return trim(f"regexp_replace({x}, '[<>\"]', '', 'g')")
 
 
-_CUT = "case when length(raw_content) <= 500 then raw_content else substring(raw_content, 1, 250) || chr(10) || '[…素材中段已省略…]' || chr(10) || right(raw_content, 250) end"
+_PROMPT = 12_000
+_CUT = f"case when length(raw_content) <= {_PROMPT} then raw_content else substring(raw_content, 1, {_PROMPT // 2}) || chr(10) || '[…素材中段已省略…]' || chr(10) || right(raw_content, {_PROMPT // 2}) end"
 
 
 @query(using("materials", "projects") + rf""", e as (select project_id, uploaded_at, id, '<material type="' || {_env('type')} || '" ref="' || {_env('source_ref')} || '">' || chr(10) || regexp_replace({_CUT}, '(?i)<{S}*/{S}*material{S}*>', '<\\/material>', 'g') || chr(10) || '</material>' as t from materials where category = 'project')
   select project_id, 'role: ' || split_part(any_value(target_role), chr(10), 1) || chr(10) || 'jd: ' || any_value(jd_text) || chr(10) || chr(10) || string_agg(t, chr(10) || chr(10) order by uploaded_at, e.id) as prompt from e join projects p on p.id = project_id group by project_id""")
 def a6_prompt_assembly(spark, d):
-    return C.prompt_assembly(read(spark, d, "materials"), read(spark, d, "projects"), limit=500)
+    return C.prompt_assembly(read(spark, d, "materials"), read(spark, d, "projects"), limit=_PROMPT)
 
 
 _K1 = {"oldest": "created_at, ", "confidence_desc": "confidence desc, ", "important": "is_important desc, ", "review": "coalesce(due_at, 0), "}

@@ -1,6 +1,7 @@
 """All registered queries of the library's own operators, with their oracles."""
 
-from . import card_queries, stream_queries, text_queries, usage_queries
+from . import card_queries, file_queries, stream_queries, text_queries, usage_queries
 
-QUERIES = text_queries.QUERIES | card_queries.QUERIES | usage_queries.QUERIES | stream_queries.QUERIES
-ORACLES = text_queries.ORACLES | card_queries.ORACLES | usage_queries.ORACLES | stream_queries.ORACLES
+_PARTS = (text_queries, card_queries, usage_queries, stream_queries, file_queries)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

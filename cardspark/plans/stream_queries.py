@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import plugs
 from ..operators import notes, review
+from ..operators import text as T
 from ..streaming import jobs, state
 from .tables import read
 
@@ -98,7 +99,8 @@ def t24_note_markdown(spark, d):
 
 @query()
 def p1_embed_passages(spark, d):
-    rows = plugs.embed_passages(read(spark, d, "cards"), "card_id", "summary", plugs.hashing_embedder(64))
+    cards = read(spark, d, "cards").select("card_id", T.passage_text(F.col("title"), F.col("summary"), F.col("details")).alias("passage"))
+    rows = plugs.embed_passages(cards, "card_id", "passage", plugs.hashing_embedder(64))
     return rows.select("card_id", F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
 
 
