@@ -226,6 +226,15 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def _stars(ids: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(root, child) for each member of a part but the one of the smallest id, its root: nodes that hold the same members return the same edges."""
+    root = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(root, label, ids)
+    root = root[label]
+    other = np.flatnonzero(root != ids)
+    return root[other], ids[other]
+
+
 def _flips(bits: int, most: int) -> list[int]:
     """All patterns of `bits` bits with up to `most` ones."""
     return [sum(1 << b for b in some) for k in range(most + 1) for some in itertools.combinations(range(bits), k)]
@@ -280,9 +289,9 @@ def links(prints: DataFrame, near: int, node: int = NODE, most: int = MOST) -> D
                 v, d = search(f[here], near, f[from_])
                 who = ids[np.concatenate([here, from_])]
                 label = spanning(len(who), np.concatenate([q, v + len(here)]), np.concatenate([c, d]))
-                child = np.flatnonzero(label != np.arange(len(who)))
-                a.append(who[label[child]])
-                b.append(who[child])
+                root, child = _stars(who, label)
+                a.append(root)
+                b.append(child)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     return done.select("rows").mapInArrow(run, "a bigint, b bigint")
@@ -323,9 +332,9 @@ def meet(prints: DataFrame, width: int, near: int, far: int, masks: list[int], n
                 ok = sum(np.bitwise_count(f[k][q] ^ f[k][c]).astype(np.int32) for k in range(width)) <= far
                 pairs.append((q[ok], c[ok]))
             label = spanning(len(ids), *map(np.concatenate, zip(*pairs)))
-            child = np.flatnonzero(label != np.arange(len(ids)))
-            a.append(ids[label[child]])
-            b.append(ids[child])
+            root, child = _stars(ids, label)
+            a.append(root)
+            b.append(child)
             for g in np.flatnonzero(n > LEAF * FAN):
                 i, j, w = cuts[g], cuts[g + 1], of[g]
                 order = np.argsort(_gray_rank(f[w, i:j]), kind="stable") + i
@@ -333,9 +342,9 @@ def meet(prints: DataFrame, width: int, near: int, far: int, masks: list[int], n
                 q, c = search(x[w], near)
                 ok = sum(np.bitwise_count(x[k][q] ^ x[k][c]).astype(np.int32) for k in range(width)) <= far
                 label = spanning(j - i, q[ok], c[ok])
-                child = np.flatnonzero(label != np.arange(j - i))
-                a.append(who[label[child]])
-                b.append(who[child])
+                root, child = _stars(who, label)
+                a.append(root)
+                b.append(child)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     def pack(df: DataFrame, by: list[str]) -> DataFrame:
