@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import regexes as R
+from ..sources.shared import written
 from .text import _bigrams, escape_attribute, escape_envelope, js_trim, truncate_head_tail
 
 #: In the order in which study sheets list them.
@@ -179,14 +180,10 @@ def dedup_cards(cards: DataFrame, order: str = "card_id", limit: float = 0.65) -
 
     Rounds over the graph of overlaps: a card all of whose earlier neighbours are gone stays, one with an earlier neighbour
     that stays goes. The overlaps are dealt out by ranges of their later card, and each range settles in order what it can, so
-    a long chain takes as many rounds as it crosses ranges. Rounds end when no card is open. Each is checkpointed, in the
-    session's folder where it has one.
+    a long chain takes as many rounds as it crosses ranges. Rounds end when no card is open. Each is written to the shared folder.
     """
-    edges = overlapping_pairs(cards, order, limit)
-    context = cards.sparkSession.sparkContext
-    cut = (lambda df: df.checkpoint()) if context.getCheckpointDir() else (lambda df: df.localCheckpoint())
-    edges = cut(edges)
-    state = cut(edges.select("project_id", F.col("late").alias("o")).distinct().withColumn("fate", F.lit("open")))
+    edges = written(overlapping_pairs(cards, order, limit))
+    state = written(edges.select("project_id", F.col("late").alias("o")).distinct().withColumn("fate", F.lit("open")))
     kinds = dict(edges.dtypes)
     left = None
     while n := state.where("fate = 'open'").count():
@@ -196,7 +193,7 @@ def dedup_cards(cards: DataFrame, order: str = "card_id", limit: float = 0.65) -
         early = state.withColumnsRenamed({"o": "early", "fate": "f"})
         seen = edges.join(early, ["project_id", "early"], "left").select("project_id", "late", "early", "f")
         ranges = seen.repartitionByRange("project_id", "late").sortWithinPartitions("project_id", "late")
-        state = cut(ranges.mapInArrow(_settle, f"project_id {kinds['project_id']}, o {kinds['late']}, fate string"))
+        state = written(ranges.mapInArrow(_settle, f"project_id {kinds['project_id']}, o {kinds['late']}, fate string"))
     gone = state.where("fate <> 'stays'").select("project_id", F.col("o").alias(order))
     return cards.join(gone, ["project_id", order], "left_anti")
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .text import inject_bigrams, tokenize_query
 
 FIELDS = ("title", "summary", "details", "tags")
@@ -26,24 +29,29 @@ def build_postings(cards: DataFrame) -> DataFrame:
     return rows.select("card_id", "x.field", F.explode("x.t").alias("token")).groupBy("card_id", "field", "token").agg(F.count("*").alias("tf"))
 
 
-def index_stats(postings: DataFrame, cards: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Token document frequencies, card lengths, and one row (n, avg_len)."""
-    df = postings.groupBy("token").agg(F.count_distinct("card_id").alias("df"))
-    lengths = postings.groupBy("card_id").agg(F.sum("tf").alias("len"))
-    total = cards.agg(F.count("*").alias("n")).join(lengths.agg(F.sum("len").alias("all")), F.lit(True)).select("n", (F.col("all") / F.col("n")).alias("avg_len"))
-    return df, lengths, total
+def word_index(postings: DataFrame, weights: str = "intended") -> DataFrame:
+    """(card_id, token, f, tf, len): weighted and plain counts of a card's tokens and the card's length, by one shuffle on the card."""
+    w = F.create_map(*[x for f, v in zip(FIELDS, WEIGHTS[weights]) for x in (F.lit(f), F.lit(v))])
+    rows = postings.repartition("card_id").groupBy("card_id", "token").agg(F.sum(w[F.col("field")] * F.col("tf")).alias("f"), F.sum("tf").alias("tf"))
+    return rows.withColumn("len", F.sum("tf").over(Window.partitionBy("card_id")))
 
 
-def bm25(queries: DataFrame, postings: DataFrame, cards: DataFrame, weights: str = "intended") -> DataFrame:
-    """R2: (query_id, card_id, bm25) of cards that share a token with the query (query_id, tokens).
+def bm25(queries: DataFrame, postings: DataFrame, cards: DataFrame, weights: str = "intended", scopes: DataFrame | None = None) -> DataFrame:
+    """R2: (query_id, card_id, bm25) of cards that share a token with the query (query_id, tokens[, scopes]).
 
-    Queries meet postings by token; a frequent token is split by the adaptive skew join, its sums are small before they move.
+    The index is written once; only tokens that are asked for are read on. With scopes (card_id, scope) a card meets the
+    queries that list its scope, before any score is summed; document frequencies and lengths stay those of all cards.
+    A frequent token is split by the adaptive skew join.
     """
-    df, lengths, total = index_stats(postings, cards)
-    w = F.create_map(*[x for f, v in zip(FIELDS, WEIGHTS[weights]) for x in (F.lit(f), F.lit(v))])
-    weighted = postings.groupBy("card_id", "token").agg(F.sum(w[F.col("field")] * F.col("tf")).alias("f"))
-    asked = queries.select("query_id", F.explode("tokens").alias("token")).distinct()
-    hits = weighted.join(asked, "token").join(df, "token").join(lengths, "card_id").join(F.broadcast(total))  # total: one row
+    index = written(word_index(postings, weights))
+    total = cards.select(F.lit(1).alias("n"), F.lit(0).alias("all")).unionByName(index.select(F.lit(0).alias("n"), F.col("tf").alias("all")))
+    total = total.agg(F.sum("n").alias("n"), F.sum("all").alias("all")).select("n", (F.col("all") / F.when(F.col("n") > 0, F.col("n"))).alias("avg_len"))
+    on = ["token"] if scopes is None else ["token", "scope"]
+    asked = queries.select("query_id", F.explode("tokens").alias("token"), *([] if scopes is None else ["scopes"])).distinct()
+    asked = asked if scopes is None else asked.select("query_id", "token", F.explode("scopes").alias("scope"))
+    used = index.join(asked.select("token").distinct(), "token", "left_semi")
+    df = used.groupBy("token").agg(F.count("*").alias("df"))
+    hits = (used if scopes is None else used.join(scopes, "card_id")).join(asked, on).join(df, "token").join(F.broadcast(total))  # total: one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
     part = idf * (F.col("f") * (K1 + 1)) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
@@ -51,18 +59,30 @@ def bm25(queries: DataFrame, postings: DataFrame, cards: DataFrame, weights: str
 
 
 def search_scope(cards: DataFrame, projects: DataFrame) -> DataFrame:
-    """(project_id, card_id) of cards that a project searches: its own and those of profile projects."""
+    """(project_id, card_id) of cards that a project searches: its own and those of profile projects.
+
+    Every project lists every profile card, as the result asks; the cards are dealt into blocks that each meet all projects.
+    Searches do not need these rows: see `card_scopes`.
+    """
+    blocks = 64
     own = cards.select("project_id", "card_id")
-    shared = cards.join(projects.where("is_profile").select(F.col("id").alias("project_id")), "project_id", "left_semi").select("card_id", F.lit(1).alias("_on"))
-    everywhere = projects.select(F.col("id").alias("project_id"), F.lit(1).alias("_on")).join(shared, "_on").select("project_id", "card_id")
-    return own.unionByName(everywhere).distinct()
+    shared = cards.join(projects.where("is_profile").select(F.col("id").alias("project_id")), "project_id", "left_semi").select("card_id", F.pmod(F.xxhash64("card_id"), F.lit(blocks)).alias("_b"))
+    each = projects.select(F.col("id").alias("project_id"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("_b"))
+    return own.unionByName(each.join(shared, "_b").select("project_id", "card_id")).distinct()
 
 
-def in_scope(scored: DataFrame, queries: DataFrame, cards: DataFrame, projects: DataFrame) -> DataFrame:
-    """Hits of (query_id, card_id, ..) whose card the query's project may see, tested card by card."""
-    profile = projects.where("is_profile").select(F.col("id").alias("_pp"), F.lit(True).alias("_profile"))
-    seen = cards.select("card_id", F.col("project_id").alias("_cp")).join(profile, F.col("_cp") == F.col("_pp"), "left")
-    return scored.join(queries.select("query_id", "project_id"), "query_id").join(seen, "card_id").where((F.col("_cp") == F.col("project_id")) | F.col("_profile")).select(scored.columns)
+def card_scopes(cards: DataFrame, projects: DataFrame | None = None) -> DataFrame:
+    """(card_id, scope): one scope a card, `*` if it is a profile project's, which all may see, else its own project's."""
+    own = F.concat(F.lit("="), "project_id")
+    if projects is None:
+        return cards.select("card_id", own.alias("scope"))
+    profile = projects.where("is_profile").select(F.col("id").alias("project_id"), F.lit(True).alias("_profile")).distinct()
+    return cards.select("card_id", "project_id").join(profile, "project_id", "left").select("card_id", F.when(F.col("_profile"), F.lit("*")).otherwise(own).alias("scope"))
+
+
+def query_scopes(project: Column) -> Column:
+    """The scopes that a project's query looks into."""
+    return F.array(F.concat(F.lit("="), project), F.lit("*"))
 
 
 def top_k(scored: DataFrame, score: str, rank: str, k: int = 64) -> DataFrame:
@@ -71,17 +91,51 @@ def top_k(scored: DataFrame, score: str, rank: str, k: int = 64) -> DataFrame:
     return scored.withColumn(rank, F.row_number().over(w) - 1).where(F.col(rank) < k)
 
 
-def cosine(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(query_id, card_id, cosine) of all cards in reach of each query that has a vector.
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 64, block: int = 4096) -> DataFrame:
+    """(query_id, card_id, cosine) of the k nearest cards of each query, ranked as `top_k` does.
 
-    queries(query_id, vector, project_id), vectors(card_id, embedding, project_id): they meet by project, in blocks.
+    queries(query_id, vector, scopes), vectors(card_id, embedding, scope): they meet by scope, in blocks of some `block` cards
+    and a quarter of it queries. A block keeps its own k best, so what moves on is k rows a query and block, not a row a pair.
+    Vectors that are null or zero, or of another length than the query's, take no part.
     """
-    blocks = 16
-    cards = vectors.select("project_id", "card_id", "embedding", F.pmod(F.xxhash64("card_id"), F.lit(blocks)).alias("_b"))
-    asked = queries.select("query_id", "project_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("_b"))
-    d = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    score = d("vector", "embedding") / F.sqrt(d("vector", "vector") * d("embedding", "embedding"))
-    return asked.join(cards, ["project_id", "_b"]).select("query_id", "card_id", F.round(score, 6).alias("cosine"))
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("v"), F.explode("scopes").alias("scope")).withColumn("dim", F.size("v"))
+    cards = vectors.select("card_id", F.col("embedding").cast("array<double>").alias("v"), "scope").withColumn("dim", F.size("v"))
+    by = ["scope", "dim"]
+    n = cards.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    m = asked.groupBy(*by).agg(F.ceil(F.count("*") * 4 / block).cast("int").alias("_m"))
+    cut = n.join(m, by)  # scopes that both have
+    deal = lambda c, size: F.pmod(F.xxhash64(c), F.col(size)).cast("int")
+    every = lambda size: F.explode(F.sequence(F.lit(0), F.col(size) - 1))
+    left = asked.join(cut, by).select(*by, "query_id", "v", deal("query_id", "_m").alias("i"), every("_n").alias("j"))
+    right = cards.join(cut, by).select(*by, "card_id", "v", every("_m").alias("i"), deal("card_id", "_n").alias("j"))
+    kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["card_id"]
+
+    def matrix(t: pa.Table) -> tuple[np.ndarray, pa.Table]:
+        v = t.column("v").combine_chunks()
+        x = v.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+        size = np.sqrt((x * x).sum(axis=1))
+        ok = np.isfinite(size) & (size > 0)
+        return x[ok] / size[ok][:, None], t.filter(pa.array(ok))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if a.num_rows and b.num_rows:
+            (x, a), (y, b) = matrix(a), matrix(b)
+        ids = b.column("card_id").to_numpy()
+        rows, found, score = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
+        if a.num_rows and b.num_rows:
+            all_ = np.round(x @ y.T, 6)
+            for q, s in enumerate(all_):
+                some = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
+                some = some[np.lexsort((ids[some], -s[some]))[:k]]
+                rows.append(np.full(len(some), q))
+                found.append(some)
+                score.append(s[some])
+        take = lambda t, name, at: t.column(name).take(pa.array(np.concatenate(at)))
+        return pa.table({"query_id": take(a, "query_id", rows), "card_id": take(b, "card_id", found), "cosine": pa.array(np.concatenate(score))})
+
+    keys = [*by, "i", "j"]
+    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, f"query_id {kinds[0]}, card_id {kinds[1]}, cosine double")
+    return top_k(best, "cosine", "_rank", k).drop("_rank")
 
 
 def rrf_fuse(vec: DataFrame, fts: DataFrame, k: int = 60) -> DataFrame:
@@ -107,16 +161,19 @@ def meeting_search(queries: DataFrame, cards: DataFrame, postings: DataFrame, pr
 
     scope "pre" ranks within the cards that the project may see; "post" takes the global best 64 first and then filters.
     """
-    q = queries.withColumn("tokens", tokenize_query(F.col("text"))).where(F.size("tokens") > 0)
-    words = bm25(q, postings, cards, weights)
-    keep = lambda df: in_scope(df, q, cards, projects)
-    fts = top_k(keep(words), "bm25", "fts_rank") if scope == "pre" else keep(top_k(words, "bm25", "fts_rank"))
+    q = queries.withColumn("tokens", tokenize_query(F.col("text"))).where(F.size("tokens") > 0).withColumn("scopes", query_scopes(F.col("project_id")))
+    scopes = written(card_scopes(cards, projects))
+    seen = lambda df: df.join(q.select("query_id", F.explode("scopes").alias("scope")), "query_id").join(scopes, ["card_id", "scope"]).drop("scope")
+    pre = scope == "pre"
+    fts = top_k(bm25(q, postings, cards, weights, scopes if pre else None), "bm25", "fts_rank")
     if vectors is None:
         vec = fts.where("false").select("query_id", "card_id", F.lit(0.0).alias("cosine"), F.lit(0).alias("vec_rank"))
     else:
-        one = F.lit(0)
-        near = cosine(q.where("vector is not null").withColumn("project_id", one), vectors.withColumn("project_id", one))
-        vec = top_k(keep(near), "cosine", "vec_rank") if scope == "pre" else keep(top_k(near, "cosine", "vec_rank"))
+        all_ = F.lit("*")
+        asked = q.where("vector is not null").withColumn("scopes", F.col("scopes") if pre else F.array(all_))
+        cards_ = vectors.select("card_id", "embedding").join(scopes, "card_id").withColumn("scope", F.col("scope") if pre else all_)
+        vec = top_k(nearest(asked, cards_), "cosine", "vec_rank")
+    fts, vec = (fts, vec) if pre else (seen(fts), seen(vec))
     fused = rrf_fuse(vec, fts).where(F.col("rank") < k)
     rows = fused.join(cards, "card_id").join(q.select("query_id", "tokens"), "query_id")
     rows = rows.withColumn("matched", matched_tokens(F.col("tokens"), F.col("title"), F.col("summary"), F.col("details"), F.col("tags")))
@@ -127,9 +184,8 @@ def meeting_search(queries: DataFrame, cards: DataFrame, postings: DataFrame, pr
 
 def card_search(queries: DataFrame, cards: DataFrame, postings: DataFrame, k: int = 10) -> DataFrame:
     """Words only, within the query's project."""
-    q = queries.withColumn("tokens", tokenize_query(F.col("text")))
-    found = bm25(q, postings, cards).join(cards.select("card_id", "project_id"), "card_id").join(q.select("query_id", "project_id"), ["query_id", "project_id"])
-    return top_k(found, "bm25", "rank", k).select("query_id", "rank", "card_id", "bm25")
+    q = queries.withColumn("tokens", tokenize_query(F.col("text"))).withColumn("scopes", query_scopes(F.col("project_id")))
+    return top_k(bm25(q, postings, cards, scopes=card_scopes(cards)), "bm25", "rank", k).select("query_id", "rank", "card_id", "bm25")
 
 
 def answer_context(hits: DataFrame, cards: DataFrame, n: int = 3, limit: int = 600) -> DataFrame:
@@ -157,9 +213,9 @@ def keyword_score(queries: DataFrame, cards: DataFrame, k: int = 4) -> DataFrame
     return top_k(scored, "points", "rank", k)
 
 
-def retrieval_eval(hits: DataFrame, truth: DataFrame, k: int = 3) -> DataFrame:
-    """Share of queries with a right card among the first k, and mean reciprocal rank."""
-    best = truth.select("query_id", "card_id").join(hits.select("query_id", "card_id", "rank"), ["query_id", "card_id"], "left").groupBy("query_id").agg(F.min("rank").alias("rank"))
+def retrieval_eval(asked: DataFrame, hits: DataFrame, k: int = 3) -> DataFrame:
+    """asked(query_id), hits(query_id, rank, right): share of the queries with a right card among the first k, and mean reciprocal rank."""
+    best = asked.select("query_id").distinct().join(hits.where("right").groupBy("query_id").agg(F.min("rank").alias("rank")), "query_id", "left")
     return best.agg(F.count("*").alias("n"), F.round(F.avg((F.coalesce("rank", F.lit(10**6)) < k).cast("double")), 6).alias("hit_at_k"), F.round(F.avg(F.coalesce(1 / (F.col("rank") + 1), F.lit(0.0))), 6).alias("mrr"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import plugs
 from ..operators import cards as C
 from ..sources import io as S
-from ..streaming.jobs import shared_dir
+from ..sources.shared import shared_dir
 from .tables import read, using
 
 QUERIES, ORACLES = {}, {}

@@ -312,9 +312,10 @@ _NEAR = f"select a.vec_id as query_id, b.vec_id as card_id, round({_COS}, 6) as
 
 @query(f"select query_id, rank, card_id, cosine from (select *, row_number() over (partition by query_id order by cosine desc, card_id) - 1 as rank from ({_NEAR})) where rank < 64")
 def r3_vector_topk(spark, d):
-    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("card_id"), "embedding", F.lit(0).alias("project_id"))
-    q = v.where("card_id % 25 = 0").select(F.col("card_id").alias("query_id"), F.col("embedding").alias("vector"), "project_id")
-    return Re.top_k(Re.cosine(q, v), "cosine", "rank").select("query_id", "rank", "card_id", "cosine")
+    all_ = F.lit("*")
+    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("card_id"), "embedding", all_.alias("scope"))
+    q = v.where("card_id % 25 = 0").select(F.col("card_id").alias("query_id"), F.col("embedding").alias("vector"), F.array(all_).alias("scopes"))
+    return Re.top_k(Re.nearest(q, v), "cosine", "rank").select("query_id", "rank", "card_id", "cosine")
 
 
 _ARMS = f"""{_bm25('intended')}, prof as (select id from projects where is_profile),
@@ -334,17 +335,17 @@ def _hits(spark, d):
     v = read(spark, d, "embeddings")
     q = read(spark, d, "queries").join(v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id", "left")
     cards = read(spark, d, "cards")
-    vectors = v.select(F.col("vec_id").alias("card_id"), "embedding").join(cards.select("card_id", "project_id"), "card_id")
+    vectors = v.select(F.col("vec_id").alias("card_id"), "embedding")
     return Re.meeting_search(q, cards, Re.build_postings(cards), read(spark, d, "projects"), vectors)
 
 
 @query(using("cards", "projects", "queries") + f", {_ARMS} select query_id, rank, card_id, rrf from best")
 def r4_rrf_fuse(spark, d):
-    cards, projects, q, v = read(spark, d, "cards"), read(spark, d, "projects"), _q(spark, d), read(spark, d, "embeddings")
-    fts = Re.top_k(Re.in_scope(Re.bm25(q, Re.build_postings(cards), cards), q, cards, projects), "bm25", "fts_rank")
-    asked = q.join(v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id").withColumn("project_id", F.lit(0))
-    vectors = v.select(F.col("vec_id").alias("card_id"), "embedding", F.lit(0).alias("project_id"))
-    vec = Re.top_k(Re.in_scope(Re.cosine(asked, vectors), q, cards, projects), "cosine", "vec_rank")
+    cards, v = read(spark, d, "cards"), read(spark, d, "embeddings")
+    q, scopes = _q(spark, d).withColumn("scopes", Re.query_scopes(F.col("project_id"))), Re.card_scopes(cards, read(spark, d, "projects"))
+    fts = Re.top_k(Re.bm25(q, Re.build_postings(cards), cards, scopes=scopes), "bm25", "fts_rank")
+    asked = q.join(v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
+    vec = Re.top_k(Re.nearest(asked, v.select(F.col("vec_id").alias("card_id"), "embedding").join(scopes, "card_id")), "cosine", "vec_rank")
     return Re.rrf_fuse(vec, fts).select("query_id", "rank", "card_id", "rrf")
 
 
@@ -384,8 +385,9 @@ def r10_keyword_score(spark, d):
 
 @query(_HITS + ", t as (select query_id, min(rank) as rank from (select q.query_id, h.rank from queries q join cards c on c.project_id = q.project_id left join hits h on h.query_id = q.query_id and h.card_id = c.card_id) group by query_id) select count(*) as n, round(avg(case when coalesce(rank, 1000000) < 3 then 1.0 else 0 end), 6) as hit_at_k, round(avg(coalesce(1.0 / (rank + 1), 0)), 6) as mrr from t")
 def r11_retrieval_eval(spark, d):
-    truth = read(spark, d, "queries").join(read(spark, d, "cards"), "project_id").select("query_id", "card_id")
-    return Re.retrieval_eval(_hits(spark, d), truth)
+    cards, q = read(spark, d, "cards").select("card_id", "project_id"), read(spark, d, "queries").select("query_id", F.col("project_id").alias("own"))
+    hits = _hits(spark, d).join(cards, "card_id").join(q, "query_id").select("query_id", "rank", (F.col("project_id") == F.col("own")).alias("right"))
+    return Re.retrieval_eval(q.join(cards, F.col("project_id") == F.col("own"), "left_semi"), hits)
 
 
 @query(using("cards", "projects") + "select p.id as project_id, card_id from projects p join cards c on c.project_id = p.id or c.project_id in (select id from projects where is_profile)")

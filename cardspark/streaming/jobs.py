@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import questions as Q
@@ -14,14 +13,10 @@ from ..operators import retrieval as R
 from ..operators.cards import changed_cards
 from ..operators.text import content_hash, js_trim
 from ..sources.io import upsert
+from ..sources.shared import shared_dir
 from . import state
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one where none is set, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cardspark-")
-
-
 def run_once(stream: DataFrame) -> DataFrame:
     """All that is there now through the stream, appended to a table in the shared folder."""
     spark = stream.sparkSession
