@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir, written
+
+#: The rows, written to the shared folder and read again.
+stash = written
+__all__ = ["UPPER", "WS", "WS_RE", "ascii_lower", "let", "shared_dir", "stash", "table", "words"]
+
 #: White space of all contracts: space and tab to carriage return.
 WS = " \t\n\x0b\x0c\r"
 WS_RE = r"[\x20\x09-\x0D]+"
@@ -32,20 +35,3 @@ def words(c: Column) -> Column:
 def let(value: Column, body) -> Column:
     """body(value) with the value computed once a row, however often body names it."""
     return F.transform(F.array(value), body)[0]
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, as spark.checkpoint.dir names it; where that is unset, as in tests, a new local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_cardspark_dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="cardspark-")
-        spark._cardspark_dir = folder
-    return folder
-
-
-def stash(df: DataFrame) -> DataFrame:
-    """The rows, written as a Parquet table in the shared folder and read again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
