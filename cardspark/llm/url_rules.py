@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, stash
@@ -53,14 +55,18 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
 
     Rules reach the limits (min_support of the rows and min_pages of them) and have max_tokens tokens or fewer at the left; one is dropped if leaving a token out gives a
     rule of the same verdict and no less confidence. Fewer labelled rows than min_pages give no rules.
+    Tokens that always go together are mined as one and told apart again afterwards, so a path of many parts that many pages
+    share costs one token and not all its subsets; a rule of two such tokens would be dropped for the rule of one anyway.
     """
     spark = labelled.sparkSession
     kind = "left array<string>, verdict string, confidence double, support double"
     rows = labelled.count()
     if rows < min_pages:
         return spark.createDataFrame([], kind)
-    items = labelled.select(F.array_append("tokens", F.concat(F.lit(MARK), "verdict")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_pages / rows), minConfidence=min_confidence).fit(items)
+    least = max(min_support, min_pages / rows)
+    twins = stash(twin_tokens(labelled, math.ceil(least * rows - 1e-9)))
+    items = renamed(labelled, twins).select(F.array_append("tokens", F.concat(F.lit(MARK), "verdict")).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(items)
     goal = F.col("consequent")[0]
     rules = model.associationRules.where(goal.startswith(MARK) & (F.size("antecedent") <= max_tokens))
     rules = rules.where(~F.exists("antecedent", lambda x: x.startswith(MARK)))
@@ -68,7 +74,29 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     shorter = rules.select("left", "verdict", "confidence", F.explode("left").alias("x")).select("verdict", "confidence", F.col("left").alias("whole"), F.array_remove("left", F.col("x")).alias("left"))
     general = rules.select("left", "verdict", F.col("confidence").alias("c"))
     covered = shorter.join(general, ["left", "verdict"]).where("c >= confidence").select(F.col("whole").alias("left"), "verdict").distinct()
-    return rules.join(covered, ["left", "verdict"], "left_anti")
+    rules = rules.join(covered, ["left", "verdict"], "left_anti")
+    names = [f"t{i}" for i in range(max_tokens)]
+    for i, name in enumerate(names):
+        rules = rules.join(twins.select(F.col("token").alias(name), F.col("twin").alias(f"of_{name}")), F.get("left", F.lit(i)) == F.col(f"of_{name}"), "left")
+    return rules.select(F.array_sort(F.array_compact(F.array(*names))).alias("left"), "verdict", "confidence", "support")
+
+
+def twin_tokens(labelled: DataFrame, min_pages: int) -> DataFrame:
+    """labelled(tokens) -> (token, twin) of tokens on min_pages rows or more; tokens of the very same rows have the same twin, the smallest of them."""
+    sets = labelled.groupBy("tokens").agg(F.count("*").alias("pages"))
+    hashes = [F.xxhash64("tokens", F.lit(k)).cast("decimal(38,0)").alias(f"h{k}") for k in (1, 2)]
+    each = sets.select("pages", *hashes, F.explode("tokens").alias("token"))
+    each = each.groupBy("token").agg(F.sum("pages").alias("pages"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2")).where(F.col("pages") >= min_pages)
+    return each.withColumn("twin", F.min("token").over(Window.partitionBy("pages", "h1", "h2"))).select("token", "twin")
+
+
+def renamed(labelled: DataFrame, twins: DataFrame) -> DataFrame:
+    """labelled(tokens, verdict) with the twins of the tokens that have one, each once; a row per row."""
+    sets = labelled.select("tokens").distinct()
+    new = sets.select("tokens", F.explode("tokens").alias("token")).join(twins, "token").groupBy("tokens").agg(F.collect_set("twin").alias("new"))
+    new = stash(new)  # written first, so that the join of a common token set can be split
+    rows = labelled.join(new.withColumnRenamed("tokens", "held"), F.col("tokens") == F.col("held"), "left")
+    return rows.select(F.coalesce("new", F.array().cast("array<string>")).alias("tokens"), "verdict")
 
 
 def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
