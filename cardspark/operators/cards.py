@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import regexes as R
+from ..functions.folds import fold_sorted
 from ..sources.shared import written
 from .text import _bigrams, escape_attribute, escape_envelope, js_trim, truncate_head_tail
 
@@ -365,19 +366,33 @@ def scan_summary(notes: DataFrame) -> DataFrame:
     return notes.groupBy("project_id").agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in ("new", "changed", "unchanged")])
 
 
-def unique_filenames(cards: DataFrame, order: str = "place", name: str = "name") -> DataFrame:
-    """In export order, names taken already (without case) get the first free suffix ` 2`, ` 3`, ..
+class _Names:
+    """Names taken so far, without case, and the suffix from which on each is free."""
 
-    One fold per project over its export; exports hold few cards, larger ones spill nothing but their names.
-    """
-    rows = cards.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct(order, "card_id", F.col(name).alias("n")))).alias("x"))
+    def __init__(self):
+        self.used, self.next = set(), {}
+
+    def take(self, card_id, name: str | None, low: str | None) -> list[tuple]:
+        if name is None:
+            return [(card_id, None)]
+        if low not in self.used:
+            self.used.add(low)
+            return [(card_id, name)]
+        i = self.next.get(low, 2)
+        while f"{low} {i}" in self.used:
+            i += 1
+        self.used.add(f"{low} {i}")
+        self.next[low] = i + 1
+        return [(card_id, f"{name} {i}")]
+
+    def close(self) -> list[tuple]:
+        return []
 
-    def step(acc, x):
-        free = lambda n: ~F.array_contains(acc["used"], F.lower(n))
-        tries = F.transform(F.sequence(F.lit(2), F.size(acc["used"]) + 2), lambda i: F.concat(x["n"], F.lit(" "), i))
-        got = F.when(free(x["n"]), x["n"]).otherwise(F.get(F.filter(tries, free), F.lit(0)))
-        return F.struct(F.concat(acc["used"], F.array(F.lower(got))).alias("used"), F.concat(acc["out"], F.array(F.struct(x["card_id"].alias("card_id"), got.alias("filename")))).alias("out"))
 
-    kind = dict(cards.dtypes)["card_id"]
-    zero = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast(f"array<struct<card_id:{kind},filename:string>>").alias("out"))
-    return rows.select("project_id", F.explode(F.aggregate("x", zero, step)["out"]).alias("o")).select("project_id", "o.card_id", "o.filename")
+def unique_filenames(cards: DataFrame, order: str = "place", name: str = "name") -> DataFrame:
+    """In export order, names taken already (without case) get the first free suffix ` 2`, ` 3`, ..; a null name stays null.
+
+    One fold per project over its export, linear in it; a task holds the names of one project.
+    """
+    kinds = dict(cards.dtypes)
+    return fold_sorted(cards, "project_id", [order, "card_id"], ["card_id", name, F.lower(name)], _Names, f"project_id {kinds['project_id']}, card_id {kinds['card_id']}, filename string")

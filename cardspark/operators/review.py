@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..functions.folds import fold_sorted
+
 #: The default weights published with FSRS-6.
 WEIGHTS = (0.212, 1.2931, 2.3065, 8.2956, 6.4133, 0.8334, 3.0194, 0.001, 1.8722, 0.1666, 0.796, 1.4835, 0.0614, 0.2629, 1.6483, 0.6014, 1.8729, 0.5425, 0.0912, 0.0658, 0.1542)
 MINUTE = 60_000
@@ -66,14 +67,22 @@ class Schedule:
         return self.state, round(self.s, 6), round(self.d, 6), self.reps, self.lapses, self.last, self.due
 
 
+class _Reviews:
+    """A card's schedule, given out after its last review."""
+
+    def __init__(self, w):
+        self.schedule = Schedule(w)
+
+    def take(self, ms: int, rating: int) -> list[tuple]:
+        self.schedule.review(ms, rating)
+        return []
+
+    def close(self) -> list[tuple]:
+        return [self.schedule.row()]
+
+
 def review_cards(reviews: DataFrame, w=WEIGHTS) -> DataFrame:
     """reviews(card_id, ms, seq, rating) -> a schedule per card."""
     kind = dict(reviews.dtypes)["card_id"]
 
-    def fold(key, rows: pd.DataFrame) -> pd.DataFrame:
-        s = Schedule(w)
-        for ms, g in rows.sort_values(["ms", "seq"])[["ms", "rating"]].itertuples(index=False, name=None):
-            s.review(int(ms), int(g))
-        return pd.DataFrame([(key[0], *s.row())], columns=["card_id", "state", "stability", "difficulty", "reps", "lapses", "last_review", "due"])
-
-    return reviews.select("card_id", "ms", "seq", "rating").groupBy("card_id").applyInPandas(fold, SCHEMA.format(kind=kind))
+    return fold_sorted(reviews, "card_id", ["ms", "seq"], ["ms", "rating"], lambda: _Reviews(w), SCHEMA.format(kind=kind))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.folds import fold_sorted
+
 
 def rate_limit_sliding(hits: DataFrame, most: Column | int, window_ms: int, key: str = "k") -> DataFrame:
     """hits(k, ms, id) with n (hits of the key in the window, rejected ones too), allowed and remaining."""
@@ -16,17 +18,25 @@ def rate_limit_sliding(hits: DataFrame, most: Column | int, window_ms: int, key:
     return hits.withColumn("n", n).withColumn("allowed", F.col("n") <= most).withColumn("remaining", F.greatest(F.lit(0), most - F.col("n")))
 
 
-def rate_limit_fixed(hits: DataFrame, most: int, window_ms: int, key: str = "k") -> DataFrame:
-    """As W1, with windows anchored at a key's first hit; the next starts at the first hit beyond. A fold over each key's hits in order."""
-    rows = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ms", "id"))).alias("x"))
-    zero = F.struct(F.lit(None).cast("long").alias("a"), F.lit(0).alias("n"), F.array().cast("array<struct<id:bigint,anchor:bigint,n:int>>").alias("out"))
+class _Anchored:
+    """The window that is open: its first hit and how many it has had."""
+
+    def __init__(self, window_ms: int):
+        self.window_ms, self.anchor, self.n = window_ms, None, 0
 
-    def step(acc, x):
-        fresh = acc["a"].isNull() | (x["ms"] - acc["a"] >= window_ms)
-        a, n = F.when(fresh, x["ms"]).otherwise(acc["a"]), F.when(fresh, 1).otherwise(acc["n"] + 1)
-        return F.struct(a.alias("a"), n.alias("n"), F.concat(acc["out"], F.array(F.struct(x["id"].alias("id"), a.alias("anchor"), n.alias("n")))).alias("out"))
+    def take(self, ms: int, id_: int) -> list[tuple]:
+        if self.anchor is None or ms - self.anchor >= self.window_ms:
+            self.anchor, self.n = ms, 0
+        self.n += 1
+        return [(id_, self.anchor, self.n)]
 
-    out = rows.select(key, F.explode(F.aggregate("x", zero, step)["out"]).alias("o")).select(key, "o.id", "o.anchor", "o.n")
+    def close(self) -> list[tuple]:
+        return []
+
+
+def rate_limit_fixed(hits: DataFrame, most: int, window_ms: int, key: str = "k") -> DataFrame:
+    """As W1, with windows anchored at a key's first hit; the next starts at the first hit beyond. A fold over each key's hits in order."""
+    out = fold_sorted(hits, key, ["ms", "id"], ["ms", "id"], lambda: _Anchored(window_ms), f"{key} {dict(hits.dtypes)[key]}, id bigint, anchor bigint, n int")
     return out.withColumn("allowed", F.col("n") <= most).withColumn("remaining", F.greatest(F.lit(0), most - F.col("n")))
 
 

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.folds import fold_sorted
 from ..operators.cards import check_card, scan_objects
 
 
@@ -136,15 +137,7 @@ def _names(schema: str) -> list[str]:
 
 def fold_batch(df: DataFrame, key: str, step: type[Step]) -> DataFrame:
     """The batch twin: each key's rows in order of ms and seq."""
-    schema = _schema(df, key, step)
-
-    def run(k, rows: pd.DataFrame) -> pd.DataFrame:
-        s, out = step(), []
-        for row in rows.sort_values(["ms", "seq"])[list(step.columns)].itertuples(index=False, name=None):
-            out += s.take(*[None if x is None or x != x else x for x in row])
-        return pd.DataFrame([(k[0], *r) for r in out + s.close()], columns=_names(schema))
-
-    return df.select(key, *step.columns).groupBy(key).applyInPandas(run, schema)
+    return fold_sorted(df, key, ["ms", "seq"], list(step.columns), step, _schema(df, key, step))
 
 
 def fold_stream(df: DataFrame, key: str, step: type[Step], watermark: str, ts: str = "ts") -> DataFrame:
