@@ -233,7 +233,10 @@ def q2_is_imperative(spark, d):
     return _sentences(spark, d).select("conv_id", "turn", "i", Q.is_imperative(F.col("s")).alias("hit"), Q.leads_with_imperative(F.col("s")).alias("leads"))
 
 
-@query()
+_STARTS, _HOLDS = (" or ".join(f"{f}(s, '{w}')" for w in cues) for f, cues in (("starts_with", R.SELF_LEAD), ("contains", R.OTHER_SIDE)))
+
+
+@query(f"select conv_id, turn, i, ({_STARTS}) and not ({_HOLDS}) and not {sql_interrogative('s')} as hit from ({_SENT})")
 def q3_is_self_statement(spark, d):
     return _sentences(spark, d).select("conv_id", "turn", "i", Q.is_self_statement(F.col("s")).alias("hit"))
 
