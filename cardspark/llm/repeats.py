@@ -316,7 +316,7 @@ def _merged(col: str):
         F.when(x["a"] <= s["open"]["b"], F.struct(s["done"].alias("done"), F.struct(s["open"]["a"].alias("a"), F.greatest(s["open"]["b"], x["b"]).alias("b")).alias("open")))
         .otherwise(F.struct(F.concat(s["done"], F.array(s["open"])).alias("done"), x.alias("open")))
     )
-    return F.aggregate(col, acc, step, lambda s: F.concat(s["done"], F.array(s["open"])))
+    return F.aggregate(col, acc, step, lambda s: F.when(s["open"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
 
 
 def remove_spans(spanned: DataFrame) -> DataFrame:

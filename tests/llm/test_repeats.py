@@ -28,6 +28,8 @@ def documents(length, seed=0, n=40):
             t[rng.randrange(len(t))] = "#"
         out.append((100 + i, "".join(t)))
     out += [(200, None), (201, ""), (202, "ab" * 2 * length), (203, out[5][1]), (204, out[5][1]), out[6], out[6], (None, out[7][1]), (205, line(length - 1)), (206, "x" * (length + 1)), (207, passages[4] + "!" + passages[4]), (-3, passages[1])]
+    few = line(length * 8 // 10)  # a repeat too short to be removed, and no other
+    out += [(300 + i, line(length // 2) + few + line(length // 3)) for i in range(3)]
     return [(*r, "en", 1, "h", "k") for r in out]
 
 
@@ -66,6 +68,18 @@ def test_against_all_windows(spark, length, short, group, keep):
         assert sorted((r.doc_id is not None, r.doc_id or 0, sum(x.b - x.a for x in r._short), len(r._short)) for r in got) == sorted((r[0] is not None, r[0] or 0, int(h.sum()), runs(h)) for r, h in zip(rows, hit))
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_on_given_documents(spark, sf):
+    """The registered query against all windows of the given texts."""
+    from cardspark.llm import queries
+
+    rows = [tuple(r) for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text").collect()]
+    data, hit = brute(rows, 400, "none")
+    want = sorted((r[0], len(d), int(h.sum()), int((np.diff(np.concatenate([[0], h.astype(int)])) == 1).sum()), hashlib.sha256(bytes(np.frombuffer(d, np.uint8)[~h])).hexdigest()) for r, d, h in zip(rows, data, hit))
+    got = queries.op10_repeats(spark, f"/root/testdata/{sf}").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == want
+
+
 def test_factor_arrays_decide(spark, monkeypatch):
     """Every group's runs come from the two arrays: with arrays that know no factor, nothing is removed but whole copies."""
     rows = documents(60)
