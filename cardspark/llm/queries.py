@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, katz, line_dedup, mixing, neighbours, quality, repeats, simhash, toxicity, url_rules
+from . import alignment, bpe, katz, line_dedup, mixing, neighbours, quality, repeats, simhash, toxicity, url_rules
 from .common import table
 
 
@@ -61,7 +61,12 @@ def op10_repeats(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_katz, op2_url_rules, op3_simhash, op4_toxicity, op5_mix_sources, op6_line_dedup, op7_neighbours, op8_quality_rules, op9_bpe, op10_repeats)}
+def op13_alignment(spark, sf_dir):
+    path = public_tokenizers.path
+    return alignment.align(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_katz, op2_url_rules, op3_simhash, op4_toxicity, op5_mix_sources, op6_line_dedup, op7_neighbours, op8_quality_rules, op9_bpe, op10_repeats, op13_alignment)}
 
 _W = r"'[^\x20\x09-\x0D]+'"
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
