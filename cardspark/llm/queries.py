@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, katz, line_dedup, mixing, neighbours, quality, repeats, runs, simhash, toxicity, url_rules
+from . import alignment, bpe, jaccard, katz, line_dedup, mixing, neighbours, quality, repeats, runs, simhash, toxicity, url_rules
 from .common import table
 
 
@@ -61,6 +61,10 @@ def op10_repeats(spark, sf_dir):
     )
 
 
+def op11_jaccard_join(spark, sf_dir):
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), shingle=3, similarity=0.9)
+
+
 def op12_periodic_runs(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return runs.digests(runs.periodic_runs(docs.withColumn("text", runs.with_planted_runs(F.col("doc_id"), F.col("text")))))
@@ -71,7 +75,7 @@ def op13_alignment(spark, sf_dir):
     return alignment.align(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_katz, op2_url_rules, op3_simhash, op4_toxicity, op5_mix_sources, op6_line_dedup, op7_neighbours, op8_quality_rules, op9_bpe, op10_repeats, op12_periodic_runs, op13_alignment)}
+QUERIES = {f.__name__: f for f in (op1_katz, op2_url_rules, op3_simhash, op4_toxicity, op5_mix_sources, op6_line_dedup, op7_neighbours, op8_quality_rules, op9_bpe, op10_repeats, op11_jaccard_join, op12_periodic_runs, op13_alignment)}
 
 _W = r"'[^\x20\x09-\x0D]+'"
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
