@@ -28,6 +28,7 @@ from .simhash import MIX, _names, _parts, _small_pairs, _stars, components, deal
 BITS = 1024  # of a signature in a tile
 TILE = 4096  # sets of a tile that one task compares
 SMALL = 16  # sets of a tile all pairs of which are compared at once
+FEW = 1_000_000  # hashes of texts that are broadcast, 8 bytes each; more are joined by a shuffle
 GROUP = 400_000  # shingles of a connected group that one task intersects
 
 
@@ -250,6 +251,8 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, similarity: float = 0.
     near = components(dealt(stash(meeting), ["tile"], tile, _packed(["id", "n", "bits"], limit, False)))
     found = stash(classes.select("id", "s1", "s2", "doc", "t").join(near, "id"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("t"), "text")
+    if found.count() <= FEW:  # texts that are in no tile stay where they are
+        texts = texts.join(F.broadcast(found.select("t").distinct()), "t", "left_semi")
     texts = texts.join(found.withColumnsRenamed({"doc": "_doc", "t": "_t"}), (F.col("t") == F.col("_t")) & F.col("doc").eqNullSafe(F.col("_doc")))
     sets = texts.select("root", "id", "s1", "s2", "text").mapInArrow(_sets(shingle), "root bigint, id bigint, h array<bigint>")
     sets = stash(sets.groupBy("id").agg(F.first("root").alias("root"), F.first("h").alias("h")).withColumn("weight", F.size("h") + 50))

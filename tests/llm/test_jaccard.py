@@ -61,8 +61,9 @@ def mixture(seed=3):
     return rows
 
 
-@pytest.mark.parametrize(("shingle", "similarity", "tile", "group"), [(3, 0.9, 4096, 400_000), (3, 0.9, 6, 500), (5, 0.8, 4096, 400_000), (1, 0.5, 64, 2000)])
-def test_against_all_pairs(spark, shingle, similarity, tile, group):
+@pytest.mark.parametrize(("shingle", "similarity", "tile", "group", "few"), [(3, 0.9, 4096, 400_000, 10**6), (3, 0.9, 6, 500, 0), (5, 0.8, 4096, 400_000, 10**6), (1, 0.5, 64, 2000, 0)])
+def test_against_all_pairs(spark, monkeypatch, shingle, similarity, tile, group, few):
+    monkeypatch.setattr(jaccard, "FEW", few)
     rows = mixture()
     df = frame(spark, [(*r, "en", "s", 1, 1, "l", "s", "k") for r in rows]).repartition(5)
     got = jaccard.jaccard_components(df, shingle, similarity, tile, group)
