@@ -2,24 +2,40 @@
 
 from __future__ import annotations
 
+import unicodedata
+from typing import TYPE_CHECKING
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
 from .text import inject_bigrams, tokenize_query
 
+if TYPE_CHECKING:
+    from .card_index import CardIndex
+
 FIELDS = ("title", "summary", "details", "tags")
 WEIGHTS = {"intended": (3.0, 2.0, 1.0, 2.0), "effective": (2.0, 1.0, 2.0, 1.0)}
-#: Latin letters that the index folds; sharp s stays.
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 K1, B = 1.2, 0.75
 
 
+def _folds() -> tuple[str, str]:
+    """Letters with marks of the European scripts and the letters without, by Unicode's decomposition; combining marks, last, have no counterpart and go."""
+    marked, plain = "", ""
+    for c in map(chr, (*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000))):
+        base = [x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn"]
+        if len(base) == 1 and base[0] != c:
+            marked, plain = marked + c, plain + base[0]
+    return marked + "".join(map(chr, range(0x300, 0x370))), plain
+
+
+MARKED, PLAIN = _folds()
+
+
 def index_tokens(c: Column) -> Column:
-    """Lower-case runs of letters and digits with accents folded."""
-    return F.array_remove(F.split(F.translate(F.lower(c), ACCENTED, PLAIN), r"[^\p{L}\p{N}]+"), "")
+    """Lower-case runs of letters and digits without marks."""
+    return F.array_remove(F.split(F.translate(F.lower(c), MARKED, PLAIN), r"[^\p{L}\p{N}]+"), "")
 
 
 def build_postings(cards: DataFrame) -> DataFrame:
@@ -29,35 +45,6 @@ def build_postings(cards: DataFrame) -> DataFrame:
     return rows.select("card_id", "x.field", F.explode("x.t").alias("token")).groupBy("card_id", "field", "token").agg(F.count("*").alias("tf"))
 
 
-def word_index(postings: DataFrame, weights: str = "intended") -> DataFrame:
-    """(card_id, token, f, tf, len): weighted and plain counts of a card's tokens and the card's length, by one shuffle on the card."""
-    w = F.create_map(*[x for f, v in zip(FIELDS, WEIGHTS[weights]) for x in (F.lit(f), F.lit(v))])
-    rows = postings.repartition("card_id").groupBy("card_id", "token").agg(F.sum(w[F.col("field")] * F.col("tf")).alias("f"), F.sum("tf").alias("tf"))
-    return rows.withColumn("len", F.sum("tf").over(Window.partitionBy("card_id")))
-
-
-def bm25(queries: DataFrame, postings: DataFrame, cards: DataFrame, weights: str = "intended", scopes: DataFrame | None = None) -> DataFrame:
-    """R2: (query_id, card_id, bm25) of cards that share a token with the query (query_id, tokens[, scopes]).
-
-    The index is written once; only tokens that are asked for are read on. With scopes (card_id, scope) a card meets the
-    queries that list its scope, before any score is summed; document frequencies and lengths stay those of all cards.
-    A frequent token is split by the adaptive skew join.
-    """
-    index = written(word_index(postings, weights))
-    total = cards.select(F.lit(1).alias("n"), F.lit(0).alias("all")).unionByName(index.select(F.lit(0).alias("n"), F.col("tf").alias("all")))
-    total = total.agg(F.sum("n").alias("n"), F.sum("all").alias("all")).select("n", (F.col("all") / F.when(F.col("n") > 0, F.col("n"))).alias("avg_len"))
-    on = ["token"] if scopes is None else ["token", "scope"]
-    asked = queries.select("query_id", F.explode("tokens").alias("token"), *([] if scopes is None else ["scopes"])).distinct()
-    asked = asked if scopes is None else asked.select("query_id", "token", F.explode("scopes").alias("scope"))
-    used = index.join(asked.select("token").distinct(), "token", "left_semi")
-    df = used.groupBy("token").agg(F.count("*").alias("df"))
-    hits = (used if scopes is None else used.join(scopes, "card_id")).join(asked, on).join(df, "token").join(F.broadcast(total))  # total: one row
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-    part = idf * (F.col("f") * (K1 + 1)) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return hits.groupBy("query_id", "card_id").agg(F.round(F.sum(part), 6).alias("bm25"))
-
-
 def search_scope(cards: DataFrame, projects: DataFrame) -> DataFrame:
     """(project_id, card_id) of cards that a project searches: its own and those of profile projects.
 
@@ -156,23 +143,22 @@ def passes_gate(matched: Column, n_tokens: Column, cos: Column) -> Column:
     return F.coalesce((n_tokens > 0) & ((matched >= F.least(F.lit(2), n_tokens)) | (F.coalesce(cos, F.lit(0.0)) >= 0.9)), F.lit(False))
 
 
-def meeting_search(queries: DataFrame, cards: DataFrame, postings: DataFrame, projects: DataFrame, vectors: DataFrame | None = None, k: int = 5, scope: str = "pre", weights: str = "intended") -> DataFrame:
+def meeting_search(queries: DataFrame, cards: DataFrame, index: CardIndex, k: int = 5, scope: str = "pre") -> DataFrame:
     """The k best cards of each query (query_id, project_id, text[, vector]) and whether the best is low in confidence.
 
+    Words and vectors are those of the index, whose cards have the scopes of `card_scopes`; cards are those rows' texts.
     scope "pre" ranks within the cards that the project may see; "post" takes the global best 64 first and then filters.
     """
     q = queries.withColumn("tokens", tokenize_query(F.col("text"))).where(F.size("tokens") > 0).withColumn("scopes", query_scopes(F.col("project_id")))
-    scopes = written(card_scopes(cards, projects))
-    seen = lambda df: df.join(q.select("query_id", F.explode("scopes").alias("scope")), "query_id").join(scopes, ["card_id", "scope"]).drop("scope")
+    seen = lambda df: df.join(q.select("query_id", F.explode("scopes").alias("scope")), "query_id").join(index.cards().select("card_id", "scope"), ["card_id", "scope"]).drop("scope")
     pre = scope == "pre"
-    fts = top_k(bm25(q, postings, cards, weights, scopes if pre else None), "bm25", "fts_rank")
-    if vectors is None:
-        vec = fts.where("false").select("query_id", "card_id", F.lit(0.0).alias("cosine"), F.lit(0).alias("vec_rank"))
-    else:
+    fts = top_k(index.search(q, 64, scoped=pre), "bm25", "fts_rank")
+    if "vector" in queries.columns:
         all_ = F.lit("*")
         asked = q.where("vector is not null").withColumn("scopes", F.col("scopes") if pre else F.array(all_))
-        cards_ = vectors.select("card_id", "embedding").join(scopes, "card_id").withColumn("scope", F.col("scope") if pre else all_)
-        vec = top_k(nearest(asked, cards_), "cosine", "vec_rank")
+        vec = top_k(nearest(asked, index.vectors().withColumn("scope", F.col("scope") if pre else all_)), "cosine", "vec_rank")
+    else:
+        vec = fts.where("false").select("query_id", "card_id", F.lit(0.0).alias("cosine"), F.lit(0).alias("vec_rank"))
     fts, vec = (fts, vec) if pre else (seen(fts), seen(vec))
     fused = rrf_fuse(vec, fts).where(F.col("rank") < k)
     rows = fused.join(cards, "card_id").join(q.select("query_id", "tokens"), "query_id")
@@ -182,10 +168,14 @@ def meeting_search(queries: DataFrame, cards: DataFrame, postings: DataFrame, pr
     return rows.select("query_id", "rank", "card_id", "rrf", "vec_rank", "fts_rank", "matched", (~good).alias("low_confidence"))
 
 
-def card_search(queries: DataFrame, cards: DataFrame, postings: DataFrame, k: int = 10) -> DataFrame:
-    """Words only, within the query's project."""
-    q = queries.withColumn("tokens", tokenize_query(F.col("text"))).withColumn("scopes", query_scopes(F.col("project_id")))
-    return top_k(bm25(q, postings, cards, scopes=card_scopes(cards)), "bm25", "rank", k).select("query_id", "rank", "card_id", "bm25")
+def card_search(queries: DataFrame, cards: DataFrame, index: CardIndex, k: int = 10) -> DataFrame:
+    """Words only, within the query's project (the index has each card's own project as its scope); a blank query lists all cards of the project(project_id, card_id, created_at), newest first."""
+    blank = F.trim(F.coalesce("text", F.lit(""))) == ""
+    q = queries.where(~blank).withColumn("tokens", tokenize_query(F.col("text"))).withColumn("scopes", query_scopes(F.col("project_id")))
+    found = top_k(index.search(q, max(k, 64)), "bm25", "rank", k).select("query_id", "rank", "card_id", "bm25")
+    order = Window.partitionBy("query_id").orderBy(F.desc("created_at"), "card_id")
+    listed = queries.where(blank).join(cards.select("project_id", "card_id", "created_at"), "project_id").withColumn("rank", F.row_number().over(order) - 1)
+    return found.unionByName(listed.select("query_id", "rank", "card_id", F.lit(None).cast("double").alias("bm25")))
 
 
 def answer_context(hits: DataFrame, cards: DataFrame, n: int = 3, limit: int = 600) -> DataFrame:

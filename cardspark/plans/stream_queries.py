@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import plugs
 from ..operators import notes, review
+from ..operators import retrieval as Re
 from ..operators import text as T
+from ..operators.card_index import CardIndex
+from ..sources.shared import shared_dir
 from ..streaming import jobs, state
-from .tables import read
+from .tables import read, using
+from .text_queries import _POST
 
 QUERIES, ORACLES = {}, {}
 
@@ -63,14 +69,24 @@ def st4_stream_usage(spark, d):
     return days.join(F.broadcast(last), F.col("day") < F.col("last")).select(F.col("day").cast("string").alias("day"), "user_id", "calls", "ok", "tokens")
 
 
-@query()
-def st5_index_batch(spark, d):
+_CHANGES = """select card_id, case when card_id % 5 = 0 then 'Edited ' || title else title end as title, summary, details, tags, '=' || project_id as scope, 2 as updated_at, card_id % 7 = 0 as removed from {cards}
+  union all select card_id, 'stale' as title, summary, details, tags, '=' || project_id as scope, 1 as updated_at, false as removed from {cards} where card_id % 11 = 0"""
+_AFTER = using("cards").replace("cards as (", "first as (", 1) + f", changes as ({_CHANGES.format(cards='first')}), cards as (select * from changes where updated_at = 2 and not removed), {_POST}"
+
+
+@query(_AFTER + f""", t as (select card_id, token, sum(case field {" ".join(f"when '{f}' then {v}" for f, v in zip(Re.FIELDS, Re.WEIGHTS["intended"]))} end * tf) as f, cast(sum(tf) as bigint) as tf from postings group by card_id, token)
+  select card_id, token, cast(f as double) as f, tf, cast(sum(tf) over (partition by card_id) as bigint) as len from t""")
+def st5_incremental_index(spark, d):
+    """Two runs of one stream: all cards but some; then all, some of them edited, in two versions or removed. The index as it is then."""
+    root = f"{shared_dir(spark)}/cards-{uuid.uuid4().hex}"
     cards = read(spark, d, "cards")
-    empty = spark.createDataFrame([], "card_id long, content_hash string")
-    none = spark.createDataFrame([], "card_id long, field string, token string, tf long")
-    _, after, postings = jobs.index_batch(cards.where("card_id % 3 <> 0"), empty, none)
-    changed, _, _ = jobs.index_batch(cards.withColumn("title", F.expr("case when card_id % 5 = 0 then 'new' else title end")), after, postings)
-    return changed.select("card_id", "hash")
+    changes = spark.sql(_CHANGES, cards=cards)
+    first = cards.where("card_id % 3 <> 0").select("card_id", "title", "summary", "details", "tags", F.concat(F.lit("="), "project_id").alias("scope"), F.lit(0).alias("updated_at"), F.lit(False).alias("removed"))
+    index = CardIndex(spark, f"{root}/index")
+    for batch in (first, changes):
+        batch.write.mode("append").parquet(f"{root}/changes")
+        jobs.stream_index(spark.readStream.schema(batch.schema).parquet(f"{root}/changes"), index, f"{root}/state").awaitTermination()
+    return index.postings()
 
 
 @query()

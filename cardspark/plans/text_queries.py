@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from hashlib import sha1
+
 from pyspark.sql import functions as F
 
 from ..functions import regexes as R
 from ..operators import questions as Q
 from ..operators import retrieval as Re
 from ..operators import text as T
+from ..operators.card_index import CardIndex
+from ..sources.shared import shared_dir
 from .tables import read, using
 
 QUERIES, ORACLES = {}, {}
@@ -279,7 +283,7 @@ def q8_route_segment(spark, d):
 
 
 # Retrieval.
-_TOKENS = rf"list_filter(string_split_regex(translate(lower({{}}), '{Re.ACCENTED}', '{Re.PLAIN}'), '[^\p{{{{L}}}}\p{{{{N}}}}]+'), lambda x: x <> '')"
+_TOKENS = rf"list_filter(string_split_regex(strip_accents(lower({{}})), '[^\p{{{{L}}}}\p{{{{N}}}}]+'), lambda x: x <> '')"
 _POST = "postings as (" + " union all ".join(f"select card_id, '{f}' as field, token, count(*) as tf from (select card_id, unnest({_TOKENS.format(c).replace('{{', '{').replace('}}', '}')}) as token from cards) group by card_id, token" for f, c in zip(Re.FIELDS, ("title", "summary", "details", "array_to_string(tags, ' ')"))) + ")"
 
 
@@ -293,6 +297,19 @@ def _bm25(weights):
     from wf join qt using (token) join dfs using (token) join lens on lens.card_id = wf.card_id cross join tot group by query_id, wf.card_id)"""
 
 
+def _index(spark, d, shared=True):
+    """The index of a data folder's cards, with their vectors, kept in the shared folder; made when these files are first searched."""
+    files = [spark.read.parquet(f"{d}/{t}.parquet").select(F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").alias("h")).distinct() for t in ("documents", "embeddings")]
+    stamp = files[0].unionByName(files[1]).agg(F.sum(F.col("h").cast("decimal(38,0)"))).first()[0]
+    index = CardIndex(spark, f"{shared_dir(spark)}/index-{sha1(f'{d} {stamp} {shared}'.encode()).hexdigest()}")
+    if index.manifest() is None:
+        cards, v = read(spark, d, "cards"), read(spark, d, "embeddings")
+        scopes = Re.card_scopes(cards, read(spark, d, "projects") if shared else None)
+        vectors = v.select(F.col("vec_id").alias("card_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+        index.commit(1, cards.join(scopes, "card_id"), embed=(lambda changed: vectors.join(changed, "card_id", "left_semi")) if shared else None)
+    return index
+
+
 def _q(spark, d):
     return read(spark, d, "queries").withColumn("tokens", T.tokenize_query(F.col("text")))
 
@@ -304,8 +321,7 @@ def r1_build_postings(spark, d):
 
 @query(using("cards", "queries") + f", {_bm25('intended')} select query_id, rank, card_id, bm25 from (select *, row_number() over (partition by query_id order by bm25 desc, card_id) - 1 as rank from scored) where rank < 64")
 def r2_bm25_topk(spark, d):
-    cards = read(spark, d, "cards")
-    return Re.top_k(Re.bm25(_q(spark, d), Re.build_postings(cards), cards), "bm25", "rank").select("query_id", "rank", "card_id", "bm25")
+    return Re.top_k(_index(spark, d).search(_q(spark, d), 64, scoped=False), "bm25", "rank").select("query_id", "rank", "card_id", "bm25")
 
 
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda x: cast(x[1] as double) * cast(x[2] as double)))"
@@ -335,21 +351,17 @@ _HITS = using("cards", "projects", "queries") + f""", {_ARMS}, top as (select b.
 
 
 def _hits(spark, d):
-    v = read(spark, d, "embeddings")
-    q = read(spark, d, "queries").join(v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id", "left")
-    cards = read(spark, d, "cards")
-    vectors = v.select(F.col("vec_id").alias("card_id"), "embedding")
-    return Re.meeting_search(q, cards, Re.build_postings(cards), read(spark, d, "projects"), vectors)
+    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return Re.meeting_search(read(spark, d, "queries").join(v, "query_id", "left"), read(spark, d, "cards"), _index(spark, d))
 
 
 @query(using("cards", "projects", "queries") + f", {_ARMS} select query_id, rank, card_id, rrf from best")
 def r4_rrf_fuse(spark, d):
-    cards, v = read(spark, d, "cards"), read(spark, d, "embeddings")
-    q, scopes = _q(spark, d).withColumn("scopes", Re.query_scopes(F.col("project_id"))), Re.card_scopes(cards, read(spark, d, "projects"))
-    fts = Re.top_k(Re.bm25(q, Re.build_postings(cards), cards, scopes=scopes), "bm25", "fts_rank")
+    index, v = _index(spark, d), read(spark, d, "embeddings")
+    q = _q(spark, d).withColumn("scopes", Re.query_scopes(F.col("project_id")))
     asked = q.join(v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
-    vec = Re.top_k(Re.nearest(asked, v.select(F.col("vec_id").alias("card_id"), "embedding").join(scopes, "card_id")), "cosine", "vec_rank")
-    return Re.rrf_fuse(vec, fts).select("query_id", "rank", "card_id", "rrf")
+    vec = Re.top_k(Re.nearest(asked, index.vectors()), "cosine", "vec_rank")
+    return Re.rrf_fuse(vec, Re.top_k(index.search(q), "bm25", "fts_rank")).select("query_id", "rank", "card_id", "rrf")
 
 
 @query("select event_id, coalesce(n > 0 and (m >= least(2, n) or coalesce(c, 0) >= 0.9), false) as passes from (select event_id, event_id % 4 as m, user_id % 6 as n, case when event_id % 3 = 0 then null else value / 100 end as c from events)")
@@ -362,10 +374,15 @@ def r6_meeting_search(spark, d):
     return _hits(spark, d).na.fill(-1, ["vec_rank", "fts_rank"])
 
 
-@query(using("cards", "queries") + f", {_bm25('intended')} select query_id, rank, card_id, bm25 from (select s.*, row_number() over (partition by query_id order by bm25 desc, s.card_id) - 1 as rank from scored s join queries q using (query_id) join cards c on c.card_id = s.card_id and c.project_id = q.project_id) where rank < 10")
+_BLANK = "select -1 - cast(substr(id, 4) as int) as query_id, id as project_id, ' ' as text from projects"
+
+
+@query(using("cards", "queries", "projects") + f""", {_bm25('intended')}, blank as ({_BLANK})
+  select query_id, rank, card_id, bm25 from (select s.*, row_number() over (partition by query_id order by bm25 desc, s.card_id) - 1 as rank from scored s join queries q using (query_id) join cards c on c.card_id = s.card_id and c.project_id = q.project_id) where rank < 10
+  union all select query_id, row_number() over (partition by query_id order by created_at desc, card_id) - 1 as rank, card_id, null as bm25 from blank join cards using (project_id)""")
 def r7_card_search(spark, d):
-    cards = read(spark, d, "cards")
-    return Re.card_search(read(spark, d, "queries"), cards, Re.build_postings(cards))
+    blank = spark.sql(_BLANK.replace("from projects", "from {projects}"), projects=read(spark, d, "projects"))
+    return Re.card_search(read(spark, d, "queries").unionByName(blank), read(spark, d, "cards"), _index(spark, d, shared=False))
 
 
 @query(_HITS + " select query_id, string_agg(substring('卡片' || (rank + 1) || '【' || title || '】' || summary || ' ' || details, 1, 600), chr(10) order by rank) as context from hits join cards using (card_id) where rank < 3 group by query_id")

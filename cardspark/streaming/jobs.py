@@ -9,10 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import questions as Q
-from ..operators import retrieval as R
-from ..operators.cards import changed_cards
-from ..operators.text import content_hash, js_trim
-from ..sources.io import upsert
+from ..operators.card_index import CardIndex
+from ..operators.text import js_trim
 from ..sources.shared import shared_dir
 from . import state
 
@@ -45,21 +43,10 @@ def stream_usage(calls: DataFrame, watermark: str = "1 day") -> DataFrame:
     return rows.select(F.col("window.start").alias("day"), "user_id", "calls", "ok", "tokens")
 
 
-def index_batch(cards: DataFrame, state_: DataFrame, postings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """ST5, one batch: cards whose hash is new get new postings; returns the changed cards, the state and the postings after it."""
-    hashed = cards.withColumn("hash", content_hash(F.col("title"), F.col("summary"), F.col("details"), F.col("tags")))
-    changed = changed_cards(hashed, state_)
-    new_state = upsert(state_, changed.select("card_id", F.col("hash").alias("content_hash")), ["card_id"])
-    new_postings = postings.join(changed.select("card_id"), "card_id", "left_anti").unionByName(R.build_postings(changed))
-    return changed, new_state, new_postings
+def stream_index(stream: DataFrame, index: CardIndex, checkpoint: str, embed: Callable[[DataFrame], DataFrame] | None = None):
+    """ST5: a stream of changes(card_id, title, summary, details, tags, scope[, updated_at][, removed]) kept in an index.
 
-
-def incremental_index(stream: DataFrame, load: Callable[[str], DataFrame], store: Callable[[str, DataFrame], None], checkpoint: str):
-    """ST5: a stream of cards kept in an index; load and store read and replace the tables `state` and `postings`. Idempotent by hash."""
-
-    def each(batch: DataFrame, _: int) -> None:
-        _, new_state, new_postings = index_batch(batch.dropDuplicates(["card_id"]), load("state"), load("postings"))
-        store("postings", new_postings)
-        store("state", new_state)
-
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    A micro-batch is committed as a whole under its number; one that Spark runs again after a failure changes nothing.
+    """
+    take = lambda batch, number: index.commit(number + 1, batch, embed=embed)
+    return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -2,7 +2,6 @@
 
 import io
 import json
-import os
 import zipfile
 
 from pyspark.sql import functions as F
@@ -85,24 +84,6 @@ def test_reader_gives_cards_as_they_close():
     assert [t for _, t, _ in out] == ["aa", "bb"]
 
 
-def test_incremental_index(spark, tmp_path):
-    kind = "card_id long, project_id string, title string, summary string, details string, tags array<string>"
-    tables = {"state": spark.createDataFrame([], "card_id long, content_hash string"), "postings": spark.createDataFrame([], "card_id long, field string, token string, tf long")}
-
-    def store(name, df):
-        path = str(tmp_path / f"{name}-{len(os.listdir(tmp_path))}")
-        df.write.parquet(path)
-        tables[name] = spark.read.parquet(path)
-
-    cards = [(1, "p", "alpha", "s", "d", ["x"]), (2, "p", "beta", "s", "d", [])]
-    for version in (cards, [(1, "p", "alpha", "s", "d", ["x"]), (2, "p", "gamma", "s", "d", [])]):
-        spark.createDataFrame(version, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        q = jobs.incremental_index(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), tables.__getitem__, store, str(tmp_path / "ck"))
-        q.awaitTermination()
-    assert {(r.card_id, r.token) for r in tables["postings"].where("field = 'title'").collect()} == {(1, "alpha"), (2, "gamma")}
-    assert tables["state"].count() == 2
-
-
 def test_write_notes_keeps_other_files(spark, tmp_path):
     (tmp_path / "mine.txt").write_text("stay")
     S.write_notes(spark.createDataFrame([("p", "n1", "text\nmore")], "project string, filename string, content string"), str(tmp_path))
