@@ -7,7 +7,7 @@ half way or runs again changes nothing. Many small segments are put together int
 
 A block holds the postings of one token among the cards of one part: some PART cards of one scope. Its head has the
 largest weighted count and the smallest length in it, so it bounds the score of its cards. A search adds these bounds by
-query and part, scores the parts with the best bounds first, and reads on only where a part's bound reaches the k-th score.
+query and part, scores the parts with the best bounds first, and reads only the parts whose bounds reach the k-th score.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .retrieval import B, FIELDS, K1, WEIGHTS, build_postings
 from .text import content_hash
 
-PART = 64  # cards of one part, about
+PART = 256  # cards of one part, about
 SEEDS = 4  # parts that a search scores first
 MOST_SEGMENTS = 8  # more are put together
 POSTINGS_PER_BUCKET = 2_000_000
@@ -61,21 +61,21 @@ class CardIndex:
             return None
         return row.asDict() if row else None
 
-    def _read(self, kind: str, segments: list[str]) -> DataFrame:
+    def _read(self, kind: str, m: dict) -> DataFrame:
         read = self.spark.read
         if kind in TABLES:
-            read = read.schema(TABLES[kind].format(self._must()["card_type"]))
-        parts = [read.parquet(f"{self.root}/{s}/{kind}").withColumn("segment", F.lit(s)) for s in segments]
+            read = read.schema(TABLES[kind].format(m["card_type"]))
+        parts = [read.parquet(f"{self.root}/{s}/{kind}").withColumn("segment", F.lit(s)) for s in m["segments"]]
         return reduce(DataFrame.unionByName, parts)
 
-    def _live(self, kind: str, segments: list[str]) -> DataFrame:
+    def _live(self, kind: str, m: dict) -> DataFrame:
         """Rows by card of the segments, without those of replaced and removed versions."""
-        rows = self._read(kind, segments)
-        return rows if len(segments) < 2 else rows.join(self._read("dead", segments).select("card_id", F.col("of").alias("segment")), ["card_id", "segment"], "left_anti")
+        rows = self._read(kind, m)
+        return rows if len(m["segments"]) < 2 else rows.join(self._read("dead", m).select("card_id", F.col("of").alias("segment")), ["card_id", "segment"], "left_anti")
 
     def cards(self) -> DataFrame:
         """The state: (card_id, hash, scope, len, tokens, segment) of each card in the index."""
-        return self._live("cards", self._must()["segments"])
+        return self._live("cards", self._must())
 
     def postings(self) -> DataFrame:
         """(card_id, token, f, tf, len): weighted and plain counts of each card's tokens, and the card's length."""
@@ -83,7 +83,7 @@ class CardIndex:
 
     def vectors(self) -> DataFrame:
         """(card_id, embedding, scope) of the cards whose vector is known."""
-        return self._live("vectors", self._must()["segments"]).select("card_id", "embedding", "scope")
+        return self._live("vectors", self._must()).select("card_id", "embedding", "scope")
 
     def _must(self) -> dict:
         m = self.manifest()
@@ -169,7 +169,7 @@ class CardIndex:
         at = f"{self.root}/{name}"
         self.cards().drop("segment").write.mode("overwrite").parquet(f"{at}/cards")
         self.vectors().write.mode("overwrite").parquet(f"{at}/vectors")
-        self._read("dead", m["segments"][:1]).drop("segment").where("false").write.mode("overwrite").parquet(f"{at}/dead")
+        self._read("dead", m).drop("segment").where("false").write.mode("overwrite").parquet(f"{at}/dead")
         new = self.spark.read.parquet(f"{at}/cards")
         size = new.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
         buckets = max(8, min(4096, -(-size // POSTINGS_PER_BUCKET)))
@@ -183,28 +183,27 @@ class CardIndex:
         query meets only cards of the scopes that it lists; frequencies and lengths are those of all cards either way.
         """
         m = self._must()
-        asked = queries.select("query_id", F.explode("tokens").alias("token"), *(["scopes"] if scoped else [])).distinct()
-        asked = asked.select("query_id", "token", F.explode("scopes").alias("scope")) if scoped else asked
+        asked = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("token"), *(["scopes"] if scoped else []))
+        asked = asked.select("query_id", "token", F.explode(F.array_distinct("scopes")).alias("scope")) if scoped else asked
         on = ["token", "scope"] if scoped else ["token"]
         hashed = F.pmod(F.xxhash64("token"), F.lit(m["buckets"])).cast("int")
         needed = [r[0] for r in queries.select(F.explode("tokens").alias("token")).select(hashed.alias("b")).distinct().collect()]  # as many as there are buckets, at most
         among = F.col("bucket").isin(needed) if needed else F.lit(False)
-        df = self._read("terms", m["segments"]).where(among).groupBy("token").agg(F.sum("d").alias("df"))
+        terms = self._read("terms", m).where(among)
+        df = terms.select("token", F.col("d").alias("df")) if len(m["segments"]) == 1 else terms.groupBy("token").agg(F.sum("d").alias("df"))
         idf = F.log((m["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
         asked = asked.join(df, "token").withColumn("idf", F.when(idf <= 0, F.lit(1e-6)).otherwise(idf))
         average = m["total"] / m["n"] if m["n"] else 1.0
         score = lambda f, n: F.col("idf") * (f * (K1 + 1)) / (f + K1 * (1 - B + B * n / average))
-        blocks = self._read("blocks", m["segments"]).where(among)
+        blocks = self._read("blocks", m).where(among)
         where = ["query_id", "segment", "scope", "part"]
         heads = blocks.select("token", "scope", "part", "segment", "max_f", "min_len", "n").join(asked, on)
         bounds = heads.groupBy(*where).agg(F.sum(score(F.col("max_f"), F.col("min_len"))).alias("bound"))
         best = Window.partitionBy("query_id").orderBy(F.desc("bound"), "segment", "scope", "part")
-        bounds = bounds.withColumn("_place", F.row_number().over(best))
-        seeds = top_cards(self._scored(blocks, asked, on, bounds.where(F.col("_place") <= self.seeds), score, m), k)
-        floor = seeds.where(F.col("_rank") == k - 1).select("query_id", F.col("bm25").alias("floor"))
-        rest = bounds.where(F.col("_place") > self.seeds).join(floor, "query_id", "left").where(F.coalesce(F.col("bound") + 1e-5 >= F.col("floor"), F.lit(True)))
-        both = seeds.unionByName(top_cards(self._scored(blocks, asked, on, rest, score, m), k))
-        return top_cards(both.drop("_rank"), k).drop("_rank")
+        seeds = bounds.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= self.seeds)
+        kth = top_cards(self._scored(blocks, asked, on, seeds, score, m), k).where(F.col("_rank") == k - 1)
+        rest = bounds.join(kth.select("query_id", F.col("bm25").alias("floor")), "query_id", "left").where(F.coalesce(F.col("bound") + 1e-5 >= F.col("floor"), F.lit(True)))
+        return top_cards(self._scored(blocks, asked, on, rest, score, m), k).drop("_rank")
 
     def _scored(self, blocks: DataFrame, asked: DataFrame, on: list[str], parts: DataFrame, score: Callable, m: dict) -> DataFrame:
         """(query_id, card_id, bm25) of all living cards of the parts (query_id, segment, scope, part)."""
@@ -214,7 +213,7 @@ class CardIndex:
         hits = rows.join(parts, same, "left_semi").select("query_id", "segment", "idf", F.explode("postings").alias("x")).select("query_id", "segment", "idf", "x.*")
         hits = hits.groupBy("query_id", "card_id", "segment").agg(F.round(F.sum(score(F.col("f"), F.col("len"))), 6).alias("bm25"))
         if len(m["segments"]) > 1:
-            hits = hits.join(self._read("dead", m["segments"]).select("card_id", F.col("of").alias("segment")), ["card_id", "segment"], "left_anti")
+            hits = hits.join(self._read("dead", m).select("card_id", F.col("of").alias("segment")), ["card_id", "segment"], "left_anti")
         return hits.select("query_id", "card_id", "bm25")
 
 
