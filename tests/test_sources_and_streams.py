@@ -2,12 +2,14 @@
 
 import io
 import json
+import random
 import zipfile
 
 from pyspark.sql import functions as F
 
 from cardspark.functions import plugs
 from cardspark.operators import questions as Q
+from cardspark.operators import review
 from cardspark.operators import usage as U
 from cardspark.sources import io as S
 from cardspark.streaming import jobs, state
@@ -58,7 +60,7 @@ def test_pause_commits():
 
 
 def test_stream_limits_equal_batch(spark, tmp_path):
-    rows = [(i % 3, i, i * 7919 % 5000) for i in range(200)]
+    rows = [(i % 3, i, BASE + i * 7919 % 5000) for i in range(200)]
     spark.createDataFrame(rows, "k int, id long, ms long").withColumn("ts", F.timestamp_millis("ms")).write.parquet(str(tmp_path / "hits"))
     df = spark.read.parquet(str(tmp_path / "hits"))
     want = {r.id: r.n for r in U.rate_limit_sliding(df, 3, 500).collect()}
@@ -69,7 +71,7 @@ def test_stream_limits_equal_batch(spark, tmp_path):
 
 def test_stream_questions_equal_batch(spark, tmp_path):
     said = ["what is your stack", "and how about scaling", "plain words here", "tell me about it", "and how about scaling", "and how about scaling", "ok so why", "那缓存呢"]
-    spark.createDataFrame([(k, i, i * 5000, t) for k in range(3) for i, t in enumerate(said[k:])], "session_id int, seq int, ms long, text string").withColumn("ts", F.timestamp_millis("ms")).write.parquet(str(tmp_path / "s"))
+    spark.createDataFrame([(k, i, BASE + i * 5000, t) for k in range(3) for i, t in enumerate(said[k:])], "session_id int, seq int, ms long, text string").withColumn("ts", F.timestamp_millis("ms")).write.parquet(str(tmp_path / "s"))
     df = spark.read.parquet(str(tmp_path / "s"))
     want = {(r.session_id, r.seq): (r.q_type, r.q_text) for r in Q.classify_session(df).collect()}
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "s"))
@@ -77,11 +79,129 @@ def test_stream_questions_equal_batch(spark, tmp_path):
     assert got == want
 
 
+def chunked(text, size):
+    return [text[i : i + size] for i in range(0, len(text), size)] or [""]
+
+
 def test_reader_gives_cards_as_they_close():
     card = lambda t: json.dumps({"title": t, "details": "long enough details"})
-    r, text = state.CardReader(), "<think>{}</think>[" + card("aa") + "," + card("bb") + "," + card("aa") + ',{"tit'
-    out = [x for i in range(0, len(text), 7) for x in r.take(i, i, text[i : i + 7])]
+    text = "<think>{}</think>[" + card("aa") + "," + card("bb") + "," + card("aa") + ',{"tit'
+    r = state.CardReader()
+    out = [x for i, c in enumerate(chunked(text, 7)) for x in r.take(i, i, c, False)]
     assert [t for _, t, _ in out] == ["aa", "bb"]
+    assert r.close() == []
+
+
+def test_chunks_do_not_matter():
+    """Every way to cut a reply gives what the whole one gives, and the last chunk tries to close what is open, once."""
+    card = lambda t, **k: json.dumps({"title": t, "details": 'a "quoted} {" \\\\ text', **k}, ensure_ascii=False)
+    replies = {
+        f"[{card('aa')},{card('bb')},{card('aa')}]": ["aa", "bb"],
+        card("aa") + card("cc")[:-1]: ["aa", "cc"],  # the closing brace is missing
+        card("aa") + card("cc")[:-9]: ["aa"],  # more is missing
+        "<thi" + card("aa") + "<THINK x=1>{" + card("no") + "</think>" + card("bb"): ["aa", "bb"],
+        card("aa", tags=["<think>"])[:20] + "<think>x{</think>" + card("aa", tags=["<think>"])[20:]: ["aa"],  # the tag in the string opens a block that never ends, so it is text at the end
+        "<think>" + card("aa"): ["aa"],  # a block that never ends is read at the end
+        "<think" + card("aa"): ["aa"],
+        "<think a>} { </think" + card("bb"): [],
+        "{bad}" + card("aa") + '{"x": {"y": "{"}}' + card("bb"): ["aa", "bb"],
+        "}}" + card("aa") + "<": ["aa"],
+        "": [],
+        "plain < text": [],
+    }
+    for text, want in replies.items():
+        for size in (1, 2, 3, 5, 7, 11, 10**6):
+            r, out = state.CardReader(), []
+            parts = chunked(text, size)
+            for i, c in enumerate(parts):
+                r2 = state.CardReader()
+                r2.load(r.dump())
+                r = r2
+                out += r.take(i, i, c, i == len(parts) - 1)
+            assert [t for _, t, _ in out] == want and r.over, (text, size)
+
+
+def test_each_character_is_read_once(monkeypatch):
+    """A long reply in small chunks: what is kept between them is the open object, not what is done."""
+    r, text = state.CardReader(), "".join(json.dumps({"title": f"t{i}", "details": "x" * 50}) for i in range(300))
+    for i, c in enumerate(chunked(text, 5)):
+        r.take(i, i, c, False)
+        assert sum(map(len, r.scan.parts)) < 100 and len(r.scan.held) < 8
+    assert len(r.titles) == 300
+
+
+def run_all(stream, spark, root):
+    """A stream to its end, in memory: its rows and how many states are left."""
+    q = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    left = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    return spark.read.schema(stream.schema).parquet(f"{root}/out"), left[-1]
+
+
+BASE = 10**12  # a time after the epoch, at which watermarks begin
+
+
+def feed(spark, root, kind, *batches, base=BASE):
+    """A stream of files, one batch each, with event times from ms after the base."""
+    for rows in batches:
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    return spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{root}/in").withColumn("ms", F.col("ms") + base).withColumn("ts", F.timestamp_millis("ms"))
+
+
+def test_states_end(spark, tmp_path):
+    """Once the watermark is past them, no state of these keys is left: windows run out, sessions stop or fall silent."""
+    hits = feed(spark, tmp_path / "a", "k int, seq long, ms long, most int, window_ms long", [(i % 5, i, i * 10, 3, 500) for i in range(50)], [(9, 99, 10**7, 3, 500)], [(9, 100, 2 * 10**7, 3, 500)])
+    rows, left = run_all(state.fold_stream(hits, "k", state.Limiter, "1 second"), spark, tmp_path / "a")
+    assert rows.count() == 52 and left <= 1
+    said = "session_id int, seq long, ms long, text string, stop boolean"
+    talk = feed(spark, tmp_path / "b", said, [(k, 1, 1000 * k, "what is it", False) for k in range(4)], [(k, 2, 5000, "", True) for k in range(3)])
+    rows, left = run_all(jobs.stream_questions(talk, watermark="1 minute"), spark, tmp_path / "b")
+    assert rows.count() == 4 and left == 1  # the one that has not stopped
+    silent = feed(spark, tmp_path / "c", said, [(1, 1, 0, "what is it", False)], [(2, 2, 10**8, "what is it", False)], [(2, 3, 10**8 + 1, "and how", False)])
+    rows, left = run_all(jobs.stream_questions(silent, watermark="1 minute"), spark, tmp_path / "c")
+    assert left == 1
+    kind = "request_id int, seq long, ms long, chunk string, last boolean"
+    text = json.dumps({"title": "aa", "details": "long enough details"})
+    replies = feed(spark, tmp_path / "d", kind, [(1, 1, 1, text[:30], False), (2, 1, 1, text, True)], [(1, 2, 2, text[30:-1], True)])
+    rows, left = run_all(state.fold_stream(replies, "request_id", state.CardReader, "1 second"), spark, tmp_path / "d")
+    assert {(r.request_id, r.seq, r.title) for r in rows.collect()} == {(1, 2, "aa"), (2, 1, "aa")} and left == 0
+
+
+def test_sessions_go_on_after_a_restart(spark, tmp_path):
+    """ST1: a stream that is stopped in mid-session and started again commits what the batch fold does, pauses included."""
+    rng = random.Random(7)
+    rows = {k: [] for k in range(6)}
+    for k, out in rows.items():
+        text, ms = "", 0
+        for i in range(40):
+            ms += rng.choice((100, 400, 1400, 1500, 2500))
+            kind = rng.choice(("listening", "interim", "interim", "interim", "final", "endpoint"))
+            text = text + f" w{i}" if kind in ("interim", "final") else ""
+            out.append((k, i, ms, kind, text))
+        out.append((k, 99, ms + 5000, "stop", None))
+    rows[9] = [(9, 0, 10**7, "listening", None), (9, 1, 2 * 10**7, "listening", None)]
+    kind = "session_id int, seq long, ms long, type string, text string"
+    whole = [r for x in rows.values() for r in x]
+    want = state.fold_batch(spark.createDataFrame(whole, kind), "session_id", state.Segmenter)
+    cuts = [[r for r in whole if a <= r[2] < b] for a, b in ((0, 20_000), (20_000, 40_000), (40_000, 10**9))]
+    for cut in cuts:  # each run of the stream ends, and the next goes on from its checkpoint
+        got, left = run_all(state.fold_stream(feed(spark, tmp_path, kind, cut), "session_id", state.Segmenter, "0 seconds"), spark, tmp_path)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and left <= 1
+
+
+def test_two_halves_of_reviews_are_one(spark, tmp_path):
+    rng = random.Random(3)
+    rows = sorted((BASE + rng.randrange(10**10), i, rng.randrange(12), rng.randrange(0, 5)) for i in range(300))
+    kind = "ms long, seq long, card_id int, rating int"
+    want = {r.card_id: r for r in review.review_cards(spark.createDataFrame(rows, kind)).collect()}
+    review.review_cards(spark.createDataFrame(rows[:150], kind)).write.parquet(str(tmp_path / "known"))
+    late = feed(spark, tmp_path, kind, rows[150:220], rows[220:], base=0)
+    got, _ = run_all(jobs.stream_reviews(late, spark.read.parquet(str(tmp_path / "known")), "30 days"), spark, tmp_path)
+    last = {r.card_id: r for r in got.orderBy("seq").sort("last_review", "reps").collect()}
+    assert got.count() == 150
+    for k, r in last.items():
+        assert (r.state, r.reps, r.lapses, r.last_review, r.due) == tuple(want[k][c] for c in ("state", "reps", "lapses", "last_review", "due"))
+        assert abs(r.stability - want[k].stability) < 1e-4 and abs(r.difficulty - want[k].difficulty) < 1e-4
 
 
 def test_write_notes_keeps_other_files(spark, tmp_path):
