@@ -63,26 +63,26 @@ class Schedule:
         self.reps += 1
         self.last = ms
 
-    def row(self) -> tuple:
-        return self.state, round(self.s, 6), round(self.d, 6), self.reps, self.lapses, self.last, self.due
+    def row(self, digits: int = 6) -> tuple:
+        return self.state, round(self.s, digits), round(self.d, digits), self.reps, self.lapses, self.last, self.due
 
 
 class _Reviews:
     """A card's schedule, given out after its last review."""
 
-    def __init__(self, w):
-        self.schedule = Schedule(w)
+    def __init__(self, w, digits):
+        self.schedule, self.digits = Schedule(w), digits
 
     def take(self, ms: int, rating: int) -> list[tuple]:
         self.schedule.review(ms, rating)
         return []
 
     def close(self) -> list[tuple]:
-        return [self.schedule.row()]
+        return [self.schedule.row(self.digits)]
 
 
-def review_cards(reviews: DataFrame, w=WEIGHTS) -> DataFrame:
-    """reviews(card_id, ms, seq, rating) -> a schedule per card."""
+def review_cards(reviews: DataFrame, w=WEIGHTS, digits: int = 6) -> DataFrame:
+    """reviews(card_id, ms, seq, rating) -> a schedule per card; a stream that goes on from it asks for more digits."""
     kind = dict(reviews.dtypes)["card_id"]
 
-    return fold_sorted(reviews, "card_id", ["ms", "seq"], ["ms", "rating"], lambda: _Reviews(w), SCHEMA.format(kind=kind))
+    return fold_sorted(reviews, "card_id", ["ms", "seq"], ["ms", "rating"], lambda: _Reviews(w, digits), SCHEMA.format(kind=kind))

@@ -11,10 +11,10 @@ from ..operators import notes, review
 from ..operators import retrieval as Re
 from ..operators import text as T
 from ..operators.card_index import CardIndex
-from ..sources.shared import shared_dir
+from ..sources.shared import shared_dir, written
 from ..streaming import jobs, state
 from .tables import read, using
-from .text_queries import _POST
+from .text_queries import _POST, session_sql, trim
 
 QUERIES, ORACLES = {}, {}
 
@@ -36,20 +36,43 @@ def _stream(spark, d, name):
     return rows.withColumn("ts", F.col("ts").cast("timestamp")) if name == "events" else rows
 
 
-def _segments(rows):
-    ms = F.col("conv_id") * 1_000_000 + F.col("turn") * 3000
-    return rows.where("role = 'user'").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), ms.alias("ms"), F.timestamp_millis(ms).alias("ts"), "text")
+BASE = 1_700_000_000_000  # a time at which sessions made of numbered rows begin
 
 
-@query()
+_SPEECH = f"""select user_id as session_id, event_id as seq, {BASE} + event_id * 700 as ms, event_type || ' ' || props as text,
+  case when event_id % 40 = 39 then 'stop' else case event_id % 5 when 0 then 'listening' when 1 then 'endpoint' when 2 then 'final' else 'interim' end end as type from {{events}}"""
+
+
+#: Both what a pause commits before a row, and what the row commits; at the end, pauses that the last event time has passed.
+@query(f"""with recursive e as (select *, row_number() over (partition by session_id order by seq) as rn from ({_SPEECH.format(events='events')})),
+  r as (select distinct session_id, cast(0 as bigint) as rn, '' as interim, cast(0 as bigint) as done, cast(0 as bigint) as heard, cast(0 as bigint) as held, false as armed, false as begun, cast(0 as bigint) as last,
+      cast(null as varchar) as before, cast(null as bigint) as before_seq, cast(null as varchar) as own, cast(null as bigint) as own_seq from e
+    union all select session_id, rn, case when type = 'interim' then text when type = 'endpoint' then i else '' end, case when type = 'interim' then d when type = 'endpoint' then case when own is null then d else length(i) end else 0 end,
+      case when type = 'interim' then ms else heard end, case when type = 'interim' then seq else held end, type = 'interim' and text <> '', type = 'listening' or (type <> 'stop' and b), ms, before, held, own, seq
+    from (select *, case when type = 'final' and trim(substring(text, d + 1)) <> '' then substring(text, d + 1) when (type in ('endpoint', 'stop') or (type = 'listening' and b)) and trim(substring(i, d + 1)) <> '' then substring(i, d + 1) end as own
+      from (select *, case when idle then '' else interim end as i, case when idle then 0 when before is null then done else length(interim) end as d, begun and not idle as b
+        from (select *, case when paused and trim(substring(interim, done + 1)) <> '' then substring(interim, done + 1) end as before
+          from (select e.session_id, e.rn, e.ms, e.seq, e.type, e.text, r.interim, r.done, r.heard, r.held, r.begun, r.armed and e.ms - r.heard >= 1500 as paused, r.last > 0 and e.ms - r.last >= {state.IDLE_MS} as idle
+            from r join e on e.session_id = r.session_id and e.rn = r.rn + 1))))),
+  ends as (select * from r where rn = (select max(rn) from e where e.session_id = r.session_id))
+  select session_id, before_seq as seq, before as text from r where before is not null union all select session_id, own_seq, own from r where own is not null
+  union all select session_id, held, substring(interim, done + 1) from ends where armed and trim(substring(interim, done + 1)) <> '' and heard + 1500 < (select max(ms) from e)""")
 def st1_segment_speech(spark, d):
-    rows = read(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), (F.col("event_id") * 700).alias("ms"), F.expr("case event_id % 5 when 0 then 'listening' when 1 then 'endpoint' when 2 then 'final' else 'interim' end").alias("type"), F.concat("event_type", F.lit(" "), "props").alias("text"))
-    return state.fold_batch(rows, "session_id", state.Segmenter)
+    rows = spark.sql(_SPEECH, events=_stream(spark, d, "events"))
+    return jobs.run_once(state.fold_stream(rows.withColumn("ts", F.timestamp_millis("ms")), "session_id", state.Segmenter, "0 seconds"))
 
 
-@query()
+_RULES = "# heard wrongly\nin  =>  what in\nque => how que\n"
+_SAID = f"""select conv_id as session_id, turn as seq, {BASE} + conv_id * 1000000 + turn * 1500 as ms, text from {{conversations}} where role = 'user'"""
+
+
+@query(f"""with recursive o as (select *, row_number() over (partition by session_id order by seq) as rn from (select session_id, seq, ms, {trim('text')} as said from ({_SAID.format(conversations='conversations')}))),
+  r as (select session_id, seq, rn, true as taken, said as t, ms as at from o where rn = 1 union all select o.session_id, o.seq, o.rn, not (o.said = r.t and o.ms - r.at < 4000), o.said, case when o.said = r.t and o.ms - r.at < 4000 then r.at else o.ms end from r join o on o.session_id = r.session_id and o.rn = r.rn + 1),
+  {session_sql(f"select session_id as conv_id, seq, {trim('s')} as s from (select session_id, seq, replace(replace(t, 'in', 'what in'), 'que', 'how que') as s from r where taken)")}
+  select conv_id as session_id, seq, q_type, case when q_type = 'follow_up' then substring(substring(prior, 1, 100) || '，' || s, 1, 200) else own end as q_text from g""")
 def st2_stream_questions(spark, d):
-    return jobs.run_once(jobs.stream_questions(_segments(_stream(spark, d, "conversations"))))
+    rows = spark.sql(_SAID, conversations=_stream(spark, d, "conversations")).withColumn("ts", F.timestamp_millis("ms"))
+    return jobs.run_once(jobs.stream_questions(rows, T.parse_rules(_RULES)))
 
 
 _LIMIT = "select a.user_id as k, a.event_id as seq, count(*) as n, count(*) <= 3 as allowed from events a join events b on b.user_id = a.user_id and epoch_ms(b.ts) > epoch_ms(a.ts) - 86400000 and (epoch_ms(b.ts) < epoch_ms(a.ts) or (epoch_ms(b.ts) = epoch_ms(a.ts) and b.event_id <= a.event_id)) group by a.user_id, a.event_id"
@@ -89,17 +112,52 @@ def st5_incremental_index(spark, d):
     return index.postings()
 
 
-@query()
-def st6_stream_cards(spark, d):
-    whole = F.concat(F.lit("["), F.to_json(F.struct("title", "summary", "details", "tags", "type")), F.lit(","), F.to_json(F.struct("title", "summary", "details")), F.lit("]"))
-    chunks = read(spark, d, "cards").select("card_id", F.posexplode(F.split(whole, "(?<= )")).alias("seq", "chunk")).select(F.col("card_id").alias("request_id"), F.col("seq").cast("long").alias("seq"), F.col("seq").alias("ms"), "chunk")
-    return state.fold_batch(chunks, "request_id", state.CardReader)
+_THOUGHT = '<think>{"title": "not this one", "details": "thought of only"} hm </think> '
 
 
-@query()
+@query(f"""with c as (select *, length(title || summary || details || lang || source) - length(replace(title || summary || details || lang || source, ' ', '')) as spaces
+    from (select doc_id, lang, source, split_part(text, chr(10), 1) as title, substring(text, 1, 200) as summary, substring(text, 1, 2000) as details from documents))
+  select doc_id as request_id, spaces + case when doc_id % 4 = 3 then {_THOUGHT.count(' ')} else 0 end as seq, title, 'domain_fact' as type from c where length(title) between 2 and 100 and length(details) >= 10""")
+def st6_stream_cards(spark, d):
+    """Replies of one card, and its like once more, in chunks: whole, broken off in the second, broken off before the first one's last brace, and after a think block."""
+    rows = _stream(spark, d, "documents").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.substring("text", 1, 200).alias("summary"), F.substring("text", 1, 2000).alias("details"), F.array("lang", "source").alias("tags"))
+    one, two = F.to_json(F.struct("title", "summary", "details", "tags")), F.to_json(F.struct("title", "summary", "details"))
+    kind = F.col("doc_id") % 4
+    reply = F.when(kind == 2, F.concat(F.lit("["), F.regexp_replace(one, r"\}$", ""))).otherwise(F.concat(F.when(kind == 3, _THOUGHT).otherwise(""), F.lit("["), one, F.lit(","), F.when(kind == 1, F.regexp_replace(two, '"\\}$', "")).otherwise(F.concat(two, F.lit("]")))))
+    chunks = rows.withColumn("chunks", F.split(reply, "(?<= )")).select(F.col("doc_id").alias("request_id"), F.posexplode("chunks").alias("seq", "chunk"), F.size("chunks").alias("n"))
+    ms = BASE + F.col("seq").cast("long")
+    return jobs.run_once(state.fold_stream(chunks.select("request_id", F.col("seq").cast("long").alias("seq"), ms.alias("ms"), F.timestamp_millis(ms).alias("ts"), "chunk", (F.col("seq") == F.col("n") - 1).alias("last")), "request_id", state.CardReader, "1 minute"))
+
+
+_W = review.WEIGHTS
+_D0 = lambda g: f"least(10.0, greatest(1.0, {_W[4]} - exp({_W[5]} * ({g} - 1)) + 1))"
+_FACTOR = f"(power(0.9, 1 / -{_W[20]}) - 1)"
+_FSRS = f"""with recursive o as (select k, ms, cast(id % 6 as int) as g, row_number() over (partition by k order by ms, id) as rn from ({{hits}})),
+  r as (select distinct k, cast(0 as bigint) as rn, 'new' as state, cast(0 as double) as s, cast(0 as double) as d, cast(0 as bigint) as reps, cast(0 as bigint) as lapses, cast(0 as bigint) as last from o
+    union all select k, rn, case when not ok then state when g = 1 then case when state in ('review', 'relearning') then 'relearning' else 'learning' end
+        when state <> 'review' and g < 4 and (g = 2 or state = 'new') then case when state = 'relearning' then state else 'learning' end else 'review' end,
+      case when not ok then s else greatest(0.001, case when state = 'new' then case g when 1 then {_W[0]} when 2 then {_W[1]} when 3 then {_W[2]} else {_W[3]} end
+        when days = 0 then s * case when g >= 3 then greatest(1.0, grow) else grow end
+        when g = 1 then least(s, {_W[11]} * power(d, -{_W[12]}) * (power(s + 1, {_W[13]}) - 1) * exp({_W[14]} * (1 - kept)))
+        else s * (1 + exp({_W[8]}) * (11 - d) * power(s, -{_W[9]}) * (exp({_W[10]} * (1 - kept)) - 1) * case g when 2 then {_W[15]} when 4 then {_W[16]} else 1 end) end) end,
+      case when not ok then d when state = 'new' then {_D0('g')} else least(10.0, greatest(1.0, {_W[7]} * {_D0(4)} + (1 - {_W[7]}) * (d - {_W[6]} * (g - 3) * (10 - d) / 9))) end,
+      reps + cast(ok as bigint), lapses + cast(ok and g = 1 and state = 'review' as bigint), case when ok then ms else last end
+    from (select *, case when state <> 'new' then power(1 + {_FACTOR} * days / s, -{_W[20]}) end as kept, case when state <> 'new' then exp({_W[17]} * (g - 3 + {_W[18]})) * power(s, -{_W[19]}) end as grow
+      from (select o.k, o.rn, o.ms, o.g, o.g between 1 and 4 as ok, r.state, cast(r.s as double) as s, cast(r.d as double) as d, r.reps, r.lapses, r.last, greatest(0, (o.ms - r.last) // 86400000) as days from r join o on o.k = r.k and o.rn = r.rn + 1)))
+  select k as card_id, state, reps, lapses, round(s, 6) as stability, round(d, 6) as difficulty from r where rn = (select max(rn) from o where o.k = r.k)"""
+
+
+@query(_FSRS.replace("{hits}", "select user_id as k, event_id as id, epoch_ms(ts) as ms from events"))
 def st7_review_cards(spark, d):
-    rows = read(spark, d, "hits").select(F.col("k").alias("card_id"), "ms", F.col("id").alias("seq"), F.expr("cast(id % 6 as int)").alias("rating"))
-    return review.review_cards(rows).select("card_id", "state", "reps", "lapses", "stability", "difficulty")
+    """The earlier half of the reviews as a table, the later half as a stream that goes on from it."""
+    columns = [F.col("user_id").alias("card_id"), F.unix_millis("ts").alias("ms"), F.col("event_id").alias("seq"), F.expr("cast(event_id % 6 as int)").alias("rating"), "ts"]
+    rows = read(spark, d, "events").select(*columns)
+    half = rows.agg(F.expr("timestamp_millis(cast((min(ms) + max(ms)) / 2 as bigint))")).first()[0]
+    known = written(review.review_cards(rows.where(F.col("ts") < half), digits=15))
+    late = jobs.run_once(jobs.stream_reviews(_stream(spark, d, "events").select(*columns).where(F.col("ts") >= half), known))
+    last = late.groupBy("card_id").agg(F.max_by(F.struct("state", "reps", "lapses", "stability", "difficulty"), F.col("seq")).alias("x")).select("card_id", "x.*")
+    rest = known.join(last, "card_id", "left_anti").select("card_id", "state", "reps", "lapses", F.round("stability", 6).alias("stability"), F.round("difficulty", 6).alias("difficulty"))
+    return last.unionByName(rest)
 
 
 @query()

@@ -256,7 +256,9 @@ def q5_classify_segment(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", c["type"].alias("q_type"), c["text"].alias("q_text"))
 
 
-_SESSION = f"""with s as (select conv_id, turn * 100000 + i as seq, s from ({_SENT})),
+def session_sql(source: str) -> str:
+    """CTEs of Q6 over source(conv_id, seq, s); the last is g."""
+    return f"""s as (select conv_id, seq, s from ({source})),
   a as (select *, {sql_standalone('s', 'type')} as p_type, {sql_standalone('s', 'text')} as p_text, length(s) >= 2 and {sql_follow('s')} as fu from s),
   b as (select *, coalesce(bool_or(p_type is not null) over (partition by conv_id order by seq rows between unbounded preceding and 1 preceding), false) as has from a),
   c as (select *, case when has and fu then 'follow_up' else p_type end as q_type from b),
@@ -264,6 +266,9 @@ _SESSION = f"""with s as (select conv_id, turn * 100000 + i as seq, s from ({_SE
   g as (select *, string_agg(own, '，') over (partition by conv_id, run order by seq rows between unbounded preceding and 1 preceding) as prior from e)"""
 
 
+_SESSION = "with " + session_sql(f"select conv_id, turn * 100000 + i as seq, s from ({_SENT})")
+
+
 @query(_SESSION + " select conv_id, seq, q_type, case when q_type = 'follow_up' then substring(substring(prior, 1, 100) || '，' || s, 1, 200) else own end as q_text from g")
 def q6_classify_session(spark, d):
     rows = _sentences(spark, d).select("conv_id", (F.col("turn") * 100000 + F.col("i")).alias("seq"), "s")
