@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import regexes as R
 from ..functions.folds import fold_sorted
+from ..functions.ordered import numbered
 from ..sources.shared import written
 from .text import _bigrams, escape_attribute, escape_envelope, js_trim, truncate_head_tail
 
@@ -250,6 +251,17 @@ def select_export(cards: DataFrame, mode: str = "auto", limit: int = 25) -> Data
     return rows.where(F.col("place") <= limit) if mode == "auto" else rows
 
 
+def project_list(projects: DataFrame) -> DataFrame:
+    """K4: projects that are no profiles, the newest update first."""
+    rows = numbered(projects.where(~F.coalesce("is_profile", F.lit(False))), [F.desc("updated_at"), F.col("id")])
+    return rows.withColumn("place", F.col("pos") + 1).drop("pos", "part")
+
+
+def material_list(materials: DataFrame) -> DataFrame:
+    """K4: the materials of each project, the newest upload first."""
+    return materials.withColumn("place", F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("uploaded_at"), "id")))
+
+
 def due_cards(cards: DataFrame, now: int) -> DataFrame:
     """K3: cards never reviewed or due, with their place, never reviewed first."""
     return cards.where(F.col("due_at").isNull() | (F.col("due_at") <= now)).withColumn("place", F.row_number().over(Window.partitionBy("project_id").orderBy(F.col("due_at").asc_nulls_first(), "card_id")))

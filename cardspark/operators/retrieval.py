@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import inject_bigrams, tokenize_query
+from .text import _bigrams, inject_bigrams, tokenize_query
 
 if TYPE_CHECKING:
     from .card_index import CardIndex
@@ -192,15 +192,39 @@ def context_words(hits: DataFrame, cards: DataFrame, n: int = 3, limit: int = 50
     return rows.groupBy("query_id").agg(F.slice(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["w"]))), 1, limit).alias("words"))
 
 
+def _text_words(c: Column) -> Column:
+    """What a query token can lie in: distinct runs [a-z0-9]{3,}, and CJK bigrams, of a text in lower case."""
+    low = F.lower(c)
+    return F.array_distinct(F.concat(F.regexp_extract_all(low, F.lit("([a-z0-9]{3,})"), F.lit(1)), _bigrams(low)))
+
+
+def _grams(word: Column) -> Column:
+    """Three neighbouring characters each; a word of two is its own."""
+    many = F.transform(F.sequence(F.lit(1), F.length(word) - 2), lambda i: F.substring(word, i, 3))
+    return F.when(F.length(word) > 2, F.array_distinct(many)).otherwise(F.array(word))
+
+
+def matching_words(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """tokens(token), vocabulary(word) -> (token, word): the words that hold a token. They meet by a gram, the token's rarest, and are then compared."""
+    index = vocabulary.select("word", F.explode(_grams(F.col("word"))).alias("gram"))
+    asked = tokens.select("token", F.explode(_grams(F.col("token"))).alias("gram")).join(index.groupBy("gram").agg(F.count("*").alias("n")), "gram")
+    rare = asked.groupBy("token").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    return index.join(rare, "gram").where(F.col("word").contains(F.col("token"))).select("token", "word")
+
+
 def keyword_score(queries: DataFrame, cards: DataFrame, k: int = 4) -> DataFrame:
-    """Two points for a token found in title, summary or tags, one for details; cards of the query's project, in blocks."""
-    blocks = 16
-    tokens = queries.select("query_id", "project_id", tokenize_query(F.col("text")).alias("tokens"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("_b"))
-    text = lambda *c: F.lower(F.concat_ws(" ", *c))
-    sides = cards.select("project_id", "card_id", text("title", "summary", F.array_join("tags", " ")).alias("head"), F.lower("details").alias("body"), F.pmod(F.xxhash64("card_id"), F.lit(blocks)).alias("_b"))
-    points = F.aggregate("tokens", F.lit(0), lambda s, t: s + F.when(F.col("head").contains(t), 2).otherwise(0) + F.when(F.col("body").contains(t), 1).otherwise(0))
-    scored = tokens.join(sides, ["project_id", "_b"]).select("query_id", "card_id", points.alias("points")).where("points > 0")
-    return top_k(scored, "points", "rank", k)
+    """Two points for a token found, as a substring, in title, summary or tags, one for details; cards of the query's project.
+
+    Tokens are looked up in the vocabulary by grams, and the words that hold them in postings by project and word, so a query
+    meets no card that none of its tokens is in.
+    """
+    tokens = queries.select("query_id", "project_id", F.explode(tokenize_query(F.col("text"))).alias("token"))
+    head = F.concat_ws(" ", "title", "summary", F.array_join("tags", " "))
+    parts = F.array(*[F.struct(F.lit(points).alias("points"), _text_words(c).alias("words")) for points, c in ((2, head), (1, F.coalesce("details", F.lit(""))))])
+    postings = cards.select("project_id", "card_id", F.explode(parts).alias("x")).select("project_id", "card_id", "x.points", F.explode("x.words").alias("word"))
+    found = tokens.join(matching_words(tokens.select("token").distinct(), postings.select("word").distinct()), "token").join(postings, ["project_id", "word"])
+    once = found.groupBy("query_id", "card_id", "token", "points").agg(F.lit(1).alias("_"))  # two words of a card may hold one token
+    return top_k(once.groupBy("query_id", "card_id").agg(F.sum("points").cast("int").alias("points")), "points", "rank", k)
 
 
 def retrieval_eval(asked: DataFrame, hits: DataFrame, k: int = 3) -> DataFrame:
@@ -210,5 +234,5 @@ def retrieval_eval(asked: DataFrame, hits: DataFrame, k: int = 3) -> DataFrame:
 
 
 def hydrate_hits(ranked: DataFrame, cards: DataFrame) -> DataFrame:
-    """The cards of ranked ids, in order; ids without card drop out."""
-    return ranked.join(cards, "card_id").orderBy("query_id", "rank")
+    """The cards of ranked ids, which keep their ranks, a query's rows together and in order; ids without card drop out."""
+    return ranked.join(cards, "card_id").repartition("query_id").sortWithinPartitions("query_id", "rank")

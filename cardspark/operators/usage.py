@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.folds import fold_sorted
+from ..functions.ordered import filled, numbered
+from ..sources.shared import written
 
 
 def rate_limit_sliding(hits: DataFrame, most: Column | int, window_ms: int, key: str = "k") -> DataFrame:
@@ -34,9 +36,35 @@ class _Anchored:
         return []
 
 
-def rate_limit_fixed(hits: DataFrame, most: int, window_ms: int, key: str = "k") -> DataFrame:
-    """As W1, with windows anchored at a key's first hit; the next starts at the first hit beyond. A fold over each key's hits in order."""
-    out = fold_sorted(hits, key, ["ms", "id"], ["ms", "id"], lambda: _Anchored(window_ms), f"{key} {dict(hits.dtypes)[key]}, id bigint, anchor bigint, n int")
+def _fixed_by_jumps(hits: DataFrame, window_ms: int, key: str) -> DataFrame:
+    """W2 for keys with very many hits: each hit points to the first one a window later; the windows' anchors are what the key's
+    first hit reaches by these pointers, whose jumps double in rounds. No task holds a key."""
+    rows = numbered(hits.select(F.col(key).alias("_k"), "ms", "id"), ["_k", "ms", "id"])
+    both = rows.select("_k", F.col("ms").alias("t"), F.lit(1).alias("hit"), F.col("pos").alias("of")).unionByName(rows.select("_k", (F.col("ms") + window_ms).alias("t"), F.lit(0).alias("hit"), F.col("pos").alias("of")))
+    next_ = filled(numbered(both, ["_k", "t", "hit", "of"]).withColumn("to", F.when(F.col("hit") == 1, F.struct("_k", "of"))), "to", forward=False)
+    jump = written(next_.where((F.col("hit") == 0) & F.col("to._k").eqNullSafe(F.col("_k"))).select(F.col("of").alias("pos"), F.col("to.of").alias("to")))
+    anchors = written(rows.groupBy("_k").agg(F.min("pos").alias("pos")).select("pos"))
+    while True:
+        more = written(anchors.join(jump, "pos").select(F.col("to").alias("pos")))
+        if more.isEmpty():
+            break
+        anchors = written(anchors.unionByName(more))
+        jump = written(jump.join(jump.select(F.col("pos").alias("to"), F.col("to").alias("_far")), "to").select("pos", F.col("_far").alias("to")))
+    rows = rows.join(anchors.withColumn("_a", F.lit(True)), "pos", "left").withColumn("a", F.when(F.col("_a"), F.struct("pos", "ms")))
+    return filled(rows, "a", forward=True).select(F.col("_k").alias(key), "id", F.col("a.ms").alias("anchor"), (F.col("pos") - F.col("a.pos") + 1).cast("int").alias("n"))
+
+
+def rate_limit_fixed(hits: DataFrame, most: int, window_ms: int, key: str = "k", hot: int = 200_000) -> DataFrame:
+    """As W1, with windows anchored at a key's first hit; the next starts at the first hit beyond.
+
+    A fold over each key's hits in order; keys of over `hot` hits, which would hold up a task, go by doubled jumps instead."""
+    crowded = written(hits.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select(F.col(key).alias("_c")))
+    fold = lambda df: fold_sorted(df, key, ["ms", "id"], ["ms", "id"], lambda: _Anchored(window_ms), f"{key} {dict(hits.dtypes)[key]}, id bigint, anchor bigint, n int")
+    if crowded.isEmpty():
+        out = fold(hits)
+    else:
+        same = F.col(key).eqNullSafe(F.col("_c"))
+        out = fold(hits.join(crowded, same, "left_anti")).unionByName(_fixed_by_jumps(hits.join(crowded, same, "left_semi"), window_ms, key))
     return out.withColumn("allowed", F.col("n") <= most).withColumn("remaining", F.greatest(F.lit(0), most - F.col("n")))
 
 

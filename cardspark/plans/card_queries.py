@@ -142,13 +142,11 @@ def k3_due_cards(spark, d):
     return C.due_cards(read(spark, d, "cards"), 500).select("card_id", "place")
 
 
-@query(using("projects", "materials") + "select p.id, m.id as material, row_number() over (partition by p.id order by uploaded_at desc, m.id) as place from projects p join materials m on m.project_id = p.id where not is_profile")
-def k4_project_materials(spark, d):
-    from pyspark.sql import Window
-
-    p = read(spark, d, "projects").where("not is_profile").select(F.col("id").alias("project_id"))
-    rows = read(spark, d, "materials").join(p, "project_id")
-    return rows.select(F.col("project_id").alias("id"), F.col("id").alias("material"), F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("uploaded_at"), "id")).alias("place"))
+@query(using("projects", "materials") + """, p as (select id, row_number() over (order by updated_at desc, id) as place from projects where not is_profile)
+  select p.id as project_id, p.place as project_place, m.id as material, row_number() over (partition by p.id order by uploaded_at desc, m.id) as place from p left join materials m on m.project_id = p.id""")
+def k4_project_list(spark, d):
+    p = C.project_list(read(spark, d, "projects")).select(F.col("id").alias("project_id"), F.col("place").alias("project_place"))
+    return p.join(C.material_list(read(spark, d, "materials")).select("project_id", F.col("id").alias("material"), "place"), "project_id", "left").withColumn("place", F.coalesce("place", F.lit(1)))
 
 
 @query(using("cards") + "select card_id, row_number() over (partition by project_id order by confidence desc, created_at desc, card_id) as place from cards where type = 'data_metric'")
@@ -177,13 +175,13 @@ def k8_index_note(spark, d):
 
 @query()
 def w8_unique_filenames(spark, d):
-    rows = C.select_export(read(spark, d, "cards")).withColumn("name", F.substring(T.safe_filename(F.col("title")), 1, 3))
+    rows = C.select_export(read(spark, d, "cards")).withColumn("name", T.safe_filename(F.col("title")))
     return C.unique_filenames(rows)
 
 
-@query(using("notes") + ", p as (select * from materials where id % 4 <> 0) select n.id, case when p.id is null then 'new' when p.source_mtime is null or floor(n.mtime_ms / 1000) > p.source_mtime then 'changed' else 'unchanged' end as status from notes n left join p on p.project_id = n.project_id and p.source_ref = n.source_ref where n.id % 3 <> 0")
+@query(using("notes") + ", p as (select * from materials where id % 4 <> 0) select n.id, case when p.id is null then 'new' when p.source_mtime is null or floor(n.mtime_ms / 1000) > p.source_mtime then 'changed' else 'unchanged' end as status from notes n left join p on p.project_id = n.project_id and p.source_ref = n.source_ref")
 def j2_note_status(spark, d):
-    notes = read(spark, d, "notes").where("id % 3 <> 0").drop("status")
+    notes = read(spark, d, "notes").drop("status")
     return C.note_status(notes, read(spark, d, "materials").where("id % 4 <> 0")).select("id", "status")
 
 
@@ -215,16 +213,16 @@ def j5_cascade_delete(spark, d):
     return count(p, "project", "id", F.count("parent_project_id")).unionByName(count(m, "material", "project_id", zero)).unionByName(count(c, "card", "project_id", zero))
 
 
-@query(using("materials", "cards") + "select sha256(card_id || '|copy') as card_id, case when m.id is not null then sha256(m.id || '|copy') end as material, false as verified, title from cards c left join (select id from materials where project_id = 'src2' and id % 3 <> 0) m on c.source_material_id = m.id where c.project_id = 'src2'")
+@query(using("materials", "cards") + "select sha256(card_id || '|copy') as card_id, case when m.id is not null then sha256(m.id || '|copy') end as material, false as verified, title from cards c left join (select id from materials where project_id = 'src2') m on c.source_material_id = m.id where c.project_id = 'src2'")
 def j6_clone_project(spark, d):
-    m = read(spark, d, "materials").where("id % 3 <> 0")
+    m = read(spark, d, "materials")
     return C.clone_project(m, read(spark, d, "cards"), "src2", "copy")[1].select("card_id", F.col("source_material_id").alias("material"), F.col("user_verified").alias("verified"), "title")
 
 
-@query(using("cards") + "select card_id from cards where card_id % 2 = 0 and project_id not in (select project_id from cards where card_id % 13 = 1) union all select card_id from cards where card_id % 13 = 1")
+@query(using("cards") + "select card_id from cards where card_id % 13 <> 1 and project_id not in (select project_id from cards where card_id % 13 = 1) union all select card_id from cards where card_id % 13 = 1")
 def u1_replace_cards(spark, d):
     c = read(spark, d, "cards")
-    return C.replace_cards(c.where("card_id % 2 = 0"), c.where("card_id % 13 = 1")).select("card_id")
+    return C.replace_cards(c.where("card_id % 13 <> 1"), c.where("card_id % 13 = 1")).select("card_id")
 
 
 @query(using("cards") + "select card_id, is_important or card_id % 6 = 0 as is_important, case when card_id % 6 = 0 then 9 else created_at end as updated_at from cards")
@@ -251,11 +249,7 @@ def t12_parse_cards(spark, d):
     return C.parse_cards(read(spark, d, "cards").select(F.col("card_id").alias("request_id"), "project_id", body.alias("raw"))).select("request_id", "seq", "card.title", "card.type", F.array_join("issues", "; ").alias("issues"))
 
 
-_SHORT = "case when page_id % 3 = 0 then substring(h, 1, 400) else h end"
-
-
-@query(f"with a as (select page_id, length(html) as h from pages) select page_id, case when (case when page_id % 3 = 0 then least(h, 400) else h end) >= 500 then 'static' when page_id % 2 = 0 then 'render' when page_id % 9 = 0 then 'too_short' else 'rendered' end as route from a")
+@query("with a as (select page_id, length(html) as h from pages) select page_id, case when h >= 500 then 'static' when page_id % 2 = 0 then 'render' when page_id % 9 = 0 then 'too_short' else 'rendered' end as route from a")
 def v3_fetch_route(spark, d):
-    static = F.expr("case when page_id % 3 = 0 then substring(html, 1, 400) else html end")
     rendered = F.expr("case when page_id % 2 = 0 then null when page_id % 9 = 0 then 'x' else repeat('x', 60) end")
-    return read(spark, d, "pages").select("page_id", T.fetch_route(static, rendered).alias("route"))
+    return read(spark, d, "pages").select("page_id", T.fetch_route(F.col("html"), rendered).alias("route"))

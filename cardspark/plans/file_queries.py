@@ -1,16 +1,13 @@
-"""Registered queries of files, archives, replies and plugs: the given tables are written out or packed, then read by the operator."""
+"""Registered queries of files and replies: the given tables are written out, then read by the operator."""
 
 from __future__ import annotations
 
-import io
 import uuid
-import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions import plugs
 from ..operators import cards as C
 from ..sources import io as S
 from ..sources.shared import shared_dir
@@ -32,23 +29,15 @@ def _folder(spark) -> str:
     return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
 
 
-@query(r"select doc_id, '### note.md' || chr(10) || coalesce(text, '') || chr(10) || '### more.txt' || chr(10) || coalesce(source, '') || chr(10) as text from documents")
-def io4_archive_text(spark, d):
-    """Each document as an archive of two files that are read and one that is not."""
+_PATH = """case when doc_id % 5 = 0 then '.trash/' when doc_id % 13 = 0 then '1/2/3/4/5/6/7/8/9/' else source || '/' end || 'note' || doc_id || case when doc_id % 7 = 0 then '.MD' when doc_id % 11 = 0 then '.txt' else '.md' end"""
 
-    def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for doc_id, text, source in part.itertuples(index=False, name=None):
-                b = io.BytesIO()
-                with zipfile.ZipFile(b, "w") as z:
-                    for name, content in (("note.md", text), ("more.txt", source), ("tool.exe", "no")):
-                        z.writestr(name, content or "")
-                out.append((f"{doc_id}.zip", b.getvalue()))
-            yield pd.DataFrame(out, columns=["path", "content"])
 
-    files = read(spark, d, "documents").select("doc_id", "text", "source").mapInPandas(pack, "path string, content binary")
-    return S.archive_text(files).select(F.substring_index("path", ".", 1).cast("long").alias("doc_id"), "text")
+@query(f"select rel_path, n as size, cast(greatest(1, round(n / 1024.0)) as int) as size_kb, text as raw from (select {_PATH} as rel_path, strlen(text) as n, doc_id, text from documents) where n between 1 and 1048576 and doc_id % 5 <> 0 and doc_id % 13 <> 0 and (doc_id % 7 = 0 or doc_id % 11 <> 0)")
+def io2_scan_notes(spark, d):
+    """Each document as a file: notes, and files that are none, lie too deep or in the bin."""
+    folder = _folder(spark)
+    S.write_files(read(spark, d, "documents").select(F.expr(_PATH).alias("rel_path"), F.col("text").alias("content")), folder)
+    return S.scan_notes(spark, folder, most=None).select("rel_path", "size", "size_kb", "raw")
 
 
 @query("select cast(conv_id as varchar) as session_id, turn as seq, 'final' as type, text, case when turn % 2 = 0 then role else 'self' end as role from conversations where turn % 5 <> 4")
@@ -84,9 +73,3 @@ def t13_scan_objects(spark, d):
             yield pd.DataFrame({"card_id": part["card_id"], "n_objects": [len(o) for o, _ in found], "title": [o[0].get("title") if o else None for o, _ in found], "rest": [r for _, r in found]})
 
     return replies.mapInPandas(run, "card_id bigint, n_objects bigint, title string, rest string")
-
-
-@query("select item_id, 'reply to ' || length(text) || ' characters' as raw from benchmark")
-def p2_ask(spark, d):
-    """The plug point for an outside model, with a stand-in that says how long a prompt is."""
-    return plugs.ask(read(spark, d, "benchmark"), "item_id", "text", lambda prompts: [f"reply to {len(p)} characters" for p in prompts])

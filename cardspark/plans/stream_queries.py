@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import plugs
 from ..operators import notes, review
 from ..operators import retrieval as Re
 from ..operators import text as T
@@ -169,14 +168,3 @@ def t7_clean_note(spark, d):
 @query()
 def t24_note_markdown(spark, d):
     return notes.note_markdown(read(spark, d, "cards").withColumn("project", F.col("project_id")), "cards", "cardspark")
-
-
-@query()
-def p1_embed_passages(spark, d):
-    cards = read(spark, d, "cards").select("card_id", T.passage_text(F.col("title"), F.col("summary"), F.col("details")).alias("passage"))
-    rows = plugs.embed_passages(cards, "card_id", "passage", plugs.hashing_embedder(64))
-    return rows.select("card_id", F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
-
-
-ORACLES["p1_embed_passages"] = "select doc_id as card_id, 64 as dims, cast(1.0 as double) as norm from documents"
-

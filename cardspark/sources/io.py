@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import os
 import re
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -26,15 +28,15 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]+)\z", 1))
 
 
-def scan_notes(spark: SparkSession, root: str, most: int = 1000) -> DataFrame:
-    """IO2: markdown notes below a folder: rel_path, size, size_kb, mtime_ms, raw. Hidden and tool folders, more than eight levels, and files over 1 MiB are left out."""
+def scan_notes(spark: SparkSession, root: str, most: int | None = 1000) -> DataFrame:
+    """IO2: markdown notes below a folder: rel_path, size, size_kb, mtime_ms, raw. Hidden and tool folders, more than eight levels, and files over 1 MiB are left out; the first `most` by path count, None: all."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     where = spark.createDataFrame([(root,)], "r string").select(F.regexp_replace("r", r"/+\z", "").alias("r"))
     rel = F.expr("substring(path, locate(r, path) + length(r) + 1)")
     rows = files.join(F.broadcast(where)).withColumn("rel_path", rel)  # where: one row
     parts = F.split("rel_path", "/")
     rows = rows.where(F.lower("rel_path").endswith(".md") & F.col("length").between(1, 2**20) & (F.size(parts) - 1 <= 8) & ~F.exists(parts, lambda x: x.startswith(".") | x.isin(*SKIPPED_DIRS)))
-    rows = rows.orderBy("rel_path").limit(most)
+    rows = rows if most is None else rows.orderBy("rel_path").limit(most)
     return rows.select("rel_path", F.col("length").alias("size"), F.greatest(F.lit(1), F.round(F.col("length") / 1024)).cast("int").alias("size_kb"), F.unix_millis("modificationTime").alias("mtime_ms"), F.col("content").cast("string").alias("raw"))
 
 
@@ -95,6 +97,24 @@ def write_notes(notes: DataFrame, root: str) -> None:
     notes.select("project", "filename", F.col("content").alias("value")).write.mode("append").partitionBy("project", "filename").option("lineSep", "\n").text(root)
 
 
+def write_files(files: DataFrame, root: str) -> None:
+    """files(rel_path, content) as files of these names below a folder that all executors mount; each is written aside and then renamed, so a task that runs again leaves whole files."""
+    base = re.sub(r"^file:(//)?", "", root.rstrip("/"))
+    if "://" in base:
+        raise ValueError("files of given names need a mounted folder")
+
+    def put(rows) -> None:
+        for rel_path, content in rows:
+            path = f"{base}/{rel_path}"
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            aside = f"{os.path.dirname(path)}/.{uuid.uuid4().hex}.part"
+            with open(aside, "wb") as f:
+                f.write((content or "").encode())
+            os.replace(aside, path)
+
+    files.select("rel_path", "content").foreachPartition(put)
+
+
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], keep: list[str] = ()) -> DataFrame:
     """IO8: rows of updates replace those of target with equal keys or join them; columns in keep stay as target has them."""
     u = updates.select(*[F.col(k).alias(k) for k in keys], F.struct(*updates.columns).alias("_u"))

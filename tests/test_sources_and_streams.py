@@ -24,6 +24,14 @@ def test_scan_notes(spark, tmp_path):
     assert got == {"note1.md": (1, "# one"), "sub/note2.MD": (1, "two")}
 
 
+def test_files_of_given_names(spark, tmp_path):
+    (tmp_path / "mine.md").write_text("stay")
+    files = spark.createDataFrame([("a/b.md", "one"), ("c.md", None), ("a/b2.md", "é\n")], "rel_path string, content string")
+    for _ in range(2):  # a second run writes the same
+        S.write_files(files, f"file:{tmp_path}")
+    assert {str(p.relative_to(tmp_path)): p.read_text() for p in tmp_path.rglob("*") if p.is_file()} == {"mine.md": "stay", "a/b.md": "one", "c.md": "", "a/b2.md": "é\n"}
+
+
 def test_archives(spark):
     def pack(files):
         b = io.BytesIO()
