@@ -17,6 +17,7 @@ HIDDEN, DIM = 8, 8
 WORD_BITS, CHAR_BITS = 14, 13
 SAMPLE = 1500  # labelled documents of each class that are learned from at most
 SAMPLE_BYTES = 8_000_000  # of their texts that are learned from at most, in the order of the draw
+STEPS, MOST_STEPS = 40, 2000  # of training: in a round at least, and in all
 PART = 1_000_000  # bytes scored at once
 CUT = 0.3
 
@@ -181,11 +182,13 @@ def _take(t: Tokens, at: np.ndarray, mask: np.ndarray) -> tuple[Tokens, np.ndarr
     return part, new
 
 
-def train(texts: list[str], toxic: list[int], rounds: int = 2, epochs: int = 2, batch: int = 128, rate: float = 0.01, seed: int = 3) -> Network | None:
+def train(texts: list[str], toxic: list[int], steps: int = STEPS, patience: int = 3, batch: int = 128, rate: float = 0.01, seed: int = 3) -> Network | None:
     """A network fitted to labelled texts; None if a class is missing.
 
     A label holds for a text, not for each window: a toxic text teaches by its few windows that look most toxic so far (at
-    first by how much likelier their trigrams' documents are toxic), a clean one by those and by random ones.
+    first by how much likelier their trigrams' documents are toxic), a clean one by those and by random ones. A fifth of the
+    texts of each class is held back: rounds of some `steps` steps go on until its loss has not fallen for `patience` rounds,
+    and the network with the least is taken. The same texts set the line from logits to scores.
     """
     y = np.asarray(toxic)
     if not len(y) or y.min() == y.max():
@@ -193,24 +196,32 @@ def train(texts: list[str], toxic: list[int], rounds: int = 2, epochs: int = 2,
     rng = np.random.default_rng(seed)
     t = Tokens.joined(texts)
     doc, at, mask = t.windows()
+    back = np.zeros(len(y), bool)
+    for c in (0, 1):
+        of = rng.permutation(np.flatnonzero(y == c))
+        back[of[: len(of) // 5]] = True
     owner = np.repeat(np.arange(len(y)), np.diff(t.cuts))
     df = np.zeros((2, 1 << CHAR_BITS))
     pairs = np.unique(np.repeat(owner, t.length) << CHAR_BITS | t.char)
+    pairs = pairs[~back[pairs >> CHAR_BITS]]
     np.add.at(df, (y[pairs >> CHAR_BITS], pairs & (1 << CHAR_BITS) - 1), 1)
-    odds = np.log((df[1] + 1) / (y.sum() + 2)) - np.log((df[0] + 1) / ((1 - y).sum() + 2))
+    learn = y[~back]
+    odds = np.log((df[1] + 1) / (learn.sum() + 2)) - np.log((df[0] + 1) / ((1 - learn).sum() + 2))
     word = np.add.reduceat(odds[t.char], t.first) / np.sqrt(t.length) if len(t.word) else np.zeros(1)
     value = np.where(mask, word[at], -np.inf).max(axis=1)
     net = Network(seed)
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
-    step = 0
-    for round_ in range(rounds):
+    step, kept, stale = 0, None, 0
+    judged = back if back.any() else ~back
+    while stale < patience and step < MOST_STEPS:
         order = np.lexsort((-value, doc))
         rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
         top = order[rank < 2]
-        some = rng.permutation(np.flatnonzero(y[doc] == 0))[: len(y)]
-        chosen = np.unique(np.concatenate([top, some]))
-        for _ in range(epochs):
+        some = rng.permutation(np.flatnonzero((y[doc] == 0) & ~back[doc]))[: len(learn)]
+        chosen = np.unique(np.concatenate([top[~back[doc[top]]], some]))
+        end = step + max(steps, 2 * -(-len(chosen) // batch))
+        while step < end:
             for part in np.array_split(rng.permutation(chosen), max(1, len(chosen) // batch)):
                 words, places = _take(t, at[part], mask[part])
                 _, g = net.gradients(words, places, mask[part], y[doc[part]], (rng.random(len(words.word)) < 0.5).astype(np.float32))
@@ -221,15 +232,35 @@ def train(texts: list[str], toxic: list[int], rounds: int = 2, epochs: int = 2,
                     net.p[k] = (net.p[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
         x = net.inputs(t)
         value = np.concatenate([net.forward(x, at[i : i + 8192], mask[i : i + 8192])[0] for i in range(0, len(doc), 8192)])
-    best = np.full(len(y), -np.inf)
-    np.maximum.at(best, doc, value)
-    for _ in range(500):  # the scores of whole texts: a logistic line through the labels, clean texts weighing nine times toxic ones
-        p = _sigmoid(net.scale * best + net.shift)
-        e = (p - y) * np.where(y > 0, 0.1 / y.sum(), 0.9 / (1 - y).sum())
-        net.scale, net.shift = float(net.scale - 0.5 * (e * best).sum()), float(net.shift - 0.5 * e.sum())
+        best = np.full(len(y), -np.inf)
+        np.maximum.at(best, doc, value)
+        net.scale, net.shift = _line(best, y)
+        loss = _losses(net.scale * best + net.shift, y)
+        loss = (loss * judged * np.where(y > 0, 0.5 / (y * judged).sum(), 0.5 / ((1 - y) * judged).sum())).sum()
+        if kept is None or loss < kept[0] - 1e-3:
+            kept, stale = (loss, {k: v.copy() for k, v in net.p.items()}, best), 0
+        else:
+            stale += 1
+    _, net.p, best = kept
+    net.scale, net.shift = _line(best[judged], y[judged])
     return net
 
 
+def _losses(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.logaddexp(0, np.where(y > 0, -z, z))
+
+
+def _line(best: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """The scores of whole texts: a logistic line through the labels, clean texts weighing some six times toxic ones."""
+    scale, shift, weight = 1.0, 0.0, np.where(y > 0, 0.15 / y.sum(), 0.85 / (1 - y).sum())
+    mean, size = best.mean(), best.std() + 1e-6
+    z = (best - mean) / size
+    for _ in range(500):
+        e = (_sigmoid(scale * z + shift) - y) * weight
+        scale, shift = float(scale - 0.5 * ((e * z).sum() + 0.01 * scale)), float(shift - 0.5 * e.sum())
+    return scale / size, shift - scale * mean / size
+
+
 def _remainder(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4
 
@@ -237,8 +268,8 @@ def _remainder(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = SAMPLE_BYTES) -> Network | None:
     """The network of docs(doc_id, text) and labels(doc_id, toxic), from rows whose crc32(doc_id) mod 4 is not 2.
 
-    A seeded draw of at most `sample` documents a class is learned from, whole texts of any length, until they make up `size`
-    bytes: what the driver holds is bounded.
+    A seeded draw of at most `sample` documents a class is learned from, whole texts, until they make up `size` bytes: what the
+    driver holds is bounded. A text of over a twentieth of that teaches nothing and takes no room from the others.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_y")).where(_remainder(F.col("_id")) != 2)
     known = known.groupBy("_id").agg(F.max("_y").alias("_y"))
@@ -247,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = SA
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, F.col("doc_id") == F.col("_id"))
     # sizes first: of at most 2 * sample rows, which of them fit
     order = [F.xxhash64("_id"), F.xxhash64("text"), F.col("_id")]
-    sizes = rows.select("_id", *[c.alias(f"o{i}") for i, c in enumerate(order[:2])], F.octet_length("text").alias("n")).orderBy("o0", "o1", "_id").limit(2 * sample)
+    sizes = rows.select("_id", *[c.alias(f"o{i}") for i, c in enumerate(order[:2])], F.octet_length("text").alias("n")).where(F.col("n") <= size // 20).orderBy("o0", "o1", "_id").limit(2 * sample)
     total = F.sum("n").over(Window.orderBy("o0", "o1", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     fits = F.broadcast(sizes.withColumn("total", total).where(F.col("total") <= size).select("_id", "o1").distinct())
     rows = rows.withColumn("o1", order[1]).join(fits, ["_id", "o1"])

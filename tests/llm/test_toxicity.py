@@ -5,7 +5,9 @@ import zlib
 
 import numpy as np
 
-from cardspark.llm import toxicity
+from pyspark.sql import functions as F
+
+from cardspark.llm import queries, toxicity
 
 from .fixtures import documents, empty, frame, same
 
@@ -25,6 +27,23 @@ def corpus(n, seed=0):
     return rows
 
 
+def plain_logit(p, w, h, sig):
+    """One window through both directions and the attention, a word at a time."""
+    states = [[], []]
+    for k, (d, words) in enumerate((("f", w), ("b", w[::-1]))):
+        s = np.zeros(h)
+        for x in words:
+            a, u = x @ p[f"x{d}"] + p[f"c{d}"], s @ p[f"h{d}"]
+            z, r = sig(a[:h] + u[:h]), sig(a[h : 2 * h] + u[h : 2 * h])
+            s = (1 - z) * np.tanh(a[2 * h :] + r * u[2 * h :]) + z * s
+            states[k].append(s)
+    both = [np.concatenate(x) for x in zip(states[0], states[1][::-1])]
+    if not both:
+        return float(p["bias"][0])
+    e = np.exp(np.array([x @ p["att"] for x in both]) - max(x @ p["att"] for x in both))
+    return float(sum(a * x for a, x in zip(e / e.sum(), both)) @ p["out"] + p["bias"][0])
+
+
 def test_gradients_are_those_of_differences():
     net = toxicity.Network()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
@@ -76,6 +95,39 @@ def test_held_out_accuracy(spark):
     assert all(got[i].predicted == int(got[i].score >= 0.3) for i in got)
 
 
+def test_one_long_text_takes_no_room(spark):
+    """A labelled text that is too long to learn from, first in the draw or not, changes nothing for the others."""
+    rows = corpus(200)
+    frames = [spark.createDataFrame([(i, "long " * 10_000 if i in long else t) for i, t, _ in rows], "doc_id long, text string") for long in (range(0, 200, 40), ())]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    kept = labels.where(~F.col("doc_id").isin(list(range(0, 200, 40))))
+    a, b = toxicity.fit(frames[0], labels, size=400_000), toxicity.fit(frames[1], kept, size=400_000)
+    assert a is not None and all((a.p[k] == b.p[k]).all() for k in a.p) and (a.scale, a.shift) == (b.scale, b.shift)
+
+
+def test_scores_are_those_of_a_plain_forward_pass():
+    """Each text's score against a network written out word by word, over all windows."""
+    net = toxicity.train([t for _, t, _ in corpus(60)], [y for *_, y in corpus(60)], steps=5)
+    p, h = net.p, toxicity.HIDDEN
+    sig = lambda z: 1 / (1 + np.exp(-z))
+    texts = ["", None, "one", "w1 w2 " * 40, corpus(3)[1][1], corpus(3)[0][1]]
+    for text, got in zip(texts, net.scores(texts), strict=True):
+        t, best = toxicity.Tokens([text]), -np.inf
+        x = [np.concatenate([p["word"][t.word[i]], p["char"][t.char[t.first[i] : t.first[i] + t.length[i]]].mean(axis=0)]) for i in range(len(t.word))]
+        for a in range(0, max(1, len(x) - toxicity.SPAN + toxicity.STEP), toxicity.STEP):
+            w = x[a : a + toxicity.SPAN]
+            best = max(best, plain_logit(p, w, h, sig))
+        assert abs(sig(net.scale * best + net.shift) - got) < 1e-4, text
+
+
+def test_held_out_documents_of_the_given_tables(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    rows = queries.op4_toxicity(spark, d).join(labels.where("toxic in (0, 1)").select("doc_id", "toxic"), "doc_id").where("held_out").collect()
+    assert docs.count() == 1000
+    assert np.mean([r.predicted for r in rows if r.toxic]) >= 0.5 and np.mean([r.predicted for r in rows if not r.toxic]) <= 0.05
+
+
 def test_awkward_rows(spark):
     rows = documents()
     labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, toxic int")
