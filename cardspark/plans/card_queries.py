@@ -8,7 +8,7 @@ from ..operators import cards as C
 from ..operators import text as T
 from ..sources import io
 from .tables import read, using
-from .text_queries import S, trim
+from .text_queries import _NAME, S, trim
 
 QUERIES, ORACLES = {}, {}
 _PRI = "case type " + " ".join(f"when '{t}' then {i}" for i, t in enumerate(C.TYPE_ORDER)) + " else 9 end"
@@ -69,7 +69,14 @@ def d1_dedup_titles(spark, d):
     return C.dedup_titles(read(spark, d, "cards")).select("card_id")
 
 
-@query()
+@query("with recursive " + using("cards").removeprefix("with ") + """, k as (select project_id, card_id, list_distinct(regexp_extract_all(lower(title || summary), '[a-z0-9]{2,}')) as k from cards),
+  w as (select project_id, card_id, len(k) as n, unnest(k) as w from k),
+  p as (select a.card_id as late, b.card_id as early from w a join w b on a.project_id = b.project_id and a.w = b.w and b.card_id < a.card_id group by a.card_id, b.card_id, a.n, b.n having count(*) / least(a.n, b.n) > 0.65),
+  e as (select late, list(early) as before from p group by late),
+  o as (select project_id, card_id, coalesce(before, cast([] as bigint[])) as before, row_number() over (partition by project_id order by card_id) as rn from cards left join e on late = card_id),
+  r as (select distinct project_id, cast(0 as bigint) as rn, cast(null as bigint) as card_id, cast([] as bigint[]) as kept, false as stays from o
+    union all select o.project_id, o.rn, o.card_id, case when list_has_any(r.kept, o.before) then r.kept else list_append(r.kept, o.card_id) end, not list_has_any(r.kept, o.before) from r join o on o.project_id = r.project_id and o.rn = r.rn + 1)
+  select card_id, project_id from r where stays""")
 def d2_dedup_cards(spark, d):
     return C.dedup_cards(read(spark, d, "cards")).select("card_id", "project_id")
 
@@ -173,10 +180,19 @@ def k8_index_note(spark, d):
     return C.index_note(rows, read(spark, d, "projects"))
 
 
-@query()
+_TAKEN = "case when card_id % 4 = 0 then 'Note' when card_id % 4 = 1 then 'note ' || (2 + card_id % 3) else t end"
+
+
+@query("with recursive " + using("cards").removeprefix("with ") + f""", n as (select project_id, card_id, coalesce(nullif({_NAME}, ''), '卡片') as name from (select project_id, card_id, {_TAKEN} as t from (select *, title as t from cards))),
+  o as (select *, lower(name) as low, row_number() over (partition by project_id order by card_id) as rn from n),
+  r as (select distinct project_id, cast(0 as bigint) as rn, cast(null as bigint) as card_id, cast(null as varchar) as filename, cast([] as varchar[]) as used from o
+    union all select project_id, rn, card_id, name || suffix, list_append(used, low || suffix) from (select o.project_id, o.rn, o.card_id, o.name, o.low, r.used,
+      case when list_contains(r.used, o.low) then ' ' || list_filter(range(2, len(r.used) + 3), lambda k: not list_contains(r.used, o.low || ' ' || k))[1] else '' end as suffix from r join o on o.project_id = r.project_id and o.rn = r.rn + 1))
+  select project_id, card_id, filename from r where rn > 0""")
 def w8_unique_filenames(spark, d):
-    rows = C.select_export(read(spark, d, "cards")).withColumn("name", T.safe_filename(F.col("title")))
-    return C.unique_filenames(rows)
+    """All cards of each project, many of which have one name, and some the names that those get."""
+    rows = read(spark, d, "cards").withColumn("t", F.col("title"))
+    return C.unique_filenames(rows.select("project_id", "card_id", F.col("card_id").alias("place"), T.safe_filename(F.expr(_TAKEN)).alias("name")))
 
 
 @query(using("notes") + ", p as (select * from materials where id % 4 <> 0) select n.id, case when p.id is null then 'new' when p.source_mtime is null or floor(n.mtime_ms / 1000) > p.source_mtime then 'changed' else 'unchanged' end as status from notes n left join p on p.project_id = n.project_id and p.source_ref = n.source_ref")
@@ -243,7 +259,10 @@ def u6_backfill_category(spark, d):
     return C.backfill_category(read(spark, d, "materials")).select("id", "category")
 
 
-@query()
+_ISSUES = "concat_ws('; ', case when coalesce(length(title), 0) between 2 and 100 then null else 'title: 2 to 100 characters' end, case when length(summary) <= 300 then null else 'summary: 0 to 300 characters' end, case when coalesce(length(details), 0) between 10 and 2000 then null else 'details: 10 to 2000 characters' end)"
+
+
+@query(using("cards") + f", a as (select *, {_ISSUES} as issues from cards) select card_id as request_id, 0 as seq, case when issues = '' then title end as title, case when issues = '' then type end as type, issues from a union all select card_id, 1, null, null, 'title: 2 to 100 characters; details: 10 to 2000 characters' from a")
 def t12_parse_cards(spark, d):
     body = F.concat(F.lit("<think>x</think>```json\n["), F.to_json(F.struct("title", "summary", "details", "tags", "type", "confidence")), F.lit(",{\"title\": 1}"), F.when(F.col("card_id") % 3 == 0, ",{\"tit").otherwise("]"))
     return C.parse_cards(read(spark, d, "cards").select(F.col("card_id").alias("request_id"), "project_id", body.alias("raw"))).select("request_id", "seq", "card.title", "card.type", F.array_join("issues", "; ").alias("issues"))

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import regexes as R
 from ..operators import notes, review
 from ..operators import retrieval as Re
 from ..operators import text as T
@@ -159,12 +160,17 @@ def st7_review_cards(spark, d):
     return last.unionByName(rest)
 
 
-@query()
+@query(rf"""select doc_id, 'N ' || doc_id as title, 'a,b,' || lang as tags, {trim(r"'# N ' || doc_id || chr(10) || '标签：a、b、' || lang || chr(10) || chr(10) || '# H' || chr(10) || chr(10) || 'Call' || chr(10) || ' b t h' || chr(10) || '- ' || regexp_replace(regexp_replace(text, '(?s)%%.*?%%', '', 'g'), '\n\n\n+', chr(10) || chr(10), 'g')")} as text from documents""")
 def t7_clean_note(spark, d):
     raw = F.concat(F.lit("---\ntitle: 'N "), F.col("doc_id"), F.lit("'\ntags: [a, #b, "), F.col("lang"), F.lit("]\n---\n# H\n\n> [!note] Call\n> ![[x]] [[a|b]] [t](u_(v)) ==h==\n- [ ] "), F.col("text"))
     return notes.import_notes(read(spark, d, "documents").select("doc_id", raw.alias("raw"))).select("doc_id", "title", F.array_join("tags", ",").alias("tags"), "text")
 
 
-@query()
+_MARKS = notes.YAML_MARKS.replace("'", "''")
+_YAML = lambda x: f"case when {x} = '' or translate({x}, '{_MARKS}', '') <> {x} or regexp_matches({x}, '^[?-]|^{R.SPACE}|{R.SPACE}$') then cast(to_json({x}) as varchar) else {x} end"
+
+
+@query(using("cards") + f"""select card_id, array_to_string(['---', 'title: ' || {_YAML('title')}, 'type: ' || type, 'important: ' || is_important, 'verified: ' || user_verified, 'project: ' || {_YAML('project_id')}, 'tags:',
+  '  - cards', '  - ' || type, '  - ' || {_YAML('tags[1]')}, '  - ' || {_YAML('tags[2]')}, 'generated_by: cardspark', 'card_id: ' || card_id, '---', '', '# ' || title, '', '> [!question] ' || summary, '', {trim('details')}, ''], chr(10)) as content from cards""")
 def t24_note_markdown(spark, d):
     return notes.note_markdown(read(spark, d, "cards").withColumn("project", F.col("project_id")), "cards", "cardspark")
