@@ -309,6 +309,12 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row of docs, by a network fitted to the labels."""
+    """docs(doc_id, text, ...), labels(doc_id, toxic) -> doc_id, held_out, score, predicted; a row per row of docs.
+
+    Null and empty texts are scored as an empty window; all windows of a text, of any length, are made at once, with some 40
+    bytes a word. Of labels only 0 and 1 of rows with a doc_id count; of several for one doc_id, 1. Without labels of both
+    classes all scores are 0. Rows with a null doc_id are held out or not as an empty id is. Equal texts get equal scores, no
+    rows give none, other columns are not read.
+    """
     rows = score(docs, fit(docs, labels, sample))
     return rows.select("doc_id", (_remainder(F.col("doc_id")) == 2).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
