@@ -2,8 +2,8 @@
 
 Documents are counted in chunks. A chunk sends each bucket (a range of hashes) one packed list of the distinct words and word
 pairs it has there, with their training counts; the bucket adds up, and answers every chunk with the totals in the chunk's
-order. So a shuffle moves some six bytes a distinct n-gram of a chunk, not a row a token. Tables of the model are the
-buckets' totals, stored in the shared folder by bucket. With the totals a chunk scores its tokens: a seen pair by its
+order. So a shuffle moves some six bytes a distinct n-gram of a chunk, not a row a token. The buckets' totals are kept as
+these answers, in the shared folder, not as a table from which a text that was not counted could be scored. With them a chunk scores its tokens: a seen pair by its
 discounted count, an unseen one by its context's backoff weight times the word's own probability; the weights of contexts
 that unseen pairs need are summed from all buckets' pairs.
 """
@@ -142,7 +142,7 @@ _ANSWERED = "chunk bigint, sum binary, bucket bigint, wn binary, wa binary, pn b
 
 
 def _answer(t: pa.Table) -> pa.Table:
-    """The totals of one bucket, to each chunk in its order; row chunk -1 holds the bucket's table for the model."""
+    """The totals of one bucket, to each chunk in its order. A bucket is one group, held whole by its task."""
     t = t.sort_by("chunk")
     w, p = [unpack_sorted(x) for x in t.column("w").to_pylist()], [unpack_sorted(x) for x in t.column("p").to_pylist()]
     wn, pn = [np.concatenate([unpack(x, np.uint32) for x in t.column(c).to_pylist()]) for c in ("wn", "pn")]

@@ -15,6 +15,8 @@ def drop_common_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -
     min_docs documents or more lose all their lines, except in the largest doc_id that holds them; the rest is joined by \\n.
     Null and empty texts are one empty line. Rows that share a doc_id are one document; a null doc_id counts as one
     document smaller than all. Equal rows get equal results; other columns pass through; no rows give no rows.
+    Whole texts of any length: a line is a row, and a text's lines come together in one row again. Of equal keys in one
+    document all lines count as one occurrence, and stay or go together.
     Keys are held as two 64-bit hashes. Distinct documents are counted by (key, document), so one common key spreads.
     """
     base = docs.select(F.struct(*docs.columns).alias("row"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("h"))
