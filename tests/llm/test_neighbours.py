@@ -84,3 +84,37 @@ def test_doubles_and_lengths(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [(r.query_id, r.vec_id, r.score) for r in neighbours.nearest(df, df.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()]
     assert got == [(0, 3, 1 + 2 * tiny), (0, 1, 1 + tiny), (0, 2, 1.0), (20, 22, 1e300), (20, 21, 5.0)]
+
+
+def test_joint_buckets_select():
+    """Probes go by the sum of projections, and the share of all vectors that they look at falls as these become more."""
+    shares, rng = [], np.random.default_rng(1)
+    for n in (1000, 10_000, 100_000):
+        x = rng.normal(size=(n, 32))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        s = x[:40] @ x.T
+        s[np.arange(40), np.arange(40)] = -2
+        top = np.argsort(-s, axis=1)[:, :20]
+        polytopes, probes = neighbours.fit(x[:40], np.repeat(np.arange(40), 20), x[top.ravel()], n)
+        seen = np.zeros((40, n), bool)
+        for t in range(neighbours.TABLES):
+            at, want = neighbours.codes(x, t, polytopes), neighbours.probed(x[:40], t, polytopes, probes)
+            assert all(len(set(w)) == len(w) for w in want.tolist()) and (want[:, 0] == at[:40]).all()
+            for i in range(40):
+                seen[i] |= np.isin(at, want[i])
+        assert np.take_along_axis(seen, top, 1).mean() >= 0.9
+        shares.append(seen.mean())
+    print(shares)
+    assert shares[0] > 1.3 * shares[1] and shares[1] > 1.3 * shares[2] and shares[2] < 0.15
+
+
+def test_probes_against_all_joint_buckets():
+    """The best sums of three polytopes, against all of them listed."""
+    x = np.random.default_rng(2).normal(size=(5, 8))
+    polytopes = neighbours.layout(10, 8)
+    assert polytopes == [4, 4, 2]
+    a, b, c = neighbours._sides(x, 3, polytopes)
+    sums = (a[:, :, None, None] + b[:, None, :, None] + c[:, None, None, :]).reshape(5, -1)
+    got = neighbours.probed(x, 3, polytopes, 100)
+    assert all(len(set(row)) == 100 for row in got.tolist())
+    assert np.allclose(np.take_along_axis(sums, got, 1), -np.sort(-sums, axis=1)[:, :100])
