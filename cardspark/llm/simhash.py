@@ -10,6 +10,7 @@ accumulated differences exceed the limit. (`meet` searches the same trees below
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ from . import rolling
 from .common import ascii_lower, let, stash, words
 
 NODE = 512  # fingerprints below one upper node, about
-MOST = 8192  # of one that is not cut further
+MOST = 16384  # of one that is not cut further, visitors from other nodes counted
 CUT = 4  # further bits by which a larger one is cut
 LEAF, FAN = 8, 8
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -254,27 +255,38 @@ def _down(rows: DataFrame, depth: int, cut: int, near: int) -> DataFrame:
     return rows.select(F.shiftleft("p", cut).bitwiseOR(turned).alias("p"), (F.col("used") + F.col("flip.k")).alias("used"), "id", "f0")
 
 
-def links(prints: DataFrame, near: int, node: int = NODE, most: int = MOST) -> DataFrame:
-    """prints(f0, id), one row per fingerprint -> edges (a, b) that connect whatever is at `near` differing bits or fewer.
+def _nodes(prints: DataFrame, near: int, node: int, most: int) -> list[DataFrame]:
+    """prints(f0, id) -> by depth of cut, the rows (id, f0, own) of each node that has fingerprints of its own, as one list.
 
-    The upper nodes are as deep as gives some `node` fingerprints each; those of over `most` are cut further, at last to single
-    fingerprints. No link is lost. A node's pairs stay in its task: it returns at most one edge a fingerprint or visitor.
+    The upper nodes are as deep as gives some `node` fingerprints each, and half of `most` with those that visit. A node whose own
+    and visiting rows are over `most` is cut further, both sides alike, at last to a single fingerprint, which no more than the
+    fingerprints within `near` bits of it can visit.
     """
-    depth = min(60, max(0, math.ceil(math.log2(max(1, prints.count()) / node))))
+    count = max(1, prints.count())
+    visits = lambda d: sum(math.comb(d, k) for k in range(near + 1)) / 2
+    depth = next((d for d in range(60) if count <= node << d and count * max(1, visits(d)) <= (most << d) / 2), 60)
     rows = prints.select(F.lit(0).cast("long").alias("p"), F.lit(0).alias("used"), "id", "f0")
-    rows, at, done = _down(rows, 0, depth, near) if depth else rows, depth, None
+    rows, at, done = _down(rows, 0, depth, near) if depth else rows, depth, []
     own = (F.col("used") == 0).cast("int")  # the last step of two patterns alike: the node's own fingerprint
     while True:
-        sizes = rows.groupBy("p").agg(F.sum(own).alias("n"))
-        crowded = stash(sizes.where(F.col("n") > most).select("p"))
-        part = rows.groupBy("p").agg(F.collect_list(F.struct("id", "f0", own.alias("own"))).alias("rows"), F.sum(own).alias("n")).where((F.col("n") > 0) & (F.size("rows") > 1) & (F.col("n") <= most))
-        done = part if done is None else done.unionByName(part)
+        sizes = stash(rows.groupBy("p").agg(F.sum(own).alias("n"), F.count("*").alias("all")).where((F.col("n") > 0) & (F.col("all") > 1)).select("p", "all"))
+        fits = sizes.where((F.col("all") <= most) | F.lit(at >= 64)).select("p")
+        done.append(rows.join(fits, "p").groupBy("p").agg(F.collect_list(F.struct("id", "f0", own.alias("own"))).alias("rows")).select("rows"))
+        crowded = sizes.where(F.col("all") > most).select("p")
         if at >= 64 or crowded.isEmpty():
-            break
+            return done
         cut = min(CUT, 64 - at)
         rows = stash(_down(rows.join(crowded, "p"), at, cut, near))
         at += cut
 
+
+def links(prints: DataFrame, near: int, node: int = NODE, most: int = MOST) -> DataFrame:
+    """prints(f0, id), one row per fingerprint -> edges (a, b) that connect whatever is at `near` differing bits or fewer.
+
+    No link is lost. A node's pairs stay in its task: it returns at most one edge a fingerprint or visitor.
+    """
+    done = functools.reduce(DataFrame.unionByName, _nodes(prints, near, node, most))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = batch.column(0)
@@ -294,7 +306,7 @@ def links(prints: DataFrame, near: int, node: int = NODE, most: int = MOST) -> D
                 b.append(child)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    return done.select("rows").mapInArrow(run, "a bigint, b bigint")
+    return done.mapInArrow(run, "a bigint, b bigint")
 
 
 def _small_pairs(cuts: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -308,7 +320,7 @@ def _small_pairs(cuts: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.n
             yield (at + i).ravel(), (at + j).ravel(), np.repeat(some, len(i))
 
 
-def meet(prints: DataFrame, width: int, near: int, far: int, masks: list[int], node: int = MOST) -> DataFrame:
+def meet(prints: DataFrame, width: int, near: int, far: int, masks: list[int], node: int = 8192) -> DataFrame:
     """prints(f0.., id) -> edges (a, b) that connect whatever differs in `far` bits at most, in `near` bits of the word that a
     mask is of, and agrees under that mask; mask k is of word k % width. A node's pairs stay in its task: it returns at most
     one edge a fingerprint. A node over `node` fingerprints is dealt out in blocks that lose no pair."""

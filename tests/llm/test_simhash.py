@@ -179,3 +179,25 @@ def test_components_raise_where_they_are_not_settled(spark):
     assert {r.root for r in simhash.components(df).collect()} == {0}
     with pytest.raises(RuntimeError):
         simhash.components(df, 1)
+
+
+def test_visitors_count_in_a_crowded_node(spark):
+    """One fingerprint two nodes before a run of very many: its visitors are cut with it, and no link is lost."""
+    rng = np.random.default_rng(9)
+    base = 0b11 << 62
+    many = {base | int(x) for x in rng.integers(0, 1 << 40, 6000, dtype=np.uint64)}
+    lone = [(min(many) ^ (1 << 62)), (max(many) ^ (1 << 63) ^ 1)]
+    f = [*sorted(many), *(x for x in lone if x not in many)]
+    df = spark.createDataFrame([(simhash._signed(x), i) for i, x in enumerate(f)], "f0 long, id long")
+    most = 2500  # over the 2,081 that can be within two bits of one
+    sizes = [r.n for d in simhash._nodes(df, 2, 512, most) for r in d.selectExpr("size(rows) n").collect()]
+    assert sizes and max(sizes) <= most
+    edges = [(r.a, r.b) for r in simhash.links(df, 2, 512, most).collect()]
+    a = np.array(f, np.uint64)
+    want_a, want_b = [], []
+    for i in range(len(a)):
+        near = np.flatnonzero(np.bitwise_count(a[i] ^ a[i + 1 :]) <= 2) + i + 1
+        want_a += [i] * len(near)
+        want_b += near.tolist()
+    label = lambda x, y: simhash.spanning(len(f), np.array(x, int), np.array(y, int)).tolist()
+    assert label(*zip(*edges)) == label(want_a, want_b) and len(want_a) >= 2
