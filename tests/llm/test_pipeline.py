@@ -134,3 +134,21 @@ def test_bpe_stage(stages):
         ids = np.array(t.encode(r[1], add_special_tokens=False).ids, "<u4").tobytes()
         want.append((r[0], len(ids) // 4, ids, hashlib.sha256(ids).hexdigest(), hashlib.sha256(r[1].encode()).hexdigest()))
     assert sorted((a, b, bytes(c), d, e) for a, b, c, d, e in stages[5]) == sorted(want)
+
+
+def test_stages_keep_clashing_columns_and_take_empty_tables(spark, tmp_path):
+    """Columns named as the operators' own come out as they went in; empty documents and labels give no error."""
+    names = ["_n", "_q", "_lines", "_copy", "_taken", "n", "copy", "rest"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names)
+    kept = [r for r in corpus() if r[0] < 60 or r[0] in (401, 402)]
+    full = spark.createDataFrame([(*r, *[f"{c}{r[0]}" for c in names]) for r in kept], schema)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        got = stage(spark, full, str(tmp_path))
+        assert got.columns == full.columns, name
+        rows = got.collect()
+        assert len({r.doc_id for r in rows}) > 10 and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in names), name
+        assert stage(spark, full.limit(0), str(tmp_path)).count() == 0, name
+        if k == 1:
+            assert [(r.text, r.n_chars) for r in rows if r.doc_id == 401] == [(None, 0)]
+    assert corpus_pipeline.STAGES[4][1](spark, full.limit(0), str(tmp_path)).count() == 0
