@@ -13,7 +13,7 @@ from ..operators import text as T
 from ..operators.card_index import CardIndex
 from ..sources.shared import shared_dir, written
 from ..streaming import jobs, state
-from .tables import read, using
+from .tables import epoch_ms, read, using
 from .text_queries import _POST, session_sql, trim
 
 QUERIES, ORACLES = {}, {}
@@ -80,7 +80,7 @@ _LIMIT = "select a.user_id as k, a.event_id as seq, count(*) as n, count(*) <= 3
 
 @query(_LIMIT)
 def st3_stream_rate_limit(spark, d):
-    rows = _stream(spark, d, "events").select("ts", F.col("user_id").alias("k"), F.col("event_id").alias("seq"), F.unix_millis("ts").alias("ms"), F.lit(3).alias("most"), F.lit(86_400_000).alias("window_ms"))
+    rows = _stream(spark, d, "events").select("ts", F.col("user_id").alias("k"), F.col("event_id").alias("seq"), F.expr(epoch_ms("ts")).alias("ms"), F.lit(3).alias("most"), F.lit(86_400_000).alias("window_ms"))
     return jobs.run_once(state.fold_stream(rows, "k", state.Limiter, "1 day"))
 
 
@@ -150,7 +150,7 @@ _FSRS = f"""with recursive o as (select k, ms, cast(id % 6 as int) as g, row_num
 @query(_FSRS.replace("{hits}", "select user_id as k, event_id as id, epoch_ms(ts) as ms from events"))
 def st7_review_cards(spark, d):
     """The earlier half of the reviews as a table, the later half as a stream that goes on from it."""
-    columns = [F.col("user_id").alias("card_id"), F.unix_millis("ts").alias("ms"), F.col("event_id").alias("seq"), F.expr("cast(event_id % 6 as int)").alias("rating"), "ts"]
+    columns = [F.col("user_id").alias("card_id"), F.expr(epoch_ms("ts")).alias("ms"), F.col("event_id").alias("seq"), F.expr("cast(event_id % 6 as int)").alias("rating"), "ts"]
     rows = read(spark, d, "events").select(*columns)
     half = rows.agg(F.expr("timestamp_millis(cast((min(ms) + max(ms)) / 2 as bigint))")).first()[0]
     known = written(review.review_cards(rows.where(F.col("ts") < half), digits=15))
