@@ -30,9 +30,9 @@ def query(oracle: str | None = None):
 
 
 def _stream(spark, d, name):
-    """A given table as a stream of its files."""
+    """A given table, a file or a folder of files, as a stream. A plain path would have to be a folder; a pattern may match either."""
     schema = spark.read.parquet(f"{d}/{name}.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    rows = spark.readStream.schema(schema).parquet(f"{d}/{{{name}}}.parquet")
     return rows.withColumn("ts", F.col("ts").cast("timestamp")) if name == "events" else rows
 
 
