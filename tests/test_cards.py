@@ -79,6 +79,24 @@ def test_dedup_cards_follows_a_long_chain(spark, parts):
     assert got == {i for i, _ in kept} | {300}
 
 
+def test_overlapping_pairs_meet_by_blocks_not_by_common_words(spark):
+    """Cards that share common words only: what moves grows with cards and blocks, not with pairs; blocks of any size find the same pairs."""
+    rng = random.Random(5)
+    sets = [sorted({f"c{k}" for k in rng.sample(range(30), 9)} | {f"r{i // 2}x{k}" for k in range(20 if i % 100 < 2 else 6)}) for i in range(600)]
+    df = spark.createDataFrame([(i % 3 // 2, i, k) for i, k in enumerate(sets)], "project_id int, o long, k array<string>")
+    want = {(i, j) for j in range(600) for i in range(j) if i % 3 // 2 == j % 3 // 2 and len({*sets[i]} & {*sets[j]}) / min(len(sets[i]), len(sets[j])) > 0.65}
+    for block in (8192, 100):
+        pairs = C.overlapping_pairs(df, block=block)
+        got = [(r.early, r.late) for r in pairs.collect()]
+        assert len(got) == len(want) and set(got) == want and want
+
+
+def test_dedup_cards_keeps_the_first_of_many_copies(spark):
+    rows = [(i, "p", "one two three four", "five six") for i in range(2000)] + [(3000, None, "one two three four", "five six"), (3001, None, "one two three four", "five six")]
+    df = spark.createDataFrame(rows, "card_id long, project_id string, title string, summary string")
+    assert {r.card_id for r in C.dedup_cards(df).collect()} == {0, 3000, 3001}
+
+
 def test_unique_filenames(spark):
     titles = ["卡片", "卡片 2", "卡片", "A", "a", "A", "a 2"]
     df = spark.createDataFrame([(i, "p", i, t) for i, t in enumerate(titles)], "card_id int, project_id string, place int, name string")
