@@ -153,3 +153,13 @@ def test_marks_are_folded(spark):
     words = ["Élan", "naïve", "Ångström", "Ώρα", "йод", "Việt", "été", "ß", "ŁÓDŹ", "ﬁ"]
     df = spark.createDataFrame([(w,) for w in words], "w string")
     assert [r[0] for r in df.select(F.array_join(retrieval.index_tokens(F.col("w")), " ")).collect()] == ["elan", "naive", "angstrom", "ωρα", "иод", "viet", "ete", "ß", "łodz", "ﬁ"]
+
+
+def test_search_meets_blocks_where_they_are_read(spark, tmp_path):
+    """The asked tokens go to the tasks that read blocks; else the queries' one task could get all blocks and their hits."""
+    index = CardIndex(spark, f"{tmp_path}/index")
+    index.commit(1, spark.createDataFrame([card(i, f"alpha w{i}") for i in range(30)], KIND))
+    q = spark.createDataFrame([(1, ["alpha", "w3"], ["=p"])], "query_id long, tokens array<string>, scopes array<string>").coalesce(1)
+    plan = index.search(q, 5)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if re.search(r"Join Inner.*\(token#", x)]
+    assert sum("rightHint=(strategy=broadcast)" in x for x in joins) >= 3  # heads, seeds, the rest
