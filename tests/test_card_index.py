@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cardspark.operators import retrieval
-from cardspark.operators.card_index import CardIndex
+from cardspark.operators.card_index import CardIndex, card_tokens
 from cardspark.streaming import jobs
 
 KIND = "card_id long, title string, summary string, details string, tags array<string>, scope string, updated_at long, removed boolean"
@@ -163,3 +163,17 @@ def test_search_meets_blocks_where_they_are_read(spark, tmp_path):
     plan = index.search(q, 5)._jdf.queryExecution().optimizedPlan().toString()
     joins = [x for x in plan.splitlines() if re.search(r"Join Inner.*\(token#", x)]
     assert sum("rightHint=(strategy=broadcast)" in x for x in joins) >= 3  # heads, seeds, the rest
+
+
+def test_search_shuffles_no_row_a_query_and_card(spark, tmp_path):
+    """Scores are summed where a part's blocks meet the queries; whole cards, not rows a token, move when postings are made."""
+    index = CardIndex(spark, f"{tmp_path}/index")
+    index.commit(1, spark.createDataFrame([card(i, f"alpha w{i}") for i in range(30)], KIND))
+    q = spark.createDataFrame([(1, ["alpha", "w3"], ["=p"])], "query_id long, tokens array<string>, scopes array<string>")
+    plan = index.search(q, 5, scoped=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and not re.search(r"Aggregate \[query_id#\d+L?, card_id#", plan)
+    cards = spark.createDataFrame([card(1, "beta beta", details=None, tags=()), card(2, "", details="", tags=())], KIND)
+    rows = card_tokens(cards.withColumn("summary", F.lit("beta x")), "intended", ["scope"])
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = {r.card_id: (r.scope, r.len, {(x.token, x.f, x.tf) for x in r.tokens}) for r in rows.collect()}
+    assert got == {1: ("=p", 4, {("beta", 8.0, 3), ("x", 2.0, 1)}), 2: ("=p", 2, {("beta", 2.0, 1), ("x", 2.0, 1)})}
