@@ -318,8 +318,9 @@ def fold_stream(df: DataFrame, key: str, step: type[Step], watermark: str, ts: s
             end = life.now.until()
             life.now = None if end is not None and end <= mark else life.now
         else:
-            for row in pd.concat(list(parts)).sort_values(["ms", "seq"])[list(step.columns)].itertuples(index=False, name=None):
-                out += life.take(*[None if x is None or x != x else x for x in row])
+            rows = [[None if x is None or x != x else x for x in row] for part in parts for row in zip(*(part[c].tolist() for c in step.columns), strict=True)]
+            for row in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or 0)):  # ms and seq, nulls last
+                out += life.take(*row)
         if life.now is None:
             if state.exists:
                 state.remove()
@@ -330,7 +331,8 @@ def fold_stream(df: DataFrame, key: str, step: type[Step], watermark: str, ts: s
                 times += [end for end in [life.now.until()] if end is not None]
                 if times:
                     state.setTimeoutTimestamp(max(min(times), mark + 1))
-        yield pd.DataFrame([(k[0], *r) for r in out], columns=_names(schema))
+        if out:  # most keys have none when their time is over, and a frame costs as much as a key's rows
+            yield pd.DataFrame([(k[0], *r) for r in out], columns=_names(schema))
 
     timed = df.withWatermark(ts, watermark)
     return timed.groupBy(key).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.EventTimeTimeout if ends else GroupStateTimeout.NoTimeout)

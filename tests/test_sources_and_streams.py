@@ -225,3 +225,43 @@ def test_plugs(spark):
     got = {r.id: r.embedding for r in plugs.embed_passages(df, "id", "t", plugs.hashing_embedder(16), prefix="").collect()}
     assert got[2] is None and got[1] == got[3] and abs(sum(x * x for x in got[1]) - 1) < 1e-9
     assert {r.raw for r in plugs.ask(df, "id", "t", lambda ts: [t.upper() for t in ts]).collect()} == {"SOME WORDS", ""}
+
+
+def test_folds_give_no_empty_frames(spark, monkeypatch):
+    """A key without rows to give out makes no frame, and a key's rows are taken in order of ms and seq, nulls last."""
+    taken = []
+
+    class Probe(state.Step):
+        columns, output = ("ms", "seq", "text"), "seq long, text string"
+
+        def take(self, *row):
+            taken.append(row)
+            return [(row[1], row[2])] if row[2] == "x" else []
+
+    class Frame:  # what fold_stream hands to Spark, kept
+        def withWatermark(self, *_):
+            return self
+
+        def groupBy(self, *_):
+            return self
+
+        def applyInPandasWithState(self, run, *_):
+            self.run = run
+            return self
+
+    class State:
+        exists = hasTimedOut = False
+
+        def update(self, _):
+            pass
+
+    import pandas as pd
+
+    frame = Frame()
+    monkeypatch.setattr(state, "_schema", lambda *_: "k long, seq long, text string")
+    run = state.fold_stream(frame, "k", Probe, "0 seconds").run
+    part = lambda *rows: pd.DataFrame(rows, columns=["ms", "seq", "text"])
+    assert list(run((1,), iter([part((2, 1, "a"))]), State())) == []
+    taken.clear()
+    (got,) = run((1,), iter([part((2, 1, "a"), (None, 0, "b")), part((1, 5, "x"), (2, 0, None))]), State())
+    assert got.values.tolist() == [[1, 5, "x"]] and [r[2] for r in taken] == ["x", None, "a", "b"]
