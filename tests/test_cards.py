@@ -6,6 +6,7 @@ import re
 from datetime import datetime
 
 import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cardspark.operators import cards as C
@@ -200,3 +201,22 @@ def test_reviews():
         s.review(ms, g)
         ms = s.due
     assert (s.reps, s.lapses, s.state) == (6, 1, "review") and s.due > s.last and 1 <= s.d <= 10
+
+
+def test_replies_are_parsed_in_slices():
+    """A task holds the cards of REPLIES replies, however many a batch has."""
+
+    class Frame:
+        dtypes = [("request_id", "int"), ("project_id", "string"), ("raw", "string")]
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    card = json.dumps([{"title": "A title", "summary": "s", "details": "long enough details"}])
+    n = 2 * C.REPLIES + 1
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(["p"] * n), pa.array([card] * n)], names=["request_id", "project_id", "raw"])
+    got = list(C.parse_cards(Frame())(iter([batch])))
+    assert [b.num_rows for b in got] == [C.REPLIES, C.REPLIES, 1] and [x for b in got for x in b.column(0).to_pylist()] == list(range(n))
