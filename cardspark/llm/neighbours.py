@@ -117,7 +117,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _hash(df: DataFrame, key: str, tables: int, plan: dict[int, tuple[list[int], int, int]], search: bool) -> DataFrame:
-    """df(key, v) -> key, v, n, t, g, codes: a row per table and group of joint buckets that the vector is in, or probes."""
+    """df(key, v) -> key, v, n, t, g, codes, home: a row per table and group of joint buckets that the vector is in, or probes; home: the group of the best bucket."""
 
     def run(batches):
         for batch in batches:
@@ -131,6 +131,7 @@ def _hash(df: DataFrame, key: str, tables: int, plan: dict[int, tuple[list[int],
                     part = rows.slice(i, step)
                     x = _unit(_matrix(part.column(1)))
                     found = np.stack([probed(x, t, polytopes, probes) if search else codes(x, t, polytopes)[:, None] for t in range(tables)], axis=1)
+                    best = found[:, :, 0] >> inner
                     found = np.sort(found, axis=2)
                     r, t, _ = np.indices(found.shape)
                     r, t, code = r.ravel(), t.ravel(), found.ravel()
@@ -141,11 +142,11 @@ def _hash(df: DataFrame, key: str, tables: int, plan: dict[int, tuple[list[int],
                     own = [part.column(0).take(at), part.column(1).take(at)]
                     for j in range(0, len(cut), 4096):
                         yield pa.RecordBatch.from_arrays(
-                            [c.slice(j, 4096) for c in [*own, pa.array(np.full(len(cut), size, np.int32)), pa.array(t[cut].astype(np.int32)), pa.array(g[cut]), lists]],
-                            names=[key, "v", "n", "t", "g", "codes"],
+                            [c.slice(j, 4096) for c in [*own, pa.array(np.full(len(cut), size, np.int32)), pa.array(t[cut].astype(np.int32)), pa.array(g[cut]), lists, pa.array(g[cut] == best[r[cut], t[cut]])]],
+                            names=[key, "v", "n", "t", "g", "codes", "home"],
                         )
 
-    return df.select(key, "v").mapInArrow(run, f"{key} bigint, v array<double>, n int, t int, g bigint, codes array<bigint>")
+    return df.select(key, "v").mapInArrow(run, f"{key} bigint, v array<double>, n int, t int, g bigint, codes array<bigint>, home boolean")
 
 
 def _exact(classes: DataFrame, asked: dict[int, np.ndarray], k: int) -> DataFrame:
@@ -202,7 +203,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
     every table, and a query probes joint buckets by the sum of its projections on their axes. How many is fitted: a seeded
     draw of at most SAMPLE queries is searched against all rows, and the probes are the fewest by which a share of `recall` of
     their nearest is met. Neighbouring buckets make a group, which is cut into blocks; each block of queries meets each block
-    of vectors, so no task depends on a bucket's size; no candidate is dropped. If a query's buckets hold fewer than k others,
+    of vectors, so no task depends on a bucket's size; no candidate is dropped. The groups of the queries' best buckets come first: their
+    (k + 1)-th best is a floor for what the blocks of all other groups give out, which else gave k + 1 a block. If a query's buckets hold fewer than k others,
     all rows are its candidates. Scores by blocks only choose; whatever comes near the k-th is scored again, component by
     component, so results agree between runs. Empty tables give no rows.
     """
@@ -218,21 +220,25 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
     at = ["n", "t", "g"]
     parts = lambda df, name: df.groupBy(*at).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
     cuts = stash(parts(index, "ni").join(parts(probe, "np"), at))
-    one = lambda df, key, own, other, mine, theirs: df.join(cuts, at).select(
-        key, "v", "codes", *at, F.pmod(F.xxhash64(key), F.col(own)).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(theirs)
+    one = lambda df, key, own, other, mine, theirs, *more: df.join(cuts, at).select(
+        key, "v", "codes", *more, *at, F.pmod(F.xxhash64(key), F.col(own)).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(theirs)
     )
-    left, right = one(index, "c", "ni", "np", "bi", "bp"), one(probe, "q", "np", "ni", "bp", "bi")
+    left, right = one(index, "c", "ni", "np", "bi", "bp"), one(probe, "q", "np", "ni", "bp", "bi", "home")
     keys = [*at, "bi", "bp"]
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: _block(a, b, k), "q bigint, c bigint, score double")
-    pairs = best.groupBy("q", "c").agg(F.max("score").alias("score"))
+    meet = lambda rows: left.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(lambda a, b: _block(a, b, k), "q bigint, c bigint, score double")
+    one_each = lambda df: df.groupBy("q", "c").agg(F.max("score").alias("score"))
     order = Window.partitionBy("q").orderBy(F.desc("score"))
+    first = stash(one_each(meet(right.where("home").drop("home").withColumn("floor", F.lit(float("-inf"))))))
+    floors = first.withColumn("r", F.row_number().over(order)).where(F.col("r") == k + 1).select("q", F.col("score").alias("floor"))
+    far = right.where("not home").drop("home").join(floors, "q", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    pairs = one_each(first.unionByName(meet(far)))
     limit = F.nth_value("score", k + 1).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     top = pairs.withColumn("limit", limit).where(F.col("limit").isNull() | (F.col("score") >= F.col("limit") - NEAR * (1 + F.abs("limit"))))
     return _ranked(stash(top.select("q", "c")), classes, asked, k)
 
 
 def _block(a: pa.Table, b: pa.Table, k: int) -> pa.Table:
-    """The k + 1 best classes of each query of a block, of those in the buckets that it probes, and those that come near."""
+    """The k + 1 best classes of each query of a block, of those in the buckets that it probes, and those that come near; none under the query's floor."""
     none = pa.table({"q": pa.array([], pa.int64()), "c": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
     if not len(a) or not len(b):
         return none
@@ -241,7 +247,7 @@ def _block(a: pa.Table, b: pa.Table, k: int) -> pa.Table:
     ids, x = ids[order], _matrix(a.column("v"))[order]
     buckets, first = np.unique(of[order], return_index=True)
     last = np.append(first[1:], len(ids))
-    q, y = b.column("q").to_numpy(), _matrix(b.column("v"))
+    q, y, floor = b.column("q").to_numpy(), _matrix(b.column("v")), b.column("floor").to_numpy()
     asks = b.column("codes").combine_chunks()
     who, wants = np.repeat(np.arange(len(q)), pc.list_value_length(asks).to_numpy()), asks.flatten().to_numpy()
     at = np.minimum(np.searchsorted(buckets, wants), len(buckets) - 1)
@@ -256,8 +262,9 @@ def _block(a: pa.Table, b: pa.Table, k: int) -> pa.Table:
         met, start = np.unique(to, return_index=True)
         for u, some in zip(met.tolist(), np.split(rows, start[1:]), strict=False):
             s[some, first[u] : last[u]] = y[i + some] @ x[first[u] : last[u]].T
-        limit = np.partition(s, len(ids) - m, axis=1)[:, len(ids) - m]
-        r, c = np.nonzero((s >= (limit - NEAR * (1 + np.abs(limit)))[:, None]) & (s > -np.inf))
+        limit = np.maximum(np.partition(s, len(ids) - m, axis=1)[:, len(ids) - m], floor[i : i + 512])
+        least = np.where(limit > -np.inf, limit - NEAR * (1 + np.abs(limit)), limit)
+        r, c = np.nonzero((s >= least[:, None]) & (s > -np.inf))
         out.append((q[i : i + 512][r], ids[c], s[r, c]))
     return pa.table({n: np.concatenate([o[j] for o in out]) for j, n in enumerate(("q", "c", "score"))})
 

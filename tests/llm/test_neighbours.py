@@ -1,6 +1,7 @@
 """Neighbours against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cardspark.llm import neighbours
@@ -118,3 +119,22 @@ def test_probes_against_all_joint_buckets():
     got = neighbours.probed(x, 3, polytopes, 100)
     assert all(len(set(row)) == 100 for row in got.tolist())
     assert np.allclose(np.take_along_axis(sums, got, 1), -np.sort(-sums, axis=1)[:, :100])
+
+
+def test_blocks_give_nothing_under_a_floor():
+    """A query's floor from the blocks that came first keeps worse classes of another block in; without one, k + 1 come out."""
+    x = np.eye(4)
+    a = pa.table({"c": [1, 2, 3, 4], "v": x.tolist(), "codes": [[0]] * 4})
+    ask = lambda floor: pa.table({"q": [9], "v": [[4.0, 3.0, 2.0, 1.0]], "codes": [[0]], "floor": [floor]})
+    got = lambda floor: sorted(neighbours._block(a, ask(floor), 2).column("c").to_pylist())
+    assert got(-np.inf) == [1, 2, 3] and got(3.0) == [1, 2] and got(9.0) == []
+
+
+def test_each_query_has_a_home_in_each_table(spark):
+    """Just one group a table holds a query's best bucket, however many groups its probes are in."""
+    x = np.random.default_rng(4).normal(size=(30, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "q long, v array<double>")
+    rows = neighbours._hash(df, "q", 3, {16: (neighbours.layout(6, 16), 20, 3)}, search=True).collect()
+    assert len(rows) > 3 * 30 and sorted((r.q, r.t) for r in rows if r.home) == [(i, t) for i in range(30) for t in range(3)]
+    for r in rows:
+        assert r.home == (neighbours.codes(neighbours._unit(x[r.q : r.q + 1]), r.t, neighbours.layout(6, 16))[0] >> 3 == r.g)
