@@ -112,6 +112,8 @@ def st5_incremental_index(spark, d):
     return index.postings()
 
 
+PACK = 128  # chunks that come together
+BUCKETS = 1 << 13  # of requests, that share a state
 _THOUGHT = '<think>{"title": "not this one", "details": "thought of only"} hm </think> '
 
 
@@ -119,14 +121,20 @@ _THOUGHT = '<think>{"title": "not this one", "details": "thought of only"} hm </
     from (select doc_id, lang, source, split_part(text, chr(10), 1) as title, substring(text, 1, 200) as summary, substring(text, 1, 2000) as details from documents))
   select doc_id as request_id, spaces + case when doc_id % 4 = 3 then {_THOUGHT.count(' ')} else 0 end as seq, title, 'domain_fact' as type from c where length(title) between 2 and 100 and length(details) >= 10""")
 def st6_stream_cards(spark, d):
-    """Replies of one card, and its like once more, in chunks: whole, broken off in the second, broken off before the first one's last brace, and after a think block."""
+    """Replies of one card, and its like once more, in chunks: whole, broken off in the second, broken off before the first one's last brace, and after a think block.
+
+    A chunk ends after each space; some PACK of them come together, so that a reply is a few rows of the stream and not a row a word.
+    """
     rows = _stream(spark, d, "documents").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.substring("text", 1, 200).alias("summary"), F.substring("text", 1, 2000).alias("details"), F.array("lang", "source").alias("tags"))
     one, two = F.to_json(F.struct("title", "summary", "details", "tags")), F.to_json(F.struct("title", "summary", "details"))
     kind = F.col("doc_id") % 4
     reply = F.when(kind == 2, F.concat(F.lit("["), F.regexp_replace(one, r"\}$", ""))).otherwise(F.concat(F.when(kind == 3, _THOUGHT).otherwise(""), F.lit("["), one, F.lit(","), F.when(kind == 1, F.regexp_replace(two, '"\\}$', "")).otherwise(F.concat(two, F.lit("]")))))
-    chunks = rows.withColumn("chunks", F.split(reply, "(?<= )")).select(F.col("doc_id").alias("request_id"), F.posexplode("chunks").alias("seq", "chunk"), F.size("chunks").alias("n"))
-    ms = BASE + F.col("seq").cast("long")
-    return jobs.run_once(state.fold_stream(chunks.select("request_id", F.col("seq").cast("long").alias("seq"), ms.alias("ms"), F.timestamp_millis(ms).alias("ts"), "chunk", (F.col("seq") == F.col("n") - 1).alias("last")), "request_id", state.CardReader, "1 minute"))
+    chunks = rows.select(F.col("doc_id").alias("request_id"), F.split(reply, "(?<= )").alias("chunks")).withColumn("n", F.size("chunks"))
+    packs = chunks.select("request_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(PACK))).alias("at"), "n", "chunks").withColumn("pack", F.slice("chunks", F.col("at") + 1, PACK))
+    seq = F.col("at").cast("long")
+    ms = BASE + seq
+    told = packs.select("request_id", seq.alias("seq"), ms.alias("ms"), F.timestamp_millis(ms).alias("ts"), F.array_join("pack", "").alias("chunk"), (F.col("at") + PACK >= F.col("n")).alias("last"), F.transform("pack", lambda c: F.length(c)).alias("sizes"))
+    return jobs.run_once(state.fold_stream(told, "request_id", state.CardReader, "1 minute", buckets=BUCKETS))
 
 
 _W = review.WEIGHTS

@@ -10,10 +10,15 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.folds import fold_sorted
@@ -25,6 +30,7 @@ IDLE_MS = 3_600_000  # a session without rows for so long has ended
 
 class Step:
     columns: tuple[str, ...] = ()  # read, in order; the first two are ms and seq
+    more: tuple[str, ...] = ()  # read after them, if they are there
     output = ""
     pause_ms = 0
 
@@ -138,7 +144,9 @@ class ObjectScanner:
         self.held, self.tag, self.think = "", False, []  # the end of a chunk that may begin a tag; in an opening tag; the open block
         self.depth, self.quoted, self.escaped, self.parts = 0, False, False, []
 
-    def feed(self, text: str) -> list:
+    def feed(self, text: str) -> list[tuple]:
+        """The objects that close in the text, each with how far into it."""
+        before = len(self.held)
         text, self.held, at, found = self.held + text, "", 0, []
         while at < len(text):
             if self.tag:  # from `<think` to `>`
@@ -157,14 +165,14 @@ class ObjectScanner:
                 m = self._open.search(text, at)
                 cut = None if m else self._cut[0].search(text, at)
                 stop = m.start() if m else cut.start() if cut else len(text)
-                found += self._scan(text[at:stop])
+                found += [(o, at + end - before) for o, end in self._scan(text[at:stop])]
                 if m:
                     self.tag, self.think, at = True, [m.group()], m.end()
                 else:
                     self.held, at = text[stop:], len(text)
         return found
 
-    def _scan(self, text: str) -> list:
+    def _scan(self, text: str) -> list[tuple]:
         found, at, start = [], 0, 0
         while at < len(text):
             if self.escaped:
@@ -185,7 +193,7 @@ class ObjectScanner:
                 self.depth -= 1
                 if not self.depth:
                     try:
-                        found.append(json.loads("".join(self.parts) + text[start:at]))
+                        found.append((json.loads("".join(self.parts) + text[start:at]), at))
                     except ValueError:
                         pass
                     self.parts = []
@@ -196,13 +204,17 @@ class ObjectScanner:
     def close(self) -> list:
         """The end: what was held back counts as text, and an object that is still open is tried once with a closing brace."""
         rest, self.held, self.tag, self.think = "".join(self.think) + self.held, "", False, []
-        return self._scan(rest + "}")
+        return [o for o, _ in self._scan(rest + "}")]
 
 
 class CardReader(Step):
-    """ST6: chunks of a reply to cards, each as soon as its object closes; a title counts once; the last chunk is marked and closes the reply."""
+    """ST6: chunks of a reply to cards, each as soon as its object closes; a title counts once; the last chunk is marked and closes the reply.
 
-    columns, output = ("ms", "seq", "chunk", "last"), "seq long, title string, type string"
+    A row may be a pack of chunks that came together: seq is the first one's, chunk all texts as one, and `sizes` their lengths. It is
+    scanned as one text, since cuts make no difference to what is found; where an object ends tells its chunk.
+    """
+
+    columns, more, output = ("ms", "seq", "chunk", "last"), ("sizes",), "seq long, title string, type string"
 
     def __init__(self):
         self.scan, self.titles, self.at, self.seq = ObjectScanner(), {}, 0, 0
@@ -215,22 +227,22 @@ class CardReader(Step):
         self.scan.__dict__.update(scan)
         self.titles = dict.fromkeys(titles)
 
-    def _cards(self, objects: list) -> list[tuple]:
+    def _cards(self, objects: list[tuple]) -> list[tuple]:
         out = []
-        for o in objects:
+        for o, seq in objects:
             card, _ = check_card(o)
             if card and card["title"] not in self.titles:
                 self.titles[card["title"]] = None
-                out.append((self.seq, card["title"], card["type"]))
+                out.append((seq, card["title"], card["type"]))
         return out
 
-    def take(self, ms, seq, chunk, last):
-        self.at, self.seq, self.over = int(ms), int(seq), bool(last)
-        out = self._cards(self.scan.feed(chunk or ""))
-        return out + (self.close() if last else [])
+    def take(self, ms, seq, chunk, last, sizes=None):
+        found, ends = self.scan.feed(chunk or ""), [] if sizes is None else list(accumulate(sizes[:-1]))
+        self.at, self.seq, self.over = int(ms), int(seq) + len(ends), bool(last)
+        return self._cards([(o, int(seq) + bisect_left(ends, end)) for o, end in found]) + (self.close() if last else [])
 
     def close(self):
-        return self._cards(self.scan.close())
+        return self._cards([(o, self.seq) for o in self.scan.close()])
 
     def until(self):
         return self.at + IDLE_MS
@@ -289,50 +301,70 @@ def _schema(df: DataFrame, key: str, step: type[Step]) -> str:
     return f"{key} {dict(df.dtypes)[key]}, {step.output}"
 
 
+def _columns(df: DataFrame, step: type[Step]) -> list[str]:
+    return [*step.columns, *[c for c in step.more if c in df.columns]]
+
+
 def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
 def fold_batch(df: DataFrame, key: str, step: type[Step]) -> DataFrame:
     """The batch twin: each key's rows in order of ms and seq."""
-    return fold_sorted(df, key, ["ms", "seq"], list(step.columns), lambda: _Life(step), _schema(df, key, step))
+    return fold_sorted(df, key, ["ms", "seq"], _columns(df, step), lambda: _Life(step), _schema(df, key, step))
 
 
-def fold_stream(df: DataFrame, key: str, step: type[Step], watermark: str, ts: str = "ts") -> DataFrame:
+def fold_stream(df: DataFrame, key: str, step: type[Step], watermark: str, ts: str = "ts", buckets: int | None = None) -> DataFrame:
     """The stream: state per key as a string; where a step waits for a pause, an event-time timer stands for it, and another
     one drops the state when it is of no more use.
 
     df needs the event time ts; rows of a key are taken in order within each micro-batch; late rows are dropped.
+    Where keys are many and soon over, a call a key costs more than its rows: with `buckets`, keys of a hash share a call, a state
+    string (of those that live) and a timer. Their number stays for the life of a checkpoint.
     """
     schema = _schema(df, key, step)
     ends = step.until is not Step.until or step.pause_ms > 0
+    columns = _columns(df, step)
+
+    def due(now: Step) -> int | None:
+        times = [now.at + step.pause_ms] if step.pause_ms and now.armed else []
+        return min(times + [end for end in [now.until()] if end is not None], default=None) if ends else None
 
     def run(k, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        life = _Life(step)
+        mark, lives, rows = state.getCurrentWatermarkMs() if ends else 0, defaultdict(lambda: _Life(step)), defaultdict(list)
         if state.exists:
-            life.now = step()
-            life.now.load(state.get[0])
-        out, mark = [], state.getCurrentWatermarkMs() if ends else 0
-        if state.hasTimedOut:
-            out = life.close()  # after a pause, or at the end
-            end = life.now.until()
-            life.now = None if end is not None and end <= mark else life.now
-        else:
-            rows = [[None if x is None or x != x else x for x in row] for part in parts for row in zip(*(part[c].tolist() for c in step.columns), strict=True)]
-            for row in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or 0)):  # ms and seq, nulls last
-                out += life.take(*row)
-        if life.now is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((life.now.dump(),))
-            if ends:
-                times = [life.now.at + step.pause_ms] if step.pause_ms and life.now.armed else []
-                times += [end for end in [life.now.until()] if end is not None]
-                if times:
-                    state.setTimeoutTimestamp(max(min(times), mark + 1))
+            for name, text in json.loads(state.get[0]) if buckets else [(k[0], state.get[0])]:
+                lives[name].now = step()
+                lives[name].now.load(text)
+        for part in () if state.hasTimedOut else parts:
+            names = part[key].tolist() if buckets else [k[0]] * len(part)
+            for name, *row in zip(names, *(part[c].tolist() for c in columns), strict=True):
+                rows[name].append([None if x is None or (not isinstance(x, np.ndarray) and x != x) else x for x in row])
+        out = []
+        for name, own in rows.items():
+            for row in sorted(own, key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or 0)):  # ms and seq, nulls last
+                out += [(name, *r) for r in lives[name].take(*row)]
+        for name, life in lives.items():
+            if name not in rows and (state.hasTimedOut and not buckets or (at := due(life.now)) is not None and at < mark):
+                out += [(name, *r) for r in life.close()]  # after a pause, or at the end
+                end = life.now.until()
+                life.now = None if end is not None and end <= mark else life.now
+        left = {name: life.now for name, life in lives.items() if life.now is not None}
+        if left:
+            texts = [(name, now.dump()) for name, now in left.items()]
+            state.update((json.dumps(texts) if buckets else texts[0][1],))
+            times = [at for now in left.values() if (at := due(now)) is not None]
+            if times:
+                state.setTimeoutTimestamp(max(min(times), mark + 1))
+        elif state.exists:
+            state.remove()
         if out:  # most keys have none when their time is over, and a frame costs as much as a key's rows
-            yield pd.DataFrame([(k[0], *r) for r in out], columns=_names(schema))
+            yield pd.DataFrame(out, columns=_names(schema))
 
+    kind = GroupStateTimeout.EventTimeTimeout if ends else GroupStateTimeout.NoTimeout
     timed = df.withWatermark(ts, watermark)
-    return timed.groupBy(key).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.EventTimeTimeout if ends else GroupStateTimeout.NoTimeout)
+    if not buckets:
+        return timed.groupBy(key).applyInPandasWithState(run, schema, "state string", "append", kind)
+    timed = timed.select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("_bucket"), F.col(key).cast("string").alias(key), ts, *[c for c in columns if c != ts])
+    out = timed.groupBy("_bucket").applyInPandasWithState(run, f"{key} string, {step.output}", "state string", "append", kind)
+    return out.withColumn(key, F.col(key).cast(dict(df.dtypes)[key]))

@@ -3,8 +3,10 @@
 import io
 import json
 import random
+import re
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from cardspark.functions import plugs
@@ -159,6 +161,23 @@ def test_each_character_is_read_once(monkeypatch):
     assert len(r.titles) == 300
 
 
+def test_packs_give_what_their_chunks_give():
+    """A row of many chunks is told apart again: each card comes with the seq of the chunk in which its object closes."""
+    card = lambda t: json.dumps({"title": t, "details": "long enough details é"}, ensure_ascii=False)
+    text = "<think>{}</think>[" + card("aa") + ", <t" + card("bb") + "," + card("aa") + ', ' + "<think> " + card("cc")[:-1] + " "
+    parts = re.split("(?<= )", text)
+    one, want = state.CardReader(), []
+    for i, c in enumerate(parts):
+        want += one.take(5, 10 + i, c, i == len(parts) - 1)
+    assert [t for _, t, _ in want] == ["aa", "bb", "cc"] and want[0][0] < want[1][0] < 9 + len(parts)
+    for size in (1, 2, 3, 7, 100):
+        r, out = state.CardReader(), []
+        for at in range(0, len(parts), size):
+            pack = parts[at : at + size]
+            out += r.take(5, 10 + at, "".join(pack), at + size >= len(parts), [len(c) for c in pack])
+        assert out == want and r.over and r.seq == one.seq, size
+
+
 def run_all(stream, spark, root):
     """A stream to its end, in memory: its rows and how many states are left."""
     q = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
@@ -196,6 +215,25 @@ def test_states_end(spark, tmp_path):
     assert {(r.request_id, r.seq, r.title) for r in rows.collect()} == {(1, 2, "aa"), (2, 1, "aa")} and left == 0
 
 
+@pytest.mark.parametrize("buckets", [1, 5])
+def test_keys_that_share_a_call_keep_their_own_states(spark, tmp_path, buckets):
+    """Many short replies over three batches and a key of null: what each key on its own gives, with no more calls and states than buckets; silent ones end."""
+    card = lambda t: json.dumps({"title": t, "details": "long enough details"})
+    kind = "request_id int, seq long, ms long, chunk string, last boolean, sizes array<int>"
+    whole = [(k if k < 39 else None, 3 * i, i * 10_000 + k, c, i == 2, [5, 6, len(c) - 11]) for k in range(40) for i, c in enumerate((card(f"a{k}") + card("bb")[:20], card("bb")[20:] + card(f"c{k}")[:30], card(f"c{k}")[30:]))]
+    want = state.fold_batch(spark.createDataFrame(whole, kind), "request_id", state.CardReader)
+    silent = (77, 0, 0, card("aa")[:-1], False, [4, 4, 43])
+    cuts = [[r for r in whole if a <= r[2] < a + 10_000] for a in (0, 10_000, 20_000)]
+    for cut in ([*cuts[0], silent], cuts[1], cuts[2], [(78, 0, 2 * state.IDLE_MS, card("zz"), True, None)], [(79, 0, 2 * state.IDLE_MS + 1, "", True, None)]):
+        stream = state.fold_stream(feed(spark, tmp_path, kind, cut), "request_id", state.CardReader, "1 minute", buckets=buckets)
+        got, left = run_all(stream, spark, tmp_path)
+        assert left <= buckets
+    end = [(77, 2, "aa", "domain_fact"), (78, 0, "zz", "domain_fact")]
+    assert sorted(map(tuple, got.where("request_id is not null").collect())) == sorted([*map(tuple, want.where("request_id is not null").collect()), *end]) and left == 0
+    assert got.where("request_id is null").count() == want.where("request_id is null").count() == 3
+    assert dict(got.dtypes)["request_id"] == "int"
+
+
 def test_sessions_go_on_after_a_restart(spark, tmp_path):
     """ST1: a stream that is stopped in mid-session and started again commits what the batch fold does, pauses included."""
     rng = random.Random(7)
