@@ -92,6 +92,45 @@ def test_overlapping_pairs_meet_by_blocks_not_by_common_words(spark):
         assert len(got) == len(want) and set(got) == want and want
 
 
+@pytest.mark.parametrize("block", [40, 150, 1 << 16])
+def test_dedup_cards_settles_block_by_block_and_writes_no_pairs(spark, monkeypatch, block):
+    """Blocks of any size keep what the greedy fold keeps, and what is written grows with cards, not with the many pairs that overlap."""
+    rng = random.Random(11)
+    rows = [(i, f"p{i % 5 // 4}", " ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.randrange(1, 9))), "") for i in range(400)]
+    words = [(p, {*t.split()}) for _, p, t, _ in rows]
+    near = lambda a, b: len(a & b) / min(len(a), len(b)) > 0.65
+    want, pairs = [], 0
+    for i, (p, k) in enumerate(words):
+        want += [i] if not any(q == p and near(k, o) for q, o in (words[j] for j in want)) else []
+        pairs += sum(q == p and near(k, o) for q, o in words[:i])
+    moved, write = [], C.written
+
+    def counted(df):
+        out = write(df)
+        moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(C, "written", counted)
+    df = spark.createDataFrame(rows, "card_id long, project_id string, title string, summary string")
+    assert sorted(r.card_id for r in C.dedup_cards(df, block=block).collect()) == want
+    assert sum(moved) < 4 * len(rows) < pairs
+
+
+def test_overlaps_of_sets_are_exact():
+    """Few candidates at a time or many, few sets by all pairs or many: the same as comparing all."""
+    rng = random.Random(4)
+    sets = [sorted({f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.choice((2, 6, 40, 300)))}) for _ in range(300)]
+    near = lambda a, b: len({*a} & {*b}) / min(len(a), len(b)) > 0.65
+    t = pa.table({"o": list(range(300)), "t": [" ".join(k) for k in sets]})
+    early, late = C._sets(t.slice(0, 150), t.slice(150))
+    want = [any(near(a, b) for a in sets[:150]) for b in sets[150:]]
+    assert all(C._covered(early, late, 0.65, most).tolist() == want for most in (1, 50, 1 << 19)) and 0 < sum(want) < 150
+    kept = []
+    for k in sets:
+        kept.append(k if not any(o and near(k, o) for o in kept) else None)
+    assert all(C._stays(*C._sets(t), 0.65, few).tolist() == [k is not None for k in kept] for few in (1, 20, 128))
+
+
 def test_dedup_cards_keeps_the_first_of_many_copies(spark):
     rows = [(i, "p", "one two three four", "five six") for i in range(2000)] + [(3000, None, "one two three four", "five six"), (3001, None, "one two three four", "five six")]
     df = spark.createDataFrame(rows, "card_id long, project_id string, title string, summary string")
