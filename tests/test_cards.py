@@ -14,6 +14,7 @@ from cardspark.operators import entitlement as E
 from cardspark.operators import notes, review
 from cardspark.operators import sessions as Se
 from cardspark.operators import usage as U
+from cardspark.plans.tables import read
 
 
 def test_scan_objects():
@@ -131,6 +132,18 @@ def test_overlaps_of_sets_are_exact():
     assert all(C._stays(*C._sets(t), 0.65, few).tolist() == [k is not None for k in kept] for few in (1, 20, 128))
 
 
+def test_cards_move_without_whole_texts(spark, tmp_path):
+    """Where the labels are too many to be broadcast, what the join shuffles of a document is the parts that are asked for."""
+    text = "A title\n" + "x" * 3000
+    spark.createDataFrame([(1, text, "en", "src0", 9), (2, "no line end", "de", "src1", 9)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality long, toxic long").write.parquet(str(tmp_path / "labels.parquet"))
+    cards = read(spark, str(tmp_path), "cards")
+    assert sorted((r.card_id, r.title, r.summary, r.details) for r in cards.collect()) == [(1, "A title", text[:200], text[:2000]), (2,) + ("no line end",) * 3]
+    plan = cards.select("card_id", "title", "summary")._jdf.queryExecution().optimizedPlan().toString()
+    join = next(line for line in plan.splitlines() if "Join" in line)
+    assert plan.index(join) < plan.index("substring(text") and "2000" not in plan
+
+
 def test_dedup_cards_keeps_the_first_of_many_copies(spark):
     rows = [(i, "p", "one two three four", "five six") for i in range(2000)] + [(3000, None, "one two three four", "five six"), (3001, None, "one two three four", "five six")]
     df = spark.createDataFrame(rows, "card_id long, project_id string, title string, summary string")
